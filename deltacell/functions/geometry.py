@@ -135,14 +135,19 @@ def tiles_for_bbox(df: DataFrame, degrees: int = 10, lat_range: tuple[float, flo
 
 # -- rings -----------------------------------------------------------------------------------
 
+def bind(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _following(ring: Column) -> Column:
+    return F.concat(F.slice(ring, 2, F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 1, 1))
+
+
 def edges(ring: Column) -> Column:
     """Array of struct(x1, y1, x2, y2); the ring may or may not repeat its first point."""
-    n = F.size(ring)
-    following = F.concat(F.slice(ring, 2, F.greatest(n - 1, F.lit(0))), F.slice(ring, 1, 1))
-    return F.zip_with(
-        ring, following,
-        lambda p, q: F.struct(p["x"].alias("x1"), p["y"].alias("y1"), q["x"].alias("x2"), q["y"].alias("y2")),
-    )
+    side = lambda p, q: F.struct(p["x"].alias("x1"), p["y"].alias("y1"), q["x"].alias("x2"), q["y"].alias("y2"))
+    return bind(ring, lambda r: F.zip_with(r, _following(r), side))
 
 
 def ring_signed_area(ring: Column) -> Column:
@@ -199,39 +204,35 @@ def parse_ring(text: Column) -> Column:
     A reading whose longitudes or latitudes leave their range is NULL, as is a string with fewer
     than three points.
     """
-    numbers = F.transform(F.split(F.trim(F.regexp_replace(text, "[,\\s]+", " ")), " "), lambda s: s.try_cast("double"))
-    pairs = F.floor(F.size(numbers) / 2).cast("int")
-    at = F.sequence(F.lit(0), pairs - 1)
+    texts = F.split(F.trim(F.regexp_replace(text, "[,\\s]+", " ")), " ")
 
-    def reading(first: int, second: int) -> Column:
+    def reading(numbers: Column, first: int, second: int) -> Column:
+        at = F.sequence(F.lit(0), F.floor(F.size(numbers) / 2).cast("int") - 1)
         points = F.transform(
             at,
             lambda i: F.struct(
                 F.get(numbers, 2 * i + first).alias("x"), F.get(numbers, 2 * i + second).alias("y")
             ),
         )
-        fine = F.forall(points, lambda p: p["x"].between(-180, 180) & p["y"].between(-90, 90))
-        return F.when((F.size(numbers) >= 6) & fine, points)
+        fine = lambda r: F.forall(r, lambda p: p["x"].between(-180, 180) & p["y"].between(-90, 90))
+        return F.when(F.size(numbers) >= 6, bind(points, lambda r: F.when(fine(r), r)))
 
-    return F.struct(reading(0, 1).alias("as_given"), reading(1, 0).alias("swapped"))
+    return bind(
+        F.transform(texts, lambda s: s.try_cast("double")),
+        lambda n: F.struct(reading(n, 0, 1).alias("as_given"), reading(n, 1, 0).alias("swapped")),
+    )
 
 
 # -- convex clipping --------------------------------------------------------------------------
 
 def _clip_half_plane(points: Column, inside, cross) -> Column:
-    pairs = F.zip_with(
-        points,
-        F.concat(F.slice(points, 2, F.greatest(F.size(points) - 1, F.lit(0))), F.slice(points, 1, 1)),
-        lambda p, q: F.struct(p.alias("p"), q.alias("q")),
-    )
-    none = F.slice(points, 1, 0)
-
-    def step(e: Column) -> Column:
-        p, q = e["p"], e["q"]
+    def step(p: Column, q: Column, none: Column) -> Column:
         kept = F.when(inside(q), F.array(q)).otherwise(none)
         return F.when(inside(p) == inside(q), kept).otherwise(F.concat(F.array(cross(p, q)), kept))
 
-    return F.flatten(F.transform(pairs, step))
+    return bind(
+        points, lambda r: F.flatten(F.zip_with(r, _following(r), lambda p, q: step(p, q, F.slice(r, 1, 0))))
+    )
 
 
 def clip_to_box(ring: Column, xmin: Column, ymin: Column, xmax: Column, ymax: Column) -> Column:
@@ -255,7 +256,7 @@ def clip_to_box(ring: Column, xmin: Column, ymin: Column, xmax: Column, ymax: Co
 def box_coverage(ring: Column, xmin: Column, ymin: Column, xmax: Column, ymax: Column) -> Column:
     """Share of a box covered by a ring."""
     clipped = clip_to_box(ring, xmin, ymin, xmax, ymax)
-    return F.abs(ring_signed_area(clipped)) / F.nullif((xmax - xmin) * (ymax - ymin), F.lit(0.0))
+    return F.try_divide(F.abs(ring_signed_area(clipped)), F.nullif((xmax - xmin) * (ymax - ymin), F.lit(0.0)))
 
 
 def pick_ring_reading(readings: Column, xmin: Column, ymin: Column, xmax: Column, ymax: Column) -> Column:

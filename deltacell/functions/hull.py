@@ -7,6 +7,7 @@ import sys
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -23,7 +24,10 @@ def _half(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
     return out[:-1]
 
 
-@F.pandas_udf("array<struct<x:double,y:double>>")
+_RING = T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]))
+
+
+@F.pandas_udf(_RING)
 def convex_hull(rings: pd.Series) -> pd.Series:
     """Counter-clockwise hull ring of all vertices of ``ARRAY<ARRAY<STRUCT<x,y>>>``."""
     def one(shape):

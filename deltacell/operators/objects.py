@@ -23,7 +23,7 @@ CELL = ["grid_id", "row", "col"]
 _ROW_STEP = 1 << 31
 EDGE_LIMIT = 1_000_000
 
-# The two task helpers below travel with the job, so executors need no installed copy.
+# The task helpers below travel with the job, so executors need no installed copy.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
@@ -157,40 +157,65 @@ def remove_small(labelled: DataFrame, min_pixels: int) -> DataFrame:
 
 # -- outlines --------------------------------------------------------------------------------
 
-def _trace(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Rings of one object from its directed cell sides, as WKT with holes."""
+def _trace(sides: np.ndarray) -> list[list[tuple[int, int]]]:
+    """Rings of one object from its directed cell sides, rows of (r0, c0, r1, c1)."""
     ahead: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for r0, c0, r1, c1 in zip(pdf["r0"], pdf["c0"], pdf["r1"], pdf["c1"]):
+    for r0, c0, r1, c1 in sides.tolist():
         ahead.setdefault((r0, c0), []).append((r1, c1))
     rings = []
-    while ahead:
-        here = origin = min(ahead)
-        ring, heading, opening = [], None, ahead[origin][0]
-        while True:
-            options = ahead[here]
-            # Where two cells touch at a corner, turn away from the inside to stay on one object.
-            left = None if heading is None else (here[0] - heading[1], here[1] + heading[0])
-            step = left if left in options else options[0]
-            options.remove(step)
-            if not options:
-                del ahead[here]
-            turn = (step[0] - here[0], step[1] - here[1])
-            if turn != heading:
-                ring.append(here)
-            heading, here = turn, step
-            left = (here[0] - heading[1], here[1] + heading[0])
-            if here == origin and (origin not in ahead or left == opening):
-                break
-        rings.append(ring)
-    rings.sort(key=lambda g: min(g))
-    gx, gy, dx, dy = (float(pdf[k].iloc[0]) for k in ("gx", "gy", "dx", "dy"))
-
-    def text(g):
-        pts = [f"{gx + c * dx:.10g} {gy + r * dy:.10g}" for r, c in [*g, g[0]]]
-        return "(" + ", ".join(pts) + ")"
-
-    keys = {k: [pdf[k].iloc[0]] for k in ("grid_id", "label", "piece")}
-    return pd.DataFrame({**keys, "n_rings": [len(rings)], "wkt": ["POLYGON (" + ", ".join(map(text, rings)) + ")"]})
+    for origin in sorted(ahead):
+        while origin in ahead:
+            here, ring, heading, opening = origin, [], None, ahead[origin][0]
+            while True:
+                options = ahead[here]
+                # Where two cells touch at a corner, turn away from the inside to stay on one object.
+                left = None if heading is None else (here[0] - heading[1], here[1] + heading[0])
+                step = left if left in options else options[0]
+                options.remove(step)
+                if not options:
+                    del ahead[here]
+                turn = (step[0] - here[0], step[1] - here[1])
+                if turn != heading:
+                    ring.append(here)
+                heading, here = turn, step
+                left = (here[0] - heading[1], here[1] + heading[0])
+                if here == origin and (origin not in ahead or left == opening):
+                    break
+            rings.append(ring)
+    return rings
+
+
+def _tracer(gt: list[float]):
+    """Task function over rows sorted by object; an object may span batches."""
+    keys, ends = ["grid_id", "label", "piece"], ["r0", "c0", "r1", "c1"]
+
+    def text(ring):
+        points = (f"{gt[0] + c * gt[1]:.10g} {gt[3] + r * gt[5]:.10g}" for r, c in [*ring, ring[0]])
+        return "(" + ", ".join(points) + ")"
+
+    def row(key, held):
+        rings = _trace(np.concatenate(held))
+        return (*key, len(rings), "POLYGON (" + ", ".join(map(text, rings)) + ")")
+
+    def run(batches):
+        key, held = None, []
+        for pdf in batches:
+            done = []
+            ids = pdf[keys]
+            cuts = np.flatnonzero((ids != ids.shift()).any(axis=1).to_numpy())
+            values = pdf[ends].to_numpy(np.int64)
+            for at, stop in zip(cuts, [*cuts[1:], len(pdf)]):
+                here = tuple(ids.iloc[at])
+                if here != key and held:
+                    done.append(row(key, held))
+                    held = []
+                key = here
+                held.append(values[at:stop])
+            yield pd.DataFrame(done, columns=[*keys, "n_rings", "wkt"])
+        if held:
+            yield pd.DataFrame([row(key, held)], columns=[*keys, "n_rings", "wkt"])
+
+    return run
 
 
 def cell_sides(labelled: DataFrame, tile: int = TILE) -> DataFrame:
@@ -231,8 +256,6 @@ def outlines(labelled: DataFrame, gt: list[float], tile: int = TILE, edge_limit:
     long = long.select("grid_id", "label", F.lit(True).alias("_long"))
     placed = salted_join(sides, long, ["grid_id", "label"]).withColumn("_long", F.coalesce("_long", F.lit(False)))
     used = placed.where("outline or _long").withColumn("piece", F.when(F.col("_long"), F.col("part")).otherwise(F.lit(-1)))
-    for name, value in (("gx", gt[0]), ("gy", gt[3]), ("dx", gt[1]), ("dy", gt[5])):
-        used = used.withColumn(name, F.lit(float(value)))
-    return used.groupBy("grid_id", "label", "piece").applyInPandas(
-        _trace, "grid_id string, label bigint, piece bigint, n_rings int, wkt string"
-    )
+    keys = ["grid_id", "label", "piece"]
+    rows = used.select(*keys, "r0", "c0", "r1", "c1").repartition(*keys).sortWithinPartitions(*keys)
+    return rows.mapInPandas(_tracer(gt), "grid_id string, label bigint, piece bigint, n_rings int, wkt string")

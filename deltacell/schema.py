@@ -1,41 +1,31 @@
-"""Table layouts. Cells that hold no data are SQL NULL, never NaN and never a sentinel."""
+"""Table layouts as DDL text. Cells that hold no data are SQL NULL, never NaN and never a sentinel."""
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
-_POINT = T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
-RINGS = T.ArrayType(T.ArrayType(_POINT))
-
-
-def _table(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
-
-
-GRID = _table("grid_id STRING, width INT, height INT, gt ARRAY<DOUBLE>, epsg INT, nodata DOUBLE")
-OBS = _table("grid_id STRING, scene_id STRING, period STRING, band STRING, row INT, col INT, value DOUBLE")
-COHERENCE = _table("grid_id STRING, product_id STRING, role STRING, row INT, col INT, value DOUBLE")
-MASK = _table("grid_id STRING, mask_id STRING, row INT, col INT")
-CLASSES = _table("grid_id STRING, row INT, col INT, cls INT, cover INT, loss INT")
-INDEX = _table("grid_id STRING, run_id STRING, row INT, col INT, value DOUBLE")
-PRODUCT = _table(
+GRID = "grid_id STRING, width INT, height INT, gt ARRAY<DOUBLE>, epsg INT, nodata DOUBLE"
+OBS = "grid_id STRING, scene_id STRING, period STRING, band STRING, row INT, col INT, value DOUBLE"
+COHERENCE = "grid_id STRING, product_id STRING, role STRING, row INT, col INT, value DOUBLE"
+MASK = "grid_id STRING, mask_id STRING, row INT, col INT"
+CLASSES = "grid_id STRING, row INT, col INT, cls INT, cover INT, loss INT"
+INDEX = "grid_id STRING, run_id STRING, row INT, col INT, value DOUBLE"
+PRODUCT = (
     "granule STRING, family STRING, platform STRING, track INT, pol STRING, spacing_m INT, pid STRING, "
     "date1 STRING, date2 STRING, burst_ids STRING, burst_key STRING, orbit_code STRING"
 )
-SCENE = _table(
+SCENE = (
     "scene_id STRING, ts TIMESTAMP, platform STRING, polarizations ARRAY<STRING>, orbit_direction STRING, "
     "relative_orbit INT, bbox ARRAY<DOUBLE>, collection STRING, assets MAP<STRING,STRING>, preview_url STRING"
 )
-EVENT = _table(
+EVENT = (
     "id INT, storm_id INT, type STRING, certainty STRING, year INT, month INT, date STRING, date_1 STRING, "
     "date_2 STRING, n_polygons INT, area_km2 DOUBLE, length_km DOUBLE, mean_width_m DOUBLE, max_width_m DOUBLE, "
     "wind_gust INT, direction STRING, near_ws STRING, ws_dist DOUBLE, geom ARRAY<ARRAY<STRUCT<x:DOUBLE,y:DOUBLE>>>"
 )
-CHAIN = _table(
+CHAIN = (
     "id INT, storm_date DATE, platform STRING, rel_orbit INT, pre DATE, post DATE, control DATE, "
     "pair_interval_days INT, control_interval_days INT, coverages ARRAY<DOUBLE>, quality STRING"
 )
-LANDSCAPE = _table(
+LANDSCAPE = (
     "id INT, forest_frac DOUBLE, water_frac DOUBLE, wetland_frac DOUBLE, crop_frac DOUBLE, "
     "slope_mean_deg DOUBLE, slope_p90_deg DOUBLE, classes MAP<INT,BIGINT>"
 )

@@ -6,19 +6,18 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from deltacell.functions import dates as D
 from deltacell.functions import geometry as G
 from deltacell.functions import naming as N
 
-_STAC = T.StructType.fromDDL(
+_STAC = (
     "features ARRAY<STRUCT<id: STRING, collection: STRING, datetime: STRING, bbox: ARRAY<DOUBLE>, "
     "properties: STRUCT<`datetime`: STRING, platform: STRING, `sar:polarizations`: ARRAY<STRING>, "
     "polarizations: ARRAY<STRING>, `sat:orbit_state`: STRING, orbit_direction: STRING, "
     "`sat:relative_orbit`: INT, relative_orbit: INT>, assets: MAP<STRING, STRUCT<href: STRING>>>>"
 )
-_CMR = T.StructType.fromDDL(
+_CMR = (
     "feed STRUCT<entry: ARRAY<STRUCT<title: STRING, time_start: STRING, polygons: ARRAY<ARRAY<STRING>>, "
     "orbit_calculated_spatial_domains: ARRAY<STRUCT<orbit_number: STRING>>, "
     "attributes: ARRAY<STRUCT<name: STRING, value: STRING>>>>>, "
@@ -29,9 +28,9 @@ _CMR = T.StructType.fromDDL(
 )
 
 
-def _site_schema(id_fields: Sequence[str]) -> T.StructType:
+def _site_schema(id_fields: Sequence[str]) -> str:
     ids = ", ".join(f"`{n}`: INT" for n in id_fields)
-    return T.StructType.fromDDL(
+    return (
         "features ARRAY<STRUCT<geometry: STRUCT<type: STRING, coordinates: STRING>, properties: STRUCT<"
         f"{ids}, year: INT, type: STRING, status: STRING, date: STRING, date_1: STRING, date_2: STRING, "
         "area_km2: DOUBLE>>>"

@@ -17,7 +17,7 @@ def read_grids(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(S.GRID).parquet(path)
 
 
-def read_cells(spark: SparkSession, path: str, schema, bbox: Sequence[float] | None = None, grid: dict | None = None, sentinels: Sequence[float] = ()) -> DataFrame:
+def read_cells(spark: SparkSession, path: str, schema: str, bbox: Sequence[float] | None = None, grid: dict | None = None, sentinels: Sequence[float] = ()) -> DataFrame:
     """Cell table with sentinels and NaN turned to NULL; a bbox becomes a row and column range."""
     cells = spark.read.schema(schema).parquet(path)
     if bbox is not None:
@@ -31,7 +31,7 @@ def read_events(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFra
     """Event layer with its fixed columns; -9999 means missing in numbers and text alike."""
     raw = spark.read.schema(S.EVENT).format(fmt).load(path)
     fixed = []
-    for f in S.EVENT.fields:
+    for f in raw.schema.fields:
         c = F.col(f.name)
         if f.dataType.typeName() in ("integer", "double"):
             c = F.when(c != -9999, c)
