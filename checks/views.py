@@ -15,7 +15,7 @@ def stack(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "lineitem").select(
         F.concat(F.lit("g"), F.floor(k / 1000).cast("string")).alias("grid_id"),
         F.concat(F.lit("s"), (F.col("l_suppkey") % 10).cast("string")).alias("scene_id"),
-        F.when(F.col("l_shipdate") < F.lit("1998-06-01").cast("timestamp"), "pre").otherwise("post").alias("period"),
+        F.when(F.col("l_shipdate") < F.lit("1998-06-01").cast("timestamp_ntz"), "pre").otherwise("post").alias("period"),
         F.when(F.col("l_returnflag") == "A", "VV").when(F.col("l_returnflag") == "N", "VH").otherwise("HH").alias("band"),
         F.floor((k % 1000) / 50).cast("int").alias("row"), (k % 50).cast("int").alias("col"),
         F.col("l_extendedprice").alias("value"),
@@ -106,7 +106,7 @@ def granules(spark: SparkSession, sf: str) -> DataFrame:
     user = F.col("user_id")
     return table(spark, sf, "events").select(
         user.alias("event_id"), F.col("event_type").alias("platform"), F.lit("IW").alias("mode"),
-        (user % 175).alias("orbit_key"), F.timestamp_micros(F.unix_micros("ts") * 10 - 9 * start).alias("ts"),
+        (user % 175).alias("orbit_key"), F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) * 10 - 9 * start).alias("ts"),
         (1 - F.col("value") / 1000).alias("cov"), F.col("event_id").alias("title"),
     )
 
@@ -127,9 +127,6 @@ def diamonds(spark: SparkSession, sf: str) -> DataFrame:
     ring = F.array(p(cx - rx, cy), p(cx, cy + ry), p(cx + rx, cy + 5.3), p(cx, cy - ry))
     return table(spark, sf, "supplier").select(k.alias("poly_id"), F.array(ring).alias("rings"))
 
-
-_GRID = "'g' || CAST({k} // {n} AS VARCHAR)"
-
 SQL_VIEWS = {
     "stack": """
 SELECT 'g' || CAST(l_partkey // 1000 AS VARCHAR) AS grid_id, 's' || CAST(l_suppkey % 10 AS VARCHAR) AS scene_id,

@@ -93,13 +93,13 @@ def border_contacts(parts: DataFrame, tile: int = TILE) -> DataFrame:
 def contract(edges: DataFrame) -> DataFrame:
     """Smallest reachable node of every node that has an edge: (grid_id, child, parent).
 
-    Two linking steps per round until nothing changes: each node's children move to the smallest
-    node it knows, then each node's own links do. Rounds grow with the logarithm of the longest
-    path. Every round is written out, so a lost executor costs one round at most.
+    Two linking steps per round until every child has one parent that is no child itself: each
+    node's children move to the smallest node it knows, then each node's own links do. Rounds grow
+    with the logarithm of the longest path. Every round is written out, so a lost executor costs
+    one round at most.
     """
     links = settle(edges)
-    mark = _fingerprint(links)
-    while mark[0]:
+    while not _settled(links):
         best = links.groupBy("grid_id", "child").agg(F.min("parent").alias("_m"))
         up = salted_join(links, best.withColumnRenamed("child", "parent"), ["grid_id", "parent"])
         links = up.select("grid_id", "child", F.coalesce("_m", "parent").alias("parent")).distinct()
@@ -109,19 +109,19 @@ def contract(edges: DataFrame) -> DataFrame:
         )
         both = salted_join(links, best, ["grid_id", "child"], "inner").select("grid_id", F.explode(pairs).alias("_e"))
         links = settle(both.select("grid_id", "_e.*").where(F.col("child") > F.col("parent")).distinct())
-        now = _fingerprint(links)
-        if now == mark:
-            break
-        mark = now
     return links
 
 
-def _fingerprint(links: DataFrame) -> tuple:
-    row = links.agg(
-        F.count(F.lit(1)), F.bit_xor(F.xxhash64("grid_id", "child", "parent")),
-        F.sum((F.col("child") % 1_000_003) * 31 + F.col("parent") % 1_000_003),
-    ).first()
-    return tuple(row)
+def _settled(links: DataFrame) -> bool:
+    """Every child has a single parent, and no parent is a child."""
+    ends = F.array(
+        F.struct(F.col("child").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")),
+        F.struct(F.col("parent").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")),
+    )
+    nodes = links.select("grid_id", F.explode(ends).alias("_e")).groupBy("grid_id", "_e.node").agg(
+        F.sum("_e.up").alias("up"), F.max("_e.down").alias("down")
+    )
+    return nodes.where("up > 1 or (up = 1 and down = 1)").isEmpty()
 
 
 def components(mask: DataFrame, tile: int = TILE) -> DataFrame:
