@@ -54,8 +54,8 @@ def detect_wi(spark, sf):
 
 
 @query("detect_wi_normalized", """
-, o AS (SELECT grid_id, coalesce(median(d_VV), 0) AS a, coalesce(median(d_VH), 0) AS b FROM deltas WHERE col < 15 GROUP BY grid_id),
-ni AS (SELECT grid_id, "row", col, (d_VV - a) + (d_VH - b) AS value FROM deltas JOIN o USING (grid_id))""" + _filtered_sql("ni", "m") + """
+, offs AS (SELECT grid_id, coalesce(median(d_VV), 0) AS a, coalesce(median(d_VH), 0) AS b FROM deltas WHERE col < 15 GROUP BY grid_id),
+ni AS (SELECT grid_id, "row", col, (d_VV - a) + (d_VH - b) AS value FROM deltas JOIN offs USING (grid_id))""" + _filtered_sql("ni", "m") + """
 , t AS (SELECT grid_id, 0.5::DOUBLE AS threshold FROM ni GROUP BY grid_id), f AS (SELECT grid_id, "row", col FROM m JOIN t USING (grid_id) WHERE value > threshold AND col >= 10)"""
        + _components_sql("f") + _DETECTED.format(n=3, m2="100.0::DOUBLE"), "stack db deltas")
 def detect_wi_normalized(spark, sf):
@@ -247,14 +247,14 @@ def masked_threshold(spark, sf):
 
 @query("merge_status", """
 WITH s AS (SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN 'processed' WHEN 1 THEN 'shortlisted' ELSE 'candidate' END AS status FROM customer),
-r AS (SELECT o_custkey AS id, round(avg(o_totalprice), 2) AS auc FROM orders WHERE o_orderstatus = 'P' GROUP BY ALL)
+r AS (SELECT o_custkey AS id, max(o_totalprice) AS auc FROM orders WHERE o_orderstatus = 'P' GROUP BY ALL)
 SELECT id, CASE WHEN status = 'shortlisted' AND auc IS NOT NULL THEN 'processed' WHEN status = 'shortlisted' AND id % 2 = 0 THEN 'reserve' ELSE status END AS status,
   CASE WHEN status = 'shortlisted' THEN auc END AS auc FROM s LEFT JOIN r USING (id)
 UNION ALL SELECT s_suppkey + 10000000, 'processed', NULL FROM supplier""")
 def merge_status(spark, sf):
     k = F.col("c_custkey")
     sites = V.table(spark, sf, "customer").select(k.alias("id"), F.when(k % 3 == 0, "processed").when(k % 3 == 1, "shortlisted").otherwise("candidate").alias("status"))
-    results = V.table(spark, sf, "orders").where("o_orderstatus = 'P'").groupBy(F.col("o_custkey").alias("id")).agg(F.round(F.avg("o_totalprice"), 2).alias("auc"))
+    results = V.table(spark, sf, "orders").where("o_orderstatus = 'P'").groupBy(F.col("o_custkey").alias("id")).agg(F.max("o_totalprice").alias("auc"))
     added = V.table(spark, sf, "supplier").select((F.col("s_suppkey") + 10000000).alias("id"), F.lit("processed").alias("status"))
     merged = sinks.merge_status(sites, results, sites.where("id % 2 = 0"), added)
     return merged.select("id", "status", F.col("result.auc").alias("auc"))
@@ -289,7 +289,8 @@ def site_funnel(spark, sf):
     u = F.col("user_id")
     start = 1704067200000000
     ts = F.timestamp_micros((F.unix_micros(F.col("ts").cast("timestamp")) - start) * 8 + 1491004800000000)
-    ring = G.box_ring(F.lit(-1.0), F.lit(-1.0), F.lit(52.0), F.lit(32.0))
+    gx, gy = (u * 7 % 46).cast("double"), (u * 5 % 26).cast("double")
+    ring = G.box_ring(gx, gy, gx + 4.5, gy + 4.5)
     none = F.lit(None).cast("array<struct<x:double,y:double>>")
     granules = V.table(spark, sf, "events").select(
         F.concat(F.lit("S1A_IW_SLC__"), F.col("event_id").cast("string")).alias("title"), ts.alias("ts"), F.col("event_type").alias("platform"),

@@ -63,12 +63,18 @@ def youden_quantile(curve: DataFrame, keys: Sequence[str], n: int = 400, lo: flo
     start = F.col("pos_before") + F.col("neg_before")
     stop = start + F.col("pos") + F.col("neg")
     at = lambda i: (lo + (hi - lo) * i / (n - 1)) * (total - 1)
-    whole = F.sequence(F.lit(0), F.lit(n - 1))
     first = lambda i: F.floor(at(i))
     last = lambda i: F.ceil(at(i))
-    lower = F.filter(whole, lambda i: (first(i) >= start) & (first(i) < stop))
-    upper = F.filter(whole, lambda i: (last(i) >= start) & (last(i) < stop))
-    rows = curve.withColumn("_i", F.explode(F.array_union(lower, upper)))
+    # Thresholds whose rank can fall on this row, by arithmetic; the exact test follows.
+    number = lambda rank: (rank / F.greatest(total - 1, F.lit(1)) - lo) / (hi - lo) * (n - 1)
+    low = F.greatest(F.lit(0), F.floor(number(start - 1)).cast("int"))
+    high = F.least(F.lit(n - 1), F.ceil(number(stop + 1)).cast("int"))
+    rows = (
+        curve.withColumn("_a", low).withColumn("_b", high).where(F.col("_a") <= F.col("_b"))
+        .withColumn("_i", F.explode(F.sequence("_a", "_b")))
+    )
+    on = lambda r: (r >= start) & (r < stop)
+    rows = rows.where(on(first(F.col("_i"))) | on(last(F.col("_i"))))
     i = F.col("_i")
     marks = rows.groupBy(*keys, "_i").agg(
         F.max(F.when((first(i) >= start) & (first(i) < stop), F.col("score"))).alias("_lo"),

@@ -145,7 +145,7 @@ def threshold_map(
         if restore_nodata:
             out = out.where(F.col("_known"))
         out = out.drop("_known")
-    flagged = attach(out, thresholds.select("grid_id", "threshold"), ["grid_id"]).where(
+    flagged = attach(out, thresholds, ["grid_id"]).where(
         F.coalesce(F.col("value") > F.col("threshold"), F.lit(False))
     )
     cell = ["grid_id", "row", "col"]

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from deltacell.session import settle
+from deltacell.session import settle, written_bytes
 
-BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 16 * 1024 * 1024
 SALTS = 16
 _HASHABLE = (T.NumericType, T.StringType, T.DateType, T.TimestampType, T.BooleanType)
 
@@ -29,13 +29,13 @@ def salted_join(df: DataFrame, lookup: DataFrame, keys: list[str], how: str = "l
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
-def attach(df: DataFrame, lookup: DataFrame, keys: list[str], how: str = "left", max_rows: int = BROADCAST_ROWS) -> DataFrame:
+def attach(df: DataFrame, lookup: DataFrame, keys: list[str], how: str = "left", max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Add scalar columns kept one row per key, such as a grid's threshold.
 
-    The lookup is written out once and counted. Up to ``max_rows`` rows it is broadcast and
-    ``df`` does not move; beyond that the join is shuffled with salted keys.
+    The lookup is written out once and its size on disk looked up. Up to ``max_bytes`` it is
+    broadcast and ``df`` does not move; beyond that the join is shuffled with salted keys.
     """
     written = settle(lookup)
-    if written.count() <= max_rows:
+    if written_bytes(written) <= max_bytes:
         return df.join(F.broadcast(written), keys, how)
     return salted_join(df, written, keys, how)

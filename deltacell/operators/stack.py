@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from deltacell import schema as S
@@ -26,9 +26,24 @@ def to_decibels(obs: DataFrame, keys: Sequence[str] = ("grid_id", "scene_id", "b
     return flagged.withColumn("db", R.to_db_domain(F.col("value"), F.col("already_db"), power)).drop("already_db")
 
 
+def _middle(obs: DataFrame, group: Sequence[str], value: str) -> DataFrame:
+    """The one or two middle known values of each group as ``_mid``; their mean is the median.
+
+    Sorting within groups spills to disk, where an aggregate that holds every value would not. The
+    first row of a group is kept with a NULL, so a group without known values does not vanish.
+    """
+    ordered = Window.partitionBy(*group).orderBy(F.col(value).asc_nulls_last())
+    n = F.count(value).over(Window.partitionBy(*group))
+    ranked = obs.withColumn("_k", F.row_number().over(ordered)).withColumn("_n", n)
+    middle = (2 * F.col("_k") >= F.col("_n")) & (2 * F.col("_k") <= F.col("_n") + 2) & (F.col("_n") > 0)
+    kept = ranked.withColumn("_mid", F.when(middle, F.col(value))).where(middle | (F.col("_k") == 1))
+    return kept.drop("_k", "_n")
+
+
 def median_composite(obs: DataFrame, value: str = "db", keys: Sequence[str] = ("grid_id", "period", "band", "row", "col")) -> DataFrame:
-    """Median over the scenes of a cell, NULLs ignored."""
-    return obs.groupBy(*keys).agg(F.median(value).alias("value"))
+    """Median over the scenes of a cell, NULLs ignored; the grouping reuses the window's layout."""
+    laid = obs.select(*keys, value).repartition(*keys)
+    return _middle(laid, keys, value).groupBy(*keys).agg(F.avg("_mid").alias("value"))
 
 
 def common_bands(obs: DataFrame) -> DataFrame:
@@ -43,16 +58,14 @@ def common_bands(obs: DataFrame) -> DataFrame:
 def deltas(obs: DataFrame, bands: Sequence[str], value: str = "db") -> DataFrame:
     """Post minus pre composite per cell, one column ``d_<band>`` each, in a single shuffle.
 
-    Both periods and all bands are conditional medians of one grouping, so the pixel table moves
-    once instead of once per period and band plus a join.
+    Observations move once, to their cell. The medians per period and band and the pivot into
+    columns both run on that layout, instead of one shuffle per period and band plus a join.
     """
-    wanted = obs.where(F.col("band").isin(*bands) & F.col("period").isin("pre", "post"))
-    aggs = [
-        F.median(F.when((F.col("period") == p) & (F.col("band") == b), F.col(value))).alias(f"_{p}_{b}")
-        for b in bands
-        for p in ("pre", "post")
-    ]
-    cells = wanted.groupBy(*CELL).agg(*aggs)
+    laid = obs.select(*CELL, "band", "period", value).repartition(*CELL)
+    wanted = laid.where(F.col("band").isin(*bands) & F.col("period").isin("pre", "post"))
+    side = lambda p, b: F.avg(F.when((F.col("period") == p) & (F.col("band") == b), F.col("_mid")))
+    aggs = [side(p, b).alias(f"_{p}_{b}") for b in bands for p in ("pre", "post")]
+    cells = _middle(wanted, [*CELL, "band", "period"], value).groupBy(*CELL).agg(*aggs)
     return cells.select(*CELL, *[(F.col(f"_post_{b}") - F.col(f"_pre_{b}")).alias(f"d_{b}") for b in bands])
 
 

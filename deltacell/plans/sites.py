@@ -12,6 +12,7 @@ from deltacell.functions import geometry as G
 from deltacell.operators import chains as C
 from deltacell.operators import cover
 from deltacell.operators import screening as X
+from deltacell.operators.joins import salted_join
 from deltacell.session import settle
 from deltacell.sources import catalogs
 
@@ -20,14 +21,23 @@ def event_key(event_id, date_text):
     return F.concat(event_id.cast("string"), F.lit("_"), F.replace(date_text, F.lit("/"), F.lit("")))
 
 
+def _box_buckets(box, cell: float):
+    """Bucket numbers a box touches, as an array of structs."""
+    span = lambda lo, hi: F.sequence(F.floor(lo / cell), F.floor(hi / cell))
+    return F.flatten(F.transform(span(box["xmin"], box["xmax"]), lambda x: F.transform(
+        span(box["ymin"], box["ymax"]), lambda y: F.struct(x.alias("x"), y.alias("y"))
+    )))
+
+
 def site_funnel(
-    events: DataFrame, granules: DataFrame, landscape: DataFrame, processed: Sequence[int] = (), n: int = 5, per_type: int = 3
+    events: DataFrame, granules: DataFrame, landscape: DataFrame, processed: Sequence[int] = (), n: int = 5, per_type: int = 3,
+    cell: float = 2.0,
 ) -> dict[str, DataFrame]:
     """Candidates, their best chain, their score, and the top picks.
 
     ``events`` follow the event schema with a ``geom``; ``granules`` come from the catalogue
-    reader; ``landscape`` is keyed by event_id. Events are joined with granules through the days
-    their window covers, not compared with each granule.
+    reader; ``landscape`` is keyed by event_id. Granules and events meet by day and by ``cell``
+    degree bucket of their boxes, so neither side is compared with all of the other.
     """
     pool = X.candidates(events, processed).withColumn("event_date", D.parse_date(F.col("date_1")))
     pool = settle(pool.withColumn("event_id", event_key(F.col("id"), F.col("date_1"))))
@@ -35,8 +45,12 @@ def site_funnel(
     boxes = pool.select("event_id", "event_date", box.alias("_b")).select("event_id", "event_date", "_b.*")
     before, after = C.WINDOW_DAYS
     days = F.explode(F.sequence(F.date_sub("event_date", before), F.date_add("event_date", after)))
-    open_days = boxes.select("event_id", days.alias("_d"))
-    met = granules.withColumn("_d", F.to_date("ts")).join(open_days, "_d").drop("_d")
+    wanted = boxes.withColumn("_k", F.explode(_box_buckets(F.struct("xmin", "ymin", "xmax", "ymax"), cell)))
+    wanted = wanted.select("event_id", "_k", days.alias("_d"))
+    readings = F.array_compact(F.array("rings.as_given", "rings.swapped"))
+    seen = F.flatten(F.transform(readings, lambda r: _box_buckets(G.rings_bbox(F.array(r)), cell)))
+    placed = granules.withColumn("_d", F.to_date("ts")).withColumn("_k", F.explode(F.array_distinct(seen)))
+    met = salted_join(placed, wanted, ["_d", "_k"], "inner").drop("_d", "_k").dropDuplicates(["event_id", "title"])
     covered = catalogs.coverage(met, boxes.drop("event_date")).withColumn("orbit_key", F.col("track_key"))
     chains = settle(C.select_chains(covered, boxes.select("event_id", "event_date")))
     joined = pool.drop("event_date").join(chains, "event_id").join(landscape, "event_id", "left")

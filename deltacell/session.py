@@ -48,9 +48,21 @@ def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared scratch folder and read it back.
 
     Used where a result feeds more than one branch or closes a loop round. The written table
-    survives lost executors and gives the optimizer real sizes.
+    survives lost executors and gives the optimizer real sizes. A table that has just been
+    written is returned as it is.
     """
+    if "_written_to" in df.__dict__:
+        return df
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/deltacell-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__["_written_to"] = path
+    return out
+
+
+def written_bytes(df: DataFrame) -> int:
+    """Size on disk of a table returned by :func:`settle`, without a Spark job."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.__dict__["_written_to"])
+    conf = df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+    return path.getFileSystem(conf).getContentSummary(path).getLength()
