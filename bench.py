@@ -30,10 +30,9 @@ HEADLINE = (
 def scene(spark, sf: str):
     """A large scene laid out from the embeddings: every value becomes a 14 x 14 block of cells."""
     n = 14
-    side = spark.range(n).selectExpr("cast(id as int) as k")
-    block = side.selectExpr("k as dr").crossJoin(side.selectExpr("k as dc"))
-    f = V.raw_field(spark, sf)
-    return f.crossJoin(block).selectExpr(
+    f = V.raw_field(spark, sf).selectExpr("grid_id", "row", "explode(sequence(0, 13)) as dr", "col", "value")
+    f = f.repartition("grid_id", "row", "dr").selectExpr("*", "explode(sequence(0, 13)) as dc")
+    return f.selectExpr(
         "grid_id", f"row * {n} + dr as row", f"col * {n} + dc as col", "value + (hash(dr, dc) % 100) / 1000 as value"
     )
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from deltacell.functions.geometry import bind
+
 # Name patterns.
 POL_TOKEN = r"(?:^|[-_])(vv|vh|hh|hv)(?:[-_.]|$)"
 FRAME_NAME = (
@@ -73,9 +75,13 @@ def granule_candidates(path: Column) -> Column:
 
 def parse_name(name: Column) -> Column:
     """One granule name as a struct; ``family`` is NULL when neither pattern fits."""
-    burst, frame = name.rlike(BURST_NAME), name.rlike(FRAME_NAME)
-    b = lambda i: _part(name, BURST_NAME, i)
-    f = lambda i: _part(name, FRAME_NAME, i)
+    seen = F.struct(name.alias("name"), name.rlike(BURST_NAME).alias("burst"), name.rlike(FRAME_NAME).alias("frame"))
+    return bind(seen, lambda s: _fields(s["name"], s["burst"], s["frame"]))
+
+
+def _fields(name: Column, burst: Column, frame: Column) -> Column:
+    b = lambda i: F.when(burst, _part(name, BURST_NAME, i))
+    f = lambda i: F.when(frame, _part(name, FRAME_NAME, i))
     return F.struct(
         name.alias("granule"),
         F.when(burst, "isce").when(frame, "gamma").alias("family"),
@@ -94,8 +100,9 @@ def parse_name(name: Column) -> Column:
 
 def parse_product(path: Column) -> Column:
     """First candidate name of a path that parses, else the first candidate with no family."""
-    parsed = F.transform(granule_candidates(path), parse_name)
-    return F.coalesce(F.get(F.filter(parsed, lambda p: p["family"].isNotNull()), F.lit(0)), F.get(parsed, F.lit(0)))
+    fits = lambda n: n.rlike(BURST_NAME) | n.rlike(FRAME_NAME)
+    pick = lambda c: F.coalesce(F.get(F.filter(c, fits), F.lit(0)), F.get(c, F.lit(0)))
+    return bind(bind(granule_candidates(path), pick), parse_name)
 
 
 def split_slc(title: Column) -> Column:

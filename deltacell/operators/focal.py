@@ -7,6 +7,11 @@ layout, so a chain of filters costs one shuffle however many windows it has.
 
 from __future__ import annotations
 
+import sys
+
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,7 +19,10 @@ from deltacell import schema as S
 from deltacell.operators.joins import attach
 
 TILE = 256
-_TILE_KEYS = ["grid_id", "_tr", "_tc"]
+_TILE_KEYS = ["_tr", "_tc", "grid_id"]
+
+# The tile helper below travels with the job, so executors need no installed copy.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def tile_of(name: str, tile: int = TILE) -> Column:
@@ -124,27 +132,77 @@ def majority_filter(mask: DataFrame, size: int = 3, tile: int = TILE) -> DataFra
     return core(out.withColumn("value", (F.col("_v") * 2 > size * size).cast("int")).drop("_v"), tile)
 
 
+def _around(a: np.ndarray, r: int) -> list[np.ndarray]:
+    """The (2r+1) squared shifted copies of an array, edges repeated."""
+    p = np.pad(a, r, mode="edge")
+    h, w = a.shape
+    return [p[i : i + h, j : j + w] for i in range(2 * r + 1) for j in range(2 * r + 1)]
+
+
+def _tile_filter(smooth_size: int, median_size: int, min_valid: float, tile: int):
+    """Box mean and median of one tile and its rim, at most (tile + 2 radius) squared cells."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        row, col = pdf["row"].to_numpy(), pdf["col"].to_numpy()
+        at = (row - row.min(), col - col.min())
+        a = np.full((at[0].max() + 1, at[1].max() + 1), np.nan)
+        a[at] = pdf["value"].to_numpy(np.float64, na_value=np.nan)
+        if smooth_size >= 3:
+            r = smooth_size // 2
+            n = np.sum(_around(np.isfinite(a).astype(np.int64), r), axis=0)
+            total = np.sum(_around(np.nan_to_num(a), r), axis=0)
+            fine = (n > 0) & (n / float(smooth_size**2) >= min_valid)
+            a = np.where(fine, total / np.maximum(n, 1), np.nan)
+        if median_size >= 3:
+            block = np.sort(np.stack(_around(a, median_size // 2)), axis=0)
+            n = np.isfinite(block).sum(axis=0)[None]
+            lo = np.take_along_axis(block, np.maximum(n - 1, 0) // 2, axis=0)
+            hi = np.take_along_axis(block, np.minimum(n // 2, len(block) - 1), axis=0)
+            a = np.where(np.isfinite(a), (lo[0] + hi[0]) / 2, np.nan)
+        own = (row // tile == pdf["_tr"].iloc[0]) & (col // tile == pdf["_tc"].iloc[0])
+        out = a[at][own]
+        return pd.DataFrame({
+            "grid_id": pdf["grid_id"].to_numpy()[own], "row": row[own], "col": col[own],
+            "value": pd.Series(out).where(np.isfinite(out)),
+        })
+
+    return run
+
+
+def filtered(index: DataFrame, median_size: int, smooth_size: int, min_valid: float = S.BOX_MIN_VALID, tile: int = TILE) -> DataFrame:
+    """Box mean then median in one pass per tile through Arrow: the same values as the two window
+    filters, several times faster on whole scenes. Tiles bound what a task holds."""
+    radius = (_odd(smooth_size) if smooth_size >= 3 else 0) + (_odd(median_size) if median_size >= 3 else 0)
+    if not radius:
+        return index
+    placed = spread(index.select("grid_id", "row", "col", F.col("value").cast("double").alias("value")), radius, tile)
+    return placed.groupBy(*_TILE_KEYS).applyInPandas(
+        _tile_filter(smooth_size, median_size, min_valid, tile), "grid_id string, row int, col int, value double"
+    )
+
+
 def threshold_map(
     index: DataFrame, thresholds: DataFrame, median_size: int = S.MEDIAN_SIZE, smooth_size: int = 1,
-    inside: DataFrame | None = None, restore_nodata: bool = False, tile: int = TILE,
+    inside: DataFrame | None = None, restore_nodata: bool = False, tile: int = TILE, arrow: bool = True,
 ) -> DataFrame:
     """Box mean, then median, then strictly above the grid's threshold, then inside the mask.
 
     Both filters share one tile layout whose rim is the sum of their radii, so the result does not
     depend on where tiles end. ``restore_nodata`` keeps cells unknown that the box mean filled.
+    ``arrow=False`` runs the filters as window functions instead of array code per tile.
     """
-    radius = (_odd(smooth_size) if smooth_size >= 3 else 0) + (_odd(median_size) if median_size >= 3 else 0)
-    out = index
-    if radius:
-        out = spread(index.withColumn("_known", F.col("value").isNotNull()), radius, tile)
+    if arrow:
+        out = filtered(index, median_size, smooth_size, tile=tile)
+    else:
+        radius = (_odd(smooth_size) if smooth_size >= 3 else 0) + (_odd(median_size) if median_size >= 3 else 0)
+        out = spread(index, radius, tile) if radius else index
         if smooth_size >= 3:
             out = _box_pass(out, smooth_size)
         if median_size >= 3:
             out = _median_pass(out, median_size)
-        out = core(out, tile)
-        if restore_nodata:
-            out = out.where(F.col("_known"))
-        out = out.drop("_known")
+        out = core(out, tile) if radius else out
+    if restore_nodata:
+        known = index.where(F.col("value").isNotNull()).select("grid_id", "row", "col")
+        out = out.join(known, ["grid_id", "row", "col"], "left_semi")
     flagged = attach(out, thresholds, ["grid_id"]).where(
         F.coalesce(F.col("value") > F.col("threshold"), F.lit(False))
     )

@@ -48,12 +48,14 @@ def _bracketed(data: DataFrame, keys: list[str], probs: dict[str, float], accura
         F.count("_v").alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
         F.percentile_approx("_v", asked, accuracy).alias("_s"),
     )
+    # A key so short that the guard is worth only a few ranks keeps all its values.
+    short = F.col("_n") <= accuracy
     brackets = F.array(*[
         F.struct(
             F.lit(name).alias("name"),
             (F.lit(p) * (F.col("_n") - 1)).alias("pos"),
-            F.when(F.lit(lo) <= 0.0, F.col("_min")).otherwise(F.get("_s", F.lit(2 * i))).alias("lo"),
-            F.when(F.lit(hi) >= 1.0, F.col("_max")).otherwise(F.get("_s", F.lit(2 * i + 1))).alias("hi"),
+            F.when(F.lit(lo <= 0.0) | short, F.col("_min")).otherwise(F.get("_s", F.lit(2 * i))).alias("lo"),
+            F.when(F.lit(hi >= 1.0) | short, F.col("_max")).otherwise(F.get("_s", F.lit(2 * i + 1))).alias("hi"),
         )
         for i, (name, p, lo, hi) in enumerate(marks)
     ])

@@ -50,7 +50,8 @@ def site_funnel(
     readings = F.array_compact(F.array("rings.as_given", "rings.swapped"))
     seen = F.flatten(F.transform(readings, lambda r: _box_buckets(G.rings_bbox(F.array(r)), cell)))
     placed = granules.withColumn("_d", F.to_date("ts")).withColumn("_k", F.explode(F.array_distinct(seen)))
-    met = salted_join(placed, wanted, ["_d", "_k"], "inner").drop("_d", "_k").dropDuplicates(["event_id", "title"])
+    met = salted_join(placed.select("title", "_d", "_k"), wanted, ["_d", "_k"], "inner", salts=4)
+    met = granules.join(met.select("event_id", "title").distinct(), "title")
     covered = catalogs.coverage(met, boxes.drop("event_date")).withColumn("orbit_key", F.col("track_key"))
     chains = settle(C.select_chains(covered, boxes.select("event_id", "event_date")))
     joined = pool.drop("event_date").join(chains, "event_id").join(landscape, "event_id", "left")
