@@ -6,6 +6,7 @@ import sys
 
 import pandas as pd
 from pyspark import cloudpickle
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,13 +29,17 @@ _RING = T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructFi
 
 
 @F.pandas_udf(_RING)
-def convex_hull(rings: pd.Series) -> pd.Series:
-    """Counter-clockwise hull ring of all vertices of ``ARRAY<ARRAY<STRUCT<x,y>>>``."""
+def _hull(points: pd.Series) -> pd.Series:
     def one(shape):
         if shape is None:
             return None
-        pts = sorted({(float(p["x"]), float(p["y"])) for ring in shape for p in ring})
+        pts = sorted({(float(p["x"]), float(p["y"])) for p in shape})
         ring = pts if len(pts) < 3 else _half(pts) + _half(pts[::-1])
         return [{"x": x, "y": y} for x, y in ring]
 
-    return rings.map(one)
+    return points.map(one)
+
+
+def convex_hull(rings: Column | str) -> Column:
+    """Counter-clockwise hull ring of all vertices of ``ARRAY<ARRAY<STRUCT<x,y>>>``."""
+    return _hull(F.flatten(rings))

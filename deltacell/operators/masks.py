@@ -21,7 +21,7 @@ def subtract(mask: DataFrame, *others: DataFrame) -> DataFrame:
     gone = others[0].select(*CELL)
     for o in others[1:]:
         gone = gone.unionByName(o.select(*CELL))
-    return mask.join(gone, CELL, "left_anti")
+    return mask.select(*CELL).join(gone, CELL, "left_anti")
 
 
 def from_predicate(cells: DataFrame, keep: Column) -> DataFrame:

@@ -41,6 +41,12 @@ def read_events(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFra
     return raw.select(*fixed)
 
 
+def _single_byte_text(content: Column, encoding: str) -> Column:
+    """Text of a one-byte encoding, read as Latin-1 and then exchanged letter for letter."""
+    high = bytes(range(128, 256))
+    return F.translate(F.decode(content, "iso-8859-1"), high.decode("iso-8859-1"), high.decode(encoding, "replace"))
+
+
 def read_legacy_csv(spark: SparkSession, path: str, wanted: dict[str, str], header_line: int = 31, encoding: str = "windows-1251") -> DataFrame:
     """Semicolon text with a preamble, comment rows and decimal commas.
 
@@ -48,7 +54,7 @@ def read_legacy_csv(spark: SparkSession, path: str, wanted: dict[str, str], head
     ``header_line`` (from 0) of each file; the files are small by nature, so each is read as one
     row and its lines keep their numbers. Numbers that do not parse are NULL.
     """
-    files = spark.read.format("binaryFile").load(path).select("path", F.decode("content", encoding).alias("text"))
+    files = spark.read.format("binaryFile").load(path).select("path", _single_byte_text(F.col("content"), encoding).alias("text"))
     files = files.withColumn("_lines", F.split("text", r"\r?\n"))
     head = F.transform(F.split(F.get("_lines", F.lit(header_line)), ";"), lambda h: F.trim(h))
     files = files.withColumn("_head", head)
