@@ -158,6 +158,6 @@ def average_ranks(df: DataFrame, keys: list[str], value: str, out: str, task_row
 def spearman(df: DataFrame, keys: list[str], x: str, y: str, task_rows: int = TASK_ROWS) -> DataFrame:
     """Rank correlation of two columns per key, over rows where both are known."""
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, x, y)
-    ranked = salted_join(both, average_ranks(both, keys, x, "_rx", task_rows), [*keys, x], "inner")
-    ranked = salted_join(ranked, average_ranks(both, keys, y, "_ry", task_rows), [*keys, y], "inner")
+    ranked = salted_join(both, average_ranks(both, keys, x, "_rx", task_rows), [*keys, x], "inner", salts=4)
+    ranked = salted_join(ranked, average_ranks(both, keys, y, "_ry", task_rows), [*keys, y], "inner", salts=4)
     return ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.corr("_rx", "_ry").alias("rho"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deltacell.functions import dates as D
@@ -125,15 +125,22 @@ def filter_scenes(scenes: DataFrame, **wanted) -> DataFrame:
 def skip_counts(scenes: DataFrame, **wanted) -> DataFrame:
     """Kept scenes and the reason of each skip: duplicate, channels missing or unlisted, orbit."""
     rules = scene_rules(**wanted)
-    w = Window.partitionBy("scene_id").orderBy("_file", "_pos")
-    known = F.coalesce("scene_id", F.lit("")) != ""
-    seen = scenes.withColumn("_first", ~known | (F.row_number().over(w) == 1))
-    first, pol, orb = F.col("_first"), rules["polarization"], rules["orbit"]
     unlisted = (F.size("polarizations") == 0) if wanted.get("polarizations") else F.lit(False)
-    return seen.agg(
-        F.count_if(first & pol & orb).alias("kept"), F.count_if(~first).alias("duplicates"),
-        F.count_if(first & ~pol).alias("polarization_mismatch"), F.count_if(first & pol & ~orb).alias("orbit_mismatch"),
-        F.count_if(first & unlisted).alias("polarization_unlisted"),
+    judged = scenes.select(
+        "scene_id", "_file", "_pos",
+        F.struct(rules["polarization"].alias("pol"), rules["orbit"].alias("orb"), unlisted.alias("bare")).alias("_s"),
+    )
+    # Copies of one scene shrink to its first row and a count before anything is shuffled.
+    known = F.coalesce("scene_id", F.lit("")) != ""
+    named = judged.where(known).groupBy("scene_id").agg(
+        F.min_by("_s", F.struct("_file", "_pos")).alias("_s"), F.count(F.lit(1)).alias("n")
+    ).select("_s.*", "n")
+    firsts = named.unionByName(judged.where(~known).select("_s.*", F.lit(1).cast("bigint").alias("n")))
+    pol, orb = F.col("pol"), F.col("orb")
+    return firsts.agg(
+        F.count_if(pol & orb).alias("kept"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicates"),
+        F.count_if(~pol).alias("polarization_mismatch"), F.count_if(pol & ~orb).alias("orbit_mismatch"),
+        F.count_if(F.col("bare")).alias("polarization_unlisted"),
     )
 
 
@@ -188,8 +195,8 @@ def coverage(granule_rows: DataFrame, boxes: DataFrame) -> DataFrame:
     """
     box = [F.col(c) for c in ("xmin", "ymin", "xmax", "ymax")]
     met = granule_rows.join(boxes, "event_id")
-    ring = G.pick_ring_reading(F.col("rings"), *box)
-    return met.withColumn("cov", F.coalesce(G.box_coverage(ring, *box), F.lit(0.0))).drop("xmin", "ymin", "xmax", "ymax")
+    cov = F.greatest(G.box_coverage(F.col("rings.as_given"), *box), G.box_coverage(F.col("rings.swapped"), *box))
+    return met.withColumn("cov", F.coalesce(cov, F.lit(0.0))).drop("xmin", "ymin", "xmax", "ymax")
 
 
 def read_sites(
