@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 
 def parse_date(text: Column) -> Column:
     """``dd.mm.yyyy``, ``yyyy/mm/dd`` or ISO; anything else is NULL."""
-    dotted = F.regexp_extract(text, r"^(\d{1,2})\.(\d{1,2})\.(\d{4})$", 0)
-    return F.when(
-        dotted != "", F.try_to_date(text, "d.M.yyyy")
-    ).otherwise(F.coalesce(F.try_to_date(text, "yyyy/M/d"), F.substring(text, 1, 10).try_cast("date")))
+    iso = F.nullif(F.regexp_extract(text, r"^\d{4}-\d{2}-\d{2}", 0), F.lit(""))
+    return (
+        F.when(text.rlike(r"^\d{1,2}\.\d{1,2}\.\d{4}$"), F.try_to_date(text, "d.M.yyyy"))
+        .when(text.rlike(r"^\d{4}/\d{1,2}/\d{1,2}$"), F.try_to_date(text, "yyyy/M/d"))
+        .otherwise(iso.try_cast("date"))
+    )
 
 
 def month_of(text: Column) -> Column:
