@@ -113,4 +113,4 @@ def test_round_trips(spark, epsg):
     there = df.select("lon", "lat", x.alias("x"), y.alias("y"))
     lon, lat = crs.to_lonlat(F.col("x"), F.col("y"), epsg)
     for r in there.select("lon", "lat", lon.alias("a"), lat.alias("b")).collect():
-        assert math.hypot(r["lon"] - r["a"], r["lat"] - r["b"]) < 1e-8
+        assert math.hypot(r["lon"] - r["a"], r["lat"] - r["b"]) < 1e-9
