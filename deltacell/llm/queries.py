@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from deltacell.llm import ngram_join
+from deltacell.llm import ngram_join, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,3 +24,8 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 @query
 def op3_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf, "documents"))
+
+
+@query
+def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
