@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from deltacell.llm import ngram_join, toxicity
+from deltacell.llm import ngram_join, pii, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,3 +29,8 @@ def op3_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query
+def op9_pii(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.span_digest(table(spark, sf, "documents"))
