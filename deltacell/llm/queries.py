@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from deltacell.llm import ngram_join, pii, toxicity
+from deltacell.llm import mixing, ngram_join, pii, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,3 +34,11 @@ def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op9_pii(spark: SparkSession, sf: str) -> DataFrame:
     return pii.span_digest(table(spark, sf, "documents"))
+
+
+@query
+def op8_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.draws(table(spark, sf, "documents"))
+
+
+ORACLES["op8_mixing"] = mixing.MIX_SQL
