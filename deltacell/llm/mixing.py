@@ -128,9 +128,9 @@ bisect AS (
          CASE WHEN safe THEN rlo ELSE rmid END, CASE WHEN safe THEN rmid ELSE rhi END
   FROM (
     SELECT i, lo, hi, rlo, rhi, (lo + hi) / 2 AS mid, (rlo + rhi) / 2 AS rmid,
-      ln(list_sum(list_transform(v, x -> pow(x, (lo + hi) / 2)))) - (lo + hi) / 2 * list_sum(list_transform(v, x -> pow(x, (lo + hi) / 2) * ln(x)))
-        / list_sum(list_transform(v, x -> pow(x, (lo + hi) / 2))) >= 0.9 * ln(k) - 1e-12 AS flat,
-      pow(least, (rlo + rhi) / 2 - 1) / list_sum(list_transform(v, x -> pow(x, (rlo + rhi) / 2))) <= 4 + 1e-12 AS safe
+      ln(list_sum([pow(x, (lo + hi) / 2) for x in v])) - (lo + hi) / 2 * list_sum([pow(x, (lo + hi) / 2) * ln(x) for x in v])
+        / list_sum([pow(x, (lo + hi) / 2) for x in v]) >= 0.9 * ln(k) - 1e-12 AS flat,
+      pow(least, (rlo + rhi) / 2 - 1) / list_sum([pow(x, (rlo + rhi) / 2) for x in v]) <= 4 + 1e-12 AS safe
     FROM bisect, ps WHERE i < 40)
 ), ends AS (
   SELECT CASE WHEN hi = 1 THEN 1 ELSE lo END AS lo, CASE WHEN rlo = 0 THEN 0 ELSE rhi END AS rhi FROM bisect WHERE i = 40
