@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from deltacell.llm import mixing, ngram_join, pii, toxicity
+from deltacell.llm import mixing, ngram_join, packing, pii, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -42,3 +42,8 @@ def op8_mixing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 ORACLES["op8_mixing"] = mixing.MIX_SQL
+
+
+@query
+def op1_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pieces(table(spark, sf, "documents"))
