@@ -119,7 +119,7 @@ def _classes(counts: np.ndarray) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, classes, size: int, percent: int, bits: int, levels: int) -> DataFrame:
-    """Index rows (token, node, n, level): each document's adaptive prefix.
+    """Index rows (token, node, size): each document's adaptive prefix; ``size`` is 16 n + level.
 
     ``classes`` is the broadcast sketch. For level ``l`` the cost is the expected length of the
     prefix's lists plus four times the candidates that can match ``l`` of them.
@@ -151,10 +151,9 @@ def prefixes(docs: DataFrame, classes, size: int, percent: int, bits: int, level
                 who = owner[keep]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(values[keep].view(np.int64)), pa.array(ids[a:b][who], pa.int64()),
-                     pa.array(n[who].astype(np.int32)), pa.array(level[who].astype(np.int32))],
-                    ["token", "node", "n", "level"])
+                     pa.array(16 * n[who] + level[who])], ["token", "node", "size"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "token long, node long, n int, level int")
+    return docs.select("doc_id", "text").mapInArrow(run, "token long, node long, size long")
 
 
 def block_links(table: pa.Table, size: int, percent: int) -> pa.Table:
@@ -218,10 +217,10 @@ def jaccard_components(
 
     classes = docs.sparkSession.sparkContext.broadcast(_classes(count_sketch(single, size, bits)))
     index = settle(prefixes(single, classes, size, percent, bits, levels))
-    live = index.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("tie")).where("c > 1")
+    live = index.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     rows = settle(index.join(live, "token"))
 
-    small = rows.where(F.col("c") <= bucket)
+    small = rows.where(F.col("c") <= bucket).withColumns({"n": F.shiftright("size", 4), "level": F.col("size") % 16})
     a = small.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("level").alias("la"))
     b = small.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("level").alias("lb"))
     meet = (F.col("a") < F.col("b")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
@@ -229,7 +228,9 @@ def jaccard_components(
         a.join(b, (a["token"] == b["token"]) & meet).groupBy("a", "b")
         .agg(F.count(F.lit(1)).alias("shared"), F.first(F.least("la", "lb")).alias("level")).where("shared >= level").select("a", "b")
     )
-    ties = rows.where(F.col("c") > bucket).select(F.col("node").alias("a"), F.col("tie").alias("b")).distinct()
+    common = rows.where(F.col("c") > bucket)
+    tie = common.groupBy("token").agg(F.min("node").alias("b"))
+    ties = common.join(tie, "token").select(F.col("node").alias("a"), "b").distinct()
     found = settle(components(pairs.union(ties)))
     family = settle(found.union(found.select(F.col("root").alias("node"), "root").distinct()))
 
