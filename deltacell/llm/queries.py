@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from deltacell.llm import mixing, ngram_join, packing, pii, toxicity
+from deltacell.llm import mixing, neighbours, ngram_join, packing, pii, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -47,3 +47,9 @@ ORACLES["op8_mixing"] = mixing.MIX_SQL
 @query
 def op1_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pieces(table(spark, sf, "documents"))
+
+
+@query
+def op2_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = table(spark, sf, "embeddings")
+    return neighbours.nearest(vectors, vectors.where("vec_id % 20 = 0"))
