@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from deltacell.llm import mixing, neighbours, ngram_join, packing, pii, toxicity
+from deltacell.llm import mixing, neighbours, ngram_join, packing, pii, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -53,3 +53,8 @@ def op1_packing(spark: SparkSession, sf: str) -> DataFrame:
 def op2_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     vectors = table(spark, sf, "embeddings")
     return neighbours.nearest(vectors, vectors.where("vec_id % 20 = 0"))
+
+
+@query
+def op7_quality(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.rules(table(spark, sf, "documents"))
