@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from deltacell.llm import mixing, neighbours, ngram_join, packing, pii, quality, toxicity
+from deltacell.llm import mixing, neighbours, ngram_join, packing, pii, quality, template, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -58,3 +58,8 @@ def op2_neighbours(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op7_quality(spark: SparkSession, sf: str) -> DataFrame:
     return quality.rules(table(spark, sf, "documents"))
+
+
+@query
+def op4_template(spark: SparkSession, sf: str) -> DataFrame:
+    return template.texts(table(spark, sf, "pages"))
