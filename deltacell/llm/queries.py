@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from deltacell.llm import mixing, neighbours, ngram_join, packing, pii, quality, template, toxicity
+from deltacell.llm import mixing, neighbours, ngram_join, packing, pii, quality, repeats, template, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -63,3 +63,8 @@ def op7_quality(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op4_template(spark: SparkSession, sf: str) -> DataFrame:
     return template.texts(table(spark, sf, "pages"))
+
+
+@query
+def op6_repeats(spark: SparkSession, sf: str) -> DataFrame:
+    return repeats.repeats(table(spark, sf, "documents"))
