@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from deltacell.llm import mixing, neighbours, ngram_join, packing, pii, quality, repeats, template, toxicity
+from deltacell.llm import mixing, neighbours, ngram_join, packing, pii, quality, repeats, template, toxicity, url_lists
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -68,3 +68,12 @@ def op4_template(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op6_repeats(spark: SparkSession, sf: str) -> DataFrame:
     return repeats.repeats(table(spark, sf, "documents"))
+
+
+@query
+def op5_url_lists(spark: SparkSession, sf: str) -> DataFrame:
+    pages = table(spark, sf, "pages")
+    return url_lists.judge(url_lists.dated_captures(pages), url_lists.dated_lists(pages))
+
+
+ORACLES["op5_url_lists"] = url_lists.LISTS_SQL
