@@ -524,7 +524,7 @@ def index_study(spark, sf):
 @query("stride_sample", """
 SELECT grid_id, count(*) AS n, round(sum(value), 6) AS total FROM raw_field WHERE "row" % 3 = 0 AND col % 3 = 0 GROUP BY grid_id""", "raw_field")
 def stride_sample(spark, sf):
-    s = stack.stride_sample(V.raw_field(spark, sf), stack.stride_for(4_500_000))
+    s = stack.stride_sample(V.raw_field(spark, sf), 3)
     return s.groupBy("grid_id").agg(F.count(F.lit(1)).alias("n"), r6(F.sum("value")).alias("total"))
 
 
@@ -586,6 +586,14 @@ def median_filter(spark, sf):
     return focal.median_filter(V.field(spark, sf), 3, tile=64).withColumn("value", r6("value"))
 
 
+@query("median_filter_negative_rows", ", low AS (SELECT grid_id, \"row\" - 70 AS \"row\", col - 9 AS col, value FROM field)" + _window_sql("low", 1) + """
+SELECT grid_id, "row", col, CASE WHEN any_value(centre) IS NOT NULL THEN round(median(v), 6) END AS value FROM win
+GROUP BY grid_id, "row", col""", "raw_field field")
+def median_filter_negative_rows(spark, sf):
+    low = V.field(spark, sf).withColumn("row", F.col("row") - 70).withColumn("col", F.col("col") - 9)
+    return focal.median_filter(low, 3, tile=64).withColumn("value", r6("value"))
+
+
 @query("median_filter_sparse", _window_sql("sparse_field", 2) + """
 SELECT grid_id, "row", col, CASE WHEN any_value(centre) IS NOT NULL THEN round(median(v), 6) END AS value FROM win
 GROUP BY grid_id, "row", col""", "raw_field sparse_field")

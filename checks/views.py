@@ -43,14 +43,15 @@ def sparse_field(spark: SparkSession, sf: str) -> DataFrame:
 
 def layers(spark: SparkSession, sf: str) -> DataFrame:
     """Two coherence layers per cell."""
+    half = F.floor(F.size("embedding") / 2).cast("int")
     e = table(spark, sf, "embeddings").select(
-        "vec_id", "label", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("col"), "embedding"
+        "vec_id", "label", half.alias("half"), F.explode(F.sequence(F.lit(0), half - 1)).alias("col"), "embedding"
     )
     at = lambda i: (F.get("embedding", i).cast("double") + 1) / 2
     return e.select(
         F.concat(F.lit("g"), F.floor(F.col("vec_id") / 250).cast("string")).alias("grid_id"),
         (F.col("vec_id") % 250).cast("int").alias("row"), "col", at(F.col("col")).alias("target"),
-        at(F.col("col") + 32).alias("control"), "label",
+        at(F.col("col") + F.col("half")).alias("control"), "label",
     )
 
 
@@ -146,8 +147,8 @@ SELECT grid_id, "row", col, CASE WHEN abs(value) < 0.25 THEN value END AS value
 SELECT grid_id, "row", col, CASE WHEN abs(value) < 0.05 THEN value END AS value FROM raw_field""",
     "layers": """
 SELECT 'g' || CAST(vec_id // 250 AS VARCHAR) AS grid_id, CAST(vec_id % 250 AS INTEGER) AS "row", CAST(c AS INTEGER) AS col,
-  (CAST(embedding[c + 1] AS DOUBLE) + 1) / 2 AS target, (CAST(embedding[c + 33] AS DOUBLE) + 1) / 2 AS control, label
-FROM embeddings, range(32) t(c)""",
+  (CAST(embedding[c + 1] AS DOUBLE) + 1) / 2 AS target, (CAST(embedding[c + 1 + len(embedding) // 2] AS DOUBLE) + 1) / 2 AS control, label
+FROM (SELECT *, unnest(range(len(embedding) // 2)) AS c FROM embeddings)""",
     "classes": """
 SELECT 'g' || CAST(p_partkey // 1000 AS VARCHAR) AS grid_id, CAST((p_partkey % 1000) // 50 AS INTEGER) AS "row",
   CAST(p_partkey % 50 AS INTEGER) AS col, p_size % 10 * 10 AS cls, p_size * 2 AS cover, p_size % 25 AS loss FROM part""",

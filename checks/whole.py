@@ -83,6 +83,61 @@ def detect_coherence(spark, sf):
     return _run(detect.detect_coherence(V.coherence(spark, sf), offset=0.05, tile=TILE))
 
 
+_ANALYSIS, _BACKGROUND = "col >= 8", '"row" % 3 <> 0'
+
+
+def _masks(spark, sf):
+    cells = V.layers(spark, sf).select(*CELL)
+    return {"analysis": cells.where("col >= 8"), "background": cells.where("row % 3 <> 0")}
+
+
+def _coherence_sql(score: str, sample: str, inside: str) -> str:
+    return f"""
+, sc AS (SELECT grid_id, "row", col, {score} AS value FROM layers)""" + _filtered_sql("sc", "m") + f"""
+, t AS (SELECT grid_id, median(value) + 0.05 AS threshold FROM sc WHERE {sample} GROUP BY grid_id),
+f AS (SELECT grid_id, "row", col FROM m JOIN t USING (grid_id) WHERE value > threshold AND {inside})""" \
+        + _components_sql("f") + _DETECTED.format(n=6, m2="6400.0::DOUBLE")
+
+
+@query("detect_coherence_two_masks", _coherence_sql("control - target", f"{_ANALYSIS} AND {_BACKGROUND}", _ANALYSIS), "layers")
+def detect_coherence_two_masks(spark, sf):
+    return _run(detect.detect_coherence(V.coherence(spark, sf), offset=0.05, tile=TILE, **_masks(spark, sf)))
+
+
+@query("detect_coherence_gain", _coherence_sql("target - control", f"{_ANALYSIS} AND {_BACKGROUND}", _ANALYSIS), "layers")
+def detect_coherence_gain(spark, sf):
+    return _run(detect.detect_coherence(V.coherence(spark, sf), mode="persistent_gain", offset=0.05, tile=TILE, **_masks(spark, sf)))
+
+
+@query("detect_coherence_water", _coherence_sql("control - target", f"col % 5 <> 0 AND {_BACKGROUND}", "col % 5 <> 0"), "layers")
+def detect_coherence_water(spark, sf):
+    water = V.layers(spark, sf).select(*CELL, (F.col("col") % 5 != 0).cast("int").alias("value"))
+    return _run(detect.detect_coherence(V.coherence(spark, sf), offset=0.05, tile=TILE, water=water, background=_masks(spark, sf)["background"]))
+
+
+@query("detect_coherence_flooded", _coherence_sql("control - target", _ANALYSIS, _ANALYSIS), "layers")
+def detect_coherence_flooded(spark, sf):
+    """A water mask that covers more than half of the grid is not believed."""
+    water = V.layers(spark, sf).select(*CELL, (F.col("col") % 5 == 0).cast("int").alias("value"))
+    return _run(detect.detect_coherence(V.coherence(spark, sf), offset=0.05, tile=TILE, water=water, analysis=_masks(spark, sf)["analysis"]))
+
+
+@query("safeguard_gain", f"""
+SELECT grid_id, 'analysis' AS zone, round(avg(control) FILTER ({_ANALYSIS}), 4) AS coh_mean,
+  round(count(*) FILTER ({_BACKGROUND}) / count(*), 4) AS forest_share, false AS flagged FROM layers GROUP BY grid_id""", "layers")
+def safeguard_gain(spark, sf):
+    d = detect.detect_coherence(V.coherence(spark, sf), mode="persistent_gain", offset=0.05, tile=TILE, **_masks(spark, sf))
+    return d.extras["safeguard"].select("grid_id", "zone", "coh_mean", "forest_share", "flagged")
+
+
+@query("medians_in_masks", f"""
+SELECT grid_id, count(control - target) AS n_valid, round(median(target), 6) AS target_median, round(median(control), 6) AS control_median,
+  round(median(control - target), 6) AS score_median FROM layers WHERE {_ANALYSIS} AND {_BACKGROUND} GROUP BY grid_id""", "layers")
+def medians_in_masks(spark, sf):
+    d = detect.detect_coherence(V.coherence(spark, sf), offset=0.05, tile=TILE, **_masks(spark, sf))
+    return d.extras["medians"].select("grid_id", "n_valid", *[r6(c).alias(c) for c in ("target_median", "control_median", "score_median")])
+
+
 @query("detected_outlines")
 def detected_outlines(spark, sf):
     d = detect.detect_coherence(V.coherence(spark, sf), offset=0.05, tile=TILE)

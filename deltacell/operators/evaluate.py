@@ -296,13 +296,17 @@ def mask_coverage(cells: DataFrame, keys: Sequence[str], masks: Sequence[str], r
     )
 
 
-def safeguard(layers: DataFrame, share: DataFrame | None, mode: str = "event_drop", zone: str = "scene") -> DataFrame:
-    """Applicability check per grid: mean target coherence of the zone and forest share.
-
-    ``layers`` are the zone's cells with ``target``; ``share`` has (grid_id, forest_share). Flags
-    are raised in ``event_drop`` only.
+def safeguard(
+    layers: DataFrame, share: DataFrame | None, mode: str = "event_drop", zone: str = "scene", has_control: bool = True
+) -> DataFrame:
+    """Applicability check per grid: mean coherence of the zone before the event, and forest share.
+
+    ``layers`` are the zone's cells with ``target`` and ``control``; ``share`` has (grid_id,
+    forest_share). In ``persistent_gain`` only the control pair lies before the event, so its mean
+    is taken. Flags are raised in ``event_drop`` only.
     """
-    out = layers.groupBy("grid_id").agg(F.avg("target").alias("coh_mean"))
+    layer = "control" if mode == "persistent_gain" and has_control else "target"
+    out = layers.groupBy("grid_id").agg(F.avg(layer).alias("coh_mean"))
     if share is not None:
         out = out.join(share.select("grid_id", "forest_share"), "grid_id", "left")
     else:

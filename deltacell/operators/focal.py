@@ -32,7 +32,7 @@ def tile_of(name: str, tile: int = TILE) -> Column:
 def spread(cells: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
     """Give every cell to its tile and to each tile whose rim it belongs to, then cluster by tile."""
     def reach(name: str) -> Column:
-        lo = F.greatest(F.floor((F.col(name) - radius) / tile), F.lit(0)).cast("int")
+        lo = F.floor((F.col(name) - radius) / tile).cast("int")
         return F.sequence(lo, F.floor((F.col(name) + radius) / tile).cast("int"))
 
     placed = cells.withColumn("_tr", F.explode(reach("row"))).withColumn("_tc", F.explode(reach("col")))

@@ -118,6 +118,15 @@ def within(cells: DataFrame, mask: DataFrame) -> DataFrame:
     return cells.join(mask.select(*CELL).distinct(), CELL, "left_semi")
 
 
+def both_masks(*masks: DataFrame | None) -> DataFrame | None:
+    """Cells of every mask given; no mask at all means no restriction."""
+    given = [m for m in masks if m is not None]
+    out = given[0].select(*CELL).distinct() if given else None
+    for m in given[1:]:
+        out = within(out, m)
+    return out
+
+
 def statistics_sample(cells: DataFrame, background: DataFrame | None = None, analysis: DataFrame | None = None) -> DataFrame:
     """Background mask first, then the analysis mask, then the whole grid."""
     chosen = background if background is not None else analysis
@@ -160,7 +169,3 @@ def score_cells(layers: DataFrame, mode: str = "event_drop", has_control: bool =
 def stride_sample(cells: DataFrame, stride: int) -> DataFrame:
     """Every stride-th row and column: the study's own sampling operator."""
     return cells.where((F.col("row") % stride == 0) & (F.col("col") % stride == 0))
-
-
-def stride_for(n_background: int, cap: int = 1_500_000, hint: int = 1) -> int:
-    return max(1, n_background // cap, hint)

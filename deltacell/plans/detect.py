@@ -108,17 +108,23 @@ def detect_lband(obs: DataFrame, available: Sequence[str], wanted: Sequence[str]
 def detect_coherence(
     coherence: DataFrame, *, mode: str = "event_drop", has_control: bool = True, threshold_mode: str = "adaptive",
     offset: float = S.COHERENCE_OFFSET, fixed: float = S.COHERENCE_FIXED, analysis: DataFrame | None = None,
-    background: DataFrame | None = None, nodata: float | None = None, median_size: int = S.MEDIAN_SIZE,
-    smooth_size: int = 1, min_pixels: int = S.MIN_PIXELS_80M, cell_m2: float = 6400.0, min_area_ha: float | None = None,
-    products: DataFrame | None = None, tile: int = focal.TILE,
+    background: DataFrame | None = None, water: DataFrame | None = None, nodata: float | None = None,
+    median_size: int = S.MEDIAN_SIZE, smooth_size: int = 1, min_pixels: int = S.MIN_PIXELS_80M, cell_m2: float = 6400.0,
+    min_area_ha: float | None = None, products: DataFrame | None = None, tile: int = focal.TILE,
 ) -> Detection:
     """Coherence change of a target pair against a control pair.
 
     ``products`` (grid_id, target, control paths) are checked first; a mismatch is an error.
+    ``water`` (cells with value 1 on land, 0 on water) keeps land where it is believable and joins
+    the analysis mask. Threshold and medians are taken over cells inside both masks. The safeguard
+    looks at the analysis mask, else the background; the forest share is that of the background,
+    else of the analysis mask. A grid without any valid cell in its sample is an error.
     """
     if threshold_mode not in ("adaptive", "fixed"):
         raise ValueError(f"unknown threshold mode: {threshold_mode}")
     extras = {}
+    if water is not None:
+        analysis = settle(stack.both_masks(analysis, E.usable_land(water, ["grid_id"])))
     if products is not None:
         a, b = N.parse_product(F.col("target")), N.parse_product(F.col("control"))
         parsed = products.select("grid_id", a.alias("a"), b.alias("b"))
@@ -126,21 +132,29 @@ def detect_coherence(
         extras["issues"] = settle(parsed.select("grid_id", C.reject_errors(issues).alias("issues")))
     layers = settle(stack.score_cells(stack.coherence_layers(coherence, nodata), mode, has_control))
     index = layers.select(*CELL, "value")
+    masks = stack.both_masks(analysis, background)
+    sample = layers.where("value is not null")
+    sample = sample if masks is None else stack.within(sample, masks)
     if threshold_mode == "adaptive":
-        thresholds = stack.median_threshold(stack.statistics_sample(index, background, analysis), offset)
+        thresholds = stack.median_threshold(sample, offset)
     else:
-        thresholds = stack.fixed_threshold(index, fixed)
+        thresholds = stack.fixed_threshold(sample, fixed)
+    thresholds = settle(thresholds)
+    missing = layers.select("grid_id").distinct().join(thresholds, "grid_id", "left_anti").limit(5).collect()
+    if missing:
+        raise ValueError(f"no valid cells inside the masks of {sorted(r[0] for r in missing)}")
     zone = analysis if analysis is not None else background
     name = "analysis" if analysis is not None else "background" if background is not None else "scene"
     share = None
     if zone is not None:
-        inside = zone.select(*CELL).distinct().withColumn("_in", F.lit(1))
+        forest = background if background is not None else analysis
+        inside = forest.select(*CELL).distinct().withColumn("_in", F.lit(1))
         share = layers.join(inside, CELL, "left").groupBy("grid_id").agg(
             (F.count("_in") / F.count(F.lit(1))).alias("forest_share")
         )
     zoned = layers if zone is None else stack.within(layers, zone)
-    extras["safeguard"] = E.safeguard(zoned, share, mode, name)
-    extras["medians"] = E.layer_medians(layers)
+    extras["safeguard"] = E.safeguard(zoned, share, mode, name, has_control)
+    extras["medians"] = E.layer_medians(sample)
     return _finish(
-        index, settle(thresholds), min_pixels, median_size, smooth_size, analysis, cell_m2, min_area_ha, tile, extras
+        index, thresholds, min_pixels, median_size, smooth_size, analysis, cell_m2, min_area_ha, tile, extras
     )

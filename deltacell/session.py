@@ -31,17 +31,16 @@ def build_session(app: str = "deltacell", master: str | None = None, **conf: str
 def scratch_root(spark: SparkSession) -> str:
     """Shared folder for intermediate tables: ``spark.checkpoint.dir`` as the cluster names it.
 
-    Only a local master may fall back to a fresh folder of its own; on a cluster a folder that
-    one machine owns would be lost with that machine.
+    Where it is unset and one machine does all the work, as in tests, the context gets a fresh
+    folder. On a cluster that is an error, as a folder of one machine would be lost with it.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    if not named:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        named = spark.sparkContext.getCheckpointDir()
+    return named.rstrip("/")
 
 
 def settle(df: DataFrame) -> DataFrame:

@@ -4,24 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def pending(events: DataFrame, results_path: str, key: str = "event_id") -> DataFrame:
-    """Events not in the results yet. A results folder that does not exist means all of them."""
+    """Events without a result yet: not tried, or tried with an error. Without a results folder, all of them."""
     spark = events.sparkSession
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(results_path)
     if not hadoop.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(hadoop):
         return events
-    return events.join(spark.read.parquet(results_path).select(key), key, "left_anti")
+    return events.join(spark.read.parquet(results_path).where("error is null").select(key), key, "left_anti")
 
 
 def append_results(events: DataFrame, results_path: str, evaluate: Callable[[DataFrame], DataFrame], key: str = "event_id") -> None:
     """Evaluate what is pending as one job and append it.
 
-    An event that yields no row is recorded with an error text, so that it is not tried again
-    unnoticed. All pending events run as keys of one plan rather than one after another.
+    An event that yields no row is recorded with an error text and tried again by the next call;
+    :func:`latest` leaves its outdated error rows out. All pending events run as keys of one plan
+    rather than one after another.
     """
     todo = pending(events, results_path, key)
     if todo.isEmpty():
@@ -30,3 +31,11 @@ def append_results(events: DataFrame, results_path: str, evaluate: Callable[[Dat
     rows = todo.select(key).join(done.withColumn("_ok", F.lit(True)), key, "left")
     error = F.when(F.col("_ok").isNull(), F.lit("no result")).cast("string")
     rows.withColumn("error", error).drop("_ok").write.mode("append").parquet(results_path)
+
+
+def latest(spark: SparkSession, results_path: str, key: str = "event_id") -> DataFrame:
+    """Results, and one error row of each event that has none."""
+    rows = spark.read.parquet(results_path)
+    done = rows.where("error is null")
+    failed = rows.where("error is not null").join(done.select(key), key, "left_anti").dropDuplicates([key])
+    return done.union(failed)

@@ -143,8 +143,8 @@ def test_sinks_and_incremental(spark, tmp_path, cells):
     incremental.append_results(events.where("event_id < 2"), path, evaluate)
     incremental.append_results(events, path, evaluate)
     incremental.append_results(events, path, evaluate)
-    rows = {r["event_id"]: r["error"] for r in spark.read.parquet(path).collect()}
-    assert seen == [{1}, {2, 3}] and rows == {1: None, 2: None, 3: "no result"}
+    rows = [(r["event_id"], r["error"]) for r in incremental.latest(spark, path).orderBy("event_id").collect()]
+    assert seen == [{1}, {2, 3}, {3}] and rows == [(1, None), (2, None), (3, "no result")]
     f = sinks.site_features(spark.createDataFrame([(1, [[{"x": 0.0, "y": 0.0}, {"x": 1.0, "y": 0.0}, {"x": 0.0, "y": 1.0}]])], "id int, rings array<array<struct<x:double,y:double>>>"))
     doc = json.loads(f.first()["value"])
     assert doc["properties"] == {"id": 1} and doc["geometry"]["coordinates"][0][0][0] == [0.0, 0.0] and len(doc["geometry"]["coordinates"][0][0]) == 4
