@@ -586,8 +586,8 @@ def median_filter(spark, sf):
     return focal.median_filter(V.field(spark, sf), 3, tile=64).withColumn("value", r6("value"))
 
 
-@query("median_filter_negative_rows", ", low AS (SELECT grid_id, \"row\" - 70 AS \"row\", col - 9 AS col, value FROM field)" + _window_sql("low", 1) + """
-SELECT grid_id, "row", col, CASE WHEN any_value(centre) IS NOT NULL THEN round(median(v), 6) END AS value FROM win
+@query("median_filter_negative_rows", _window_sql("field", 1) + """
+SELECT grid_id, "row" - 70 AS "row", col - 9 AS col, CASE WHEN any_value(centre) IS NOT NULL THEN round(median(v), 6) END AS value FROM win
 GROUP BY grid_id, "row", col""", "raw_field field")
 def median_filter_negative_rows(spark, sf):
     low = V.field(spark, sf).withColumn("row", F.col("row") - 70).withColumn("col", F.col("col") - 9)
