@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from deltacell.llm import mixing, ngram_join, packing, pii, toxicity
+from deltacell.llm.ids import by_ids
 from deltacell.session import settle
 
 #: Models and tokenizers have no SQL form; the stages are tested against brute force.
@@ -34,11 +35,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     stays. Only ids of what goes are joined, as they are few.
     """
     groups = settle(ngram_join.jaccard_components(docs))
-    gone = settle(groups.where("doc_id <> component_id").select("doc_id").distinct())
+    gone = settle(groups.where("doc_id <> component_id").select("doc_id"))
     many = settle(groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    kept = docs.where("doc_id is not null").join(settle(gone.union(many).distinct()), "doc_id", "left_anti")
+    kept = by_ids(docs.where("doc_id is not null"), gone.union(many), "left_anti")
     first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text", "lang", "source", "n_chars"))
-    repeated = docs.join(many, "doc_id", "left_semi").join(gone, "doc_id", "left_anti")
+    repeated = by_ids(by_ids(docs, many, "left_semi"), gone, "left_anti")
     once = repeated.withColumn("_k", F.row_number().over(first)).where("_k = 1")
     names = docs.columns
     return kept.select(*names).union(once.select(*names)).union(docs.where("doc_id is null"))

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from deltacell.llm import words as W
 from deltacell.llm.graph import components
+from deltacell.llm.ids import by_ids
 from deltacell.session import settle
 
 CHUNKS = 64
@@ -212,8 +213,8 @@ def jaccard_components(
         keys.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"))
     )
     repeated = groups.where("copies > 1").select("set_key", "node")
-    copies = settle(keys.join(repeated, "set_key").where("node <> doc_id").select("doc_id").distinct())
-    single = docs.where("doc_id is not null").join(copies, "doc_id", "left_anti")
+    copies = keys.join(repeated, "set_key").where("node <> doc_id").select("doc_id")
+    single = by_ids(docs.where("doc_id is not null"), copies, "left_anti")
 
     classes = docs.sparkSession.sparkContext.broadcast(_classes(count_sketch(single, size, bits)))
     index = settle(prefixes(single, classes, size, percent, bits, levels))
@@ -237,12 +238,11 @@ def jaccard_components(
     blocks = family.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("k"))
     own = F.pmod(F.xxhash64("node"), F.col("k")).cast("int")
     dealt = family.join(blocks, "root").withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, k - 1)")))
-    # Both tables of ids are written first, so that Spark knows their sizes and moves no text for small ones.
     dealt = dealt.select(
         "node", "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
         F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") > F.col("other")).cast("int")).alias("side"),
     )
-    texts = single.withColumnRenamed("doc_id", "node").join(settle(dealt), "node")
+    texts = by_ids(single.withColumnRenamed("doc_id", "node"), family.select("node"), "left_semi", "node").join(dealt, "node")
     links = texts.groupBy("root", "i", "j").applyInArrow(
         lambda t: block_links(t, size, percent), "a long, b long"
     )

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from deltacell.llm import words as W
+
 SCHEMA = (
     "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, tier int, step_group long, ids binary"
 )
@@ -170,7 +172,7 @@ def step_groups(sequences: list[list[Piece]], step_tokens: int) -> list[int]:
 
 def pack(
     docs: DataFrame, vocabulary: Vocabulary | None = None, sizes: tuple[int, ...] = (1024, 512, 256, 128), end_id: int = 0,
-    step_tokens: int = 16 * 1024, pool: int = 1 << 20,
+    step_tokens: int = 16 * 1024, pool: int = 1 << 18,
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, doc_tokens, sequence_id, offset, tier (tokens of the
     sequence), step_group, ids (little-endian unsigned 32-bit).
@@ -213,7 +215,7 @@ def pack(
             names = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "tier", "step_group", "ids"]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
-        for batch in batches:
+        for batch in W.slices(batches):
             ids = batch.column(0).to_pylist()
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for doc, found in zip(ids, encode(texts), strict=True):

@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from deltacell.llm import words as W
+
 KINDS = ("email", "ip", "card", "phone")
 SPANS = "array<struct<kind:string,start:int,end:int,base:boolean>>"
 
@@ -370,8 +372,8 @@ def find_spans(docs: DataFrame, labelled: list | None = None) -> DataFrame:
 
     def run(batches):
         cache: dict[str, int] = {}
-        for batch in batches:
-            texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
+        for batch in W.slices(batches):
+            texts = [t or "" for t in batch.column(at).cast(pa.string()).to_pylist()]
             base = [base_spans(t) if _SIGNAL.search(t) else [] for t in texts]
             more = added_spans(texts, base, shared.value, cache)
             spans = [
@@ -379,10 +381,11 @@ def find_spans(docs: DataFrame, labelled: list | None = None) -> DataFrame:
                  sorted([*((s, True) for s in x), *((s, False) for s in y)], key=lambda s: (KINDS.index(s[0][0]), s[0][1]))]
                 for x, y in zip(base, more, strict=True)
             ]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(spans, kind)], names=[*batch.schema.names[:-1], "spans"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(spans, kind)], names=[*batch.schema.names, "spans"])
 
     kept = [f for f in docs.schema.fields if f.name != "spans"]
-    given = docs.select(*[F.col(f"`{f.name}`") for f in kept], F.col("text").cast("string").alias("_searched"))
+    at = [f.name for f in kept].index("text")
+    given = docs.select(*[F.col(f"`{f.name}`") for f in kept])
     schema = T.StructType([*kept, T.StructField("spans", T._parse_datatype_string(SPANS))])
     return given.mapInArrow(run, schema)
 

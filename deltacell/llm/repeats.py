@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from deltacell.llm import words as W
 from deltacell.llm.graph import components
+from deltacell.llm.ids import by_ids
 from deltacell.llm.ngram_join import block_links
 from deltacell.session import settle
 
@@ -166,12 +167,12 @@ def near_lines(docs: DataFrame, every: DataFrame, least: int, size: int, percent
     dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, k - 1)"))).select(
         "node", "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
         F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") > F.col("other")).cast("int")).alias("side"))
-    # One document of each line is read again; tables of ids are written first, so that Spark knows their sizes.
+    # One document of each line is read again.
     holder = settle(every.where("kind = 0").join(family.select(F.col("node").alias("unit")), "unit").groupBy("unit").agg(F.min("doc_id").alias("doc_id")))
-    some = docs.join(settle(holder.select("doc_id").distinct()), "doc_id", "left_semi")
+    some = by_ids(docs, holder.select("doc_id"), "left_semi")
     texts = line_texts(some.select("doc_id", "text"), least).join(holder, ["doc_id", "unit"])
     texts = texts.groupBy(F.col("unit").alias("node")).agg(F.first("text").alias("text"))
-    links = texts.join(settle(dealt), "node").groupBy("root", "i", "j").applyInArrow(
+    links = texts.join(dealt, "node").groupBy("root", "i", "j").applyInArrow(
         lambda t: block_links(t, size, percent), "a long, b long")
     return settle(components(links))
 

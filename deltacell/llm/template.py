@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from deltacell.llm import words as W
 from deltacell.session import settle
 
 _TOKEN = re.compile(
@@ -176,7 +177,7 @@ def elements(pages: DataFrame) -> DataFrame:
             kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32()]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-        for batch in batches:
+        for batch in W.slices(batches):
             for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 source = source or ""
                 page = Page(source)
@@ -245,7 +246,7 @@ def extract(pages: DataFrame) -> DataFrame:
     given = given.select(*[F.col(f"`{f.name}`") for f in kept], "_html", F.map_keys("known").alias("_e"), F.map_values("known").alias("_w"))
 
     def run(batches):
-        for batch in batches:
+        for batch in W.slices(batches):
             n = batch.num_columns
             out = []
             for source, e, w in zip(*(batch.column(k).to_pylist() for k in (n - 3, n - 2, n - 1)), strict=True):

@@ -199,7 +199,7 @@ def learn_lexicon(sample: DataFrame, most: int = 64) -> dict[str, float]:
     """Terms of the sample with their log odds. A term must be too frequent among positives to be chance."""
     def count(batches):
         seen: Counter = Counter()
-        for batch in batches:
+        for batch in W.slices(batches):
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 terms = {""}
                 for w in set(_WORD.findall((text or "").lower())):
@@ -260,7 +260,7 @@ def learn(docs: DataFrame, labels: DataFrame, toxic: int = 3000, clean: int = 60
     auto = compile_lexicon(learn_lexicon(sample, terms))
 
     def measure(batches):
-        for batch in batches:
+        for batch in W.slices(batches):
             x = features(auto, batch.column(0), window)
             yield pa.RecordBatch.from_arrays([*(pa.array(x[:, k]) for k in range(FEATURES)), batch.column(1)], [*"abcde", "label"])
 
@@ -276,15 +276,14 @@ def learn(docs: DataFrame, labels: DataFrame, toxic: int = 3000, clean: int = 60
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """All columns of ``docs`` with ``score`` (0 to 1). Null and empty texts score as texts without a hit."""
     def run(batches):
-        for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
-            x = features(model.automaton, texts, model.window)
+        for batch in W.slices(batches):
+            x = features(model.automaton, batch.column(at).cast(pa.string()), model.window)
             z = np.clip(x @ model.beta[:-1] + model.beta[-1], -30, 30)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(1 / (1 + np.exp(-z)))],
-                                             names=[*batch.schema.names[:-1], "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-z)))], names=[*batch.schema.names, "score"])
 
     kept = [f for f in docs.schema.fields if f.name != "score"]
-    given = docs.select(*[F.col(f"`{f.name}`") for f in kept], F.col("text").cast("string").alias("_scored"))
+    at = [f.name for f in kept].index("text")
+    given = docs.select(*[F.col(f"`{f.name}`") for f in kept])
     return given.mapInArrow(run, T.StructType([*kept, T.StructField("score", T.DoubleType())]))
 
 

@@ -20,7 +20,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BYTE = np.random.default_rng(20240131).integers(1, 1 << 63, 256, dtype=np.uint64)
 #: Texts of a batch are taken in runs of about this many bytes, which bounds what the arrays hold.
-RUN_BYTES = 4 << 20
+RUN_BYTES = 1 << 20
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -70,6 +70,15 @@ def runs(offsets: np.ndarray, limit: int = RUN_BYTES):
         at = min(end, n)
 
 
+def slices(batches, limit: int = RUN_BYTES):
+    """Record batches cut into slices of about ``limit`` bytes, so that what a task makes of one stays small."""
+    for batch in batches:
+        n = max(1, batch.num_rows * limit // max(1, batch.nbytes))
+        for at in range(0, batch.num_rows, n):
+            yield batch.slice(at, n)
+        pa.default_memory_pool().release_unused()
+
+
 def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end byte of every word, and the first word of each text (one more at the end)."""
     inside = np.zeros(len(raw) + 1, bool)
