@@ -11,6 +11,7 @@ from deltacell.functions import geometry as G
 from deltacell.functions.hull import convex_hull
 from deltacell.operators import cover, evaluate, objects, resample
 from deltacell.session import settle
+from deltacell.sources import catalogs
 
 CELL = ["grid_id", "row", "col"]
 TILE = 64
@@ -221,6 +222,24 @@ def box_coverage(spark, sf):
     return V.table(spark, sf, "supplier").select(k.alias("poly_id"), r6(F.coalesce(G.box_coverage(ring, *box), F.lit(0.0))).alias("share"))
 
 
+@query("granule_coverage", """
+SELECT s_suppkey AS poly_id, round((s_suppkey % 21) / 20.0, 6) AS cov, 4 AS n_hull FROM supplier""")
+def granule_coverage(spark, sf):
+    """Slanted footprints with a notch, against rhombi with dented sides: a line parallel to a side cuts off its share of the hull."""
+    k = F.col("s_suppkey")
+    cx, cy, a, b, u = k % 100 + 0.37, k % 50 + 0.21, F.lit(4.3) + k % 6, F.lit(3.7) + k % 9, (k % 21) / 10 - 1
+    p = lambda x, y: F.struct((cx + x).cast("double").alias("x"), (cy + y).cast("double").alias("y"))
+    dented = F.array(p(-a, a * 0), p(-a * 0.2, b * 0.2), p(a * 0, b), p(a, b * 0), p(a * 0, -b))
+    foot = F.array(p(u * a + 5 * a, -5 * b), p(u * a - 5 * a, 5 * b), p(u * a - 10 * a, b * 0), p(-3 * a, -3 * b), p(u * a, -10 * b))
+    rows = V.table(spark, sf, "supplier").select(
+        k.alias("event_id"), F.struct(foot.alias("as_given"), F.lit(None).cast("array<struct<x:double,y:double>>").alias("swapped")).alias("rings"),
+        convex_hull(F.array(dented)).alias("hull"),
+    )
+    covered = catalogs.coverage(rows.select("event_id", "rings"), rows.select("event_id", "hull"))
+    out = covered.join(rows.select("event_id", F.size("hull").alias("n_hull")), "event_id")
+    return out.select(F.col("event_id").alias("poly_id"), r6("cov").alias("cov"), "n_hull")
+
+
 @query("ring_axis_order", """
 SELECT s_suppkey AS id, CASE WHEN k % 2 = 0 THEN 'given' ELSE 'swapped' END AS reading FROM (SELECT s_suppkey, s_suppkey AS k FROM supplier)""")
 def ring_axis_order(spark, sf):

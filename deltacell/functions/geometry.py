@@ -253,6 +253,29 @@ def clip_to_box(ring: Column, xmin: Column, ymin: Column, xmax: Column, ymax: Co
     return _clip_half_plane(out, lambda p: p["y"] <= ymax, at_y(ymax))
 
 
+def clip_to_convex(ring: Column, hull: Column) -> Column:
+    """Ring cut to a convex ring wound counter-clockwise, one of its sides at a time."""
+    def beyond(e: Column, p: Column) -> Column:
+        return (e["x2"] - e["x1"]) * (p["y"] - e["y1"]) - (e["y2"] - e["y1"]) * (p["x"] - e["x1"])
+
+    def cross(e: Column):
+        def at(p: Column, q: Column) -> Column:
+            t = beyond(e, p) / (beyond(e, p) - beyond(e, q))
+            return F.struct((p["x"] + t * (q["x"] - p["x"])).alias("x"), (p["y"] + t * (q["y"] - p["y"])).alias("y"))
+
+        return at
+
+    shape = "array<struct<x:double,y:double>>"
+    return F.aggregate(
+        edges(hull), ring.cast(shape), lambda r, e: _clip_half_plane(r, lambda p: beyond(e, p) >= 0, cross(e)).cast(shape)
+    )
+
+
+def hull_coverage(ring: Column, hull: Column) -> Column:
+    """Share of a convex ring (counter-clockwise) covered by a ring of any shape."""
+    return F.try_divide(F.abs(ring_signed_area(clip_to_convex(ring, hull))), F.nullif(F.abs(ring_signed_area(hull)), F.lit(0.0)))
+
+
 def box_coverage(ring: Column, xmin: Column, ymin: Column, xmax: Column, ymax: Column) -> Column:
     """Share of a box covered by a ring."""
     clipped = clip_to_box(ring, xmin, ymin, xmax, ymax)

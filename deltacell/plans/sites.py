@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from deltacell.functions import dates as D
 from deltacell.functions import geometry as G
+from deltacell.functions.hull import convex_hull
 from deltacell.operators import chains as C
 from deltacell.operators import cover
 from deltacell.operators import screening as X
@@ -41,8 +42,8 @@ def site_funnel(
     """
     pool = X.candidates(events, processed).withColumn("event_date", D.parse_date(F.col("date_1")))
     pool = settle(pool.withColumn("event_id", event_key(F.col("id"), F.col("date_1"))))
-    box = G.rings_bbox(F.col("geom"))
-    boxes = pool.select("event_id", "event_date", box.alias("_b")).select("event_id", "event_date", "_b.*")
+    hulls = settle(pool.select("event_id", "event_date", convex_hull("geom").alias("hull")))
+    boxes = hulls.select("event_id", "event_date", G.rings_bbox(F.array("hull")).alias("_b")).select("event_id", "event_date", "_b.*")
     before, after = C.WINDOW_DAYS
     days = F.explode(F.sequence(F.date_sub("event_date", before), F.date_add("event_date", after)))
     wanted = boxes.withColumn("_k", F.explode(_box_buckets(F.struct("xmin", "ymin", "xmax", "ymax"), cell)))
@@ -52,7 +53,7 @@ def site_funnel(
     placed = granules.withColumn("_d", F.to_date("ts")).withColumn("_k", F.explode(F.array_distinct(seen)))
     met = salted_join(placed.select("title", "_d", "_k"), wanted, ["_d", "_k"], "inner", salts=4)
     met = granules.join(met.select("event_id", "title").distinct(), "title")
-    covered = catalogs.coverage(met, boxes.drop("event_date")).withColumn("orbit_key", F.col("track_key"))
+    covered = catalogs.coverage(met, hulls.drop("event_date")).withColumn("orbit_key", F.col("track_key"))
     chains = settle(C.select_chains(covered, boxes.select("event_id", "event_date")))
     joined = pool.drop("event_date").join(chains, "event_id").join(landscape, "event_id", "left")
     scored = X.scored(joined)

@@ -188,15 +188,18 @@ def granules(raw: DataFrame) -> DataFrame:
     )
 
 
-def coverage(granule_rows: DataFrame, boxes: DataFrame) -> DataFrame:
-    """Share of each event's box a granule covers, by the ring reading that overlaps it more.
+def coverage(granule_rows: DataFrame, hulls: DataFrame, pad: float = 0.05) -> DataFrame:
+    """Share of each event's hull a granule covers.
 
-    ``granule_rows`` carry event_id; ``boxes``: event_id, xmin, ymin, xmax, ymax.
+    ``granule_rows`` carry event_id; ``hulls``: event_id, hull (convex, counter-clockwise). Of the
+    two ring readings the one that overlaps the hull's box, ``pad`` degrees wider, counts.
     """
-    box = [F.col(c) for c in ("xmin", "ymin", "xmax", "ymax")]
-    met = granule_rows.join(boxes, "event_id")
-    cov = F.greatest(G.box_coverage(F.col("rings.as_given"), *box), G.box_coverage(F.col("rings.swapped"), *box))
-    return met.withColumn("cov", F.coalesce(cov, F.lit(0.0))).drop("xmin", "ymin", "xmax", "ymax")
+    b = F.col("_b")
+    box = [b["xmin"] - pad, b["ymin"] - pad, b["xmax"] + pad, b["ymax"] + pad]
+    met = granule_rows.join(hulls.select("event_id", F.col("hull").alias("_h")), "event_id")
+    met = met.withColumn("_b", G.rings_bbox(F.array("_h")))
+    ring = G.pick_ring_reading(F.col("rings"), *box)
+    return met.withColumn("cov", F.coalesce(G.hull_coverage(ring, F.col("_h")), F.lit(0.0))).drop("_h", "_b")
 
 
 def read_sites(
