@@ -156,6 +156,27 @@ def ring_signed_area(ring: Column) -> Column:
     ) / 2
 
 
+def in_ring(x: Column, y: Column, ring: Column) -> Column:
+    """Whether a point lies inside a ring, by the sides that a line to its right crosses."""
+    def crossed(e: Column) -> Column:
+        level = (e["y1"] <= y) != (e["y2"] <= y)
+        return (level & (x < e["x1"] + (y - e["y1"]) * (e["x2"] - e["x1"]) / F.nullif(e["y2"] - e["y1"], F.lit(0.0)))).cast("int")
+
+    return F.aggregate(edges(ring), F.lit(0), lambda n, e: n + F.coalesce(crossed(e), F.lit(0))) % 2 == 1
+
+
+def nested_polygons(rings: Column) -> Column:
+    """Rings as polygons, each an outer ring followed by its holes; a ring within a hole is a polygon again."""
+    within = lambda r, s: in_ring(r[0]["x"], r[0]["y"], s) & (r != s)
+    deep = F.transform(rings, lambda r: F.struct(r.alias("ring"), F.size(F.filter(rings, lambda s: within(r, s))).alias("depth")))
+
+    def polygon(all_rings: Column, o: Column) -> Column:
+        holes = F.filter(all_rings, lambda h: (h["depth"] == o["depth"] + 1) & within(h["ring"], o["ring"]))
+        return F.concat(F.array(o["ring"]), F.transform(holes, lambda h: h["ring"]))
+
+    return bind(deep, lambda d: F.transform(F.filter(d, lambda o: o["depth"] % 2 == 0), lambda o: polygon(d, o)))
+
+
 def rings_area(rings: Column) -> Column:
     """Planar area of an outer ring followed by its holes, or of several outer rings alike wound."""
     return F.abs(F.aggregate(rings, F.lit(0.0), lambda acc, r: acc + ring_signed_area(r)))

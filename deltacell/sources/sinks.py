@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from deltacell.functions import geometry as G
 from deltacell.operators.focal import TILE, tile_of
 from deltacell.operators.masks import check_grid
 
@@ -41,10 +42,11 @@ def write_composites(obs: DataFrame, composites: DataFrame, path: str) -> None:
 
 
 def _geometry(rings: Column) -> Column:
-    closed = F.transform(rings, lambda r: F.concat(
+    closed = lambda r: F.concat(
         F.transform(r, lambda p: F.array(p["x"], p["y"])), F.array(F.array(r[0]["x"], r[0]["y"]))
-    ))
-    return F.struct(F.lit("MultiPolygon").alias("type"), F.transform(closed, lambda r: F.array(r)).alias("coordinates"))
+    )
+    polygons = F.transform(G.nested_polygons(rings), lambda p: F.transform(p, closed))
+    return F.struct(F.lit("MultiPolygon").alias("type"), polygons.alias("coordinates"))
 
 
 def site_features(sites: DataFrame, rings: str = "rings") -> DataFrame:

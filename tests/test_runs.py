@@ -150,6 +150,16 @@ def test_sinks_and_incremental(spark, tmp_path, cells):
     assert doc["properties"] == {"id": 1} and doc["geometry"]["coordinates"][0][0][0] == [0.0, 0.0] and len(doc["geometry"]["coordinates"][0][0]) == 4
 
 
+def test_holes_stay_holes(spark):
+    def square(at, size):
+        return [{"x": at + dx * size, "y": at + dy * size} for dx, dy in ((0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0))]
+
+    rings = [square(0.0, 10.0), square(2.0, 6.0), square(3.0, 2.0), square(20.0, 1.0)]
+    f = sinks.site_features(spark.createDataFrame([(1, rings)], "id int, rings array<array<struct<x:double,y:double>>>"))
+    polygons = json.loads(f.first()["value"])["geometry"]["coordinates"]
+    assert [[r[0][0] for r in p] for p in polygons] == [[0.0, 2.0], [3.0], [20.0]]
+
+
 def test_scratch_is_the_named_folder(spark):
     assert scratch_root(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
 
