@@ -51,7 +51,22 @@ def object_table(spark, sf):
 
 @query("object_outlines")
 def object_outlines(spark, sf):
-    return objects.outlines(settle(_labelled(spark, sf)), [500000.0, 10.0, 0.0, 5002500.0, 0.0, -10.0], TILE)
+    return objects.outlines(settle(_labelled(spark, sf)), [500000.0, 10.0, 0.0, 5002500.0, 0.0, -10.0])
+
+
+@query("outline_measures", _LABELS.format(limit=0.15) + """
+, corner AS (SELECT grid_id, label, "row" + dr AS vr, col + dc AS vc, count(*) AS n, sum((1 - 2 * dr) * (1 - 2 * dc)) AS s
+  FROM lab, range(2) a(dr), range(2) b(dc) GROUP BY ALL),
+turns AS (SELECT grid_id, label, sum(CASE WHEN n IN (1, 3) THEN 1 WHEN n = 2 AND s <> 0 THEN 2 ELSE 0 END)::INT AS n_corners FROM corner GROUP BY ALL)
+SELECT grid_id, label, n_corners, round(n * 100.0::DOUBLE, 4) AS area
+FROM turns JOIN (SELECT grid_id, label, count(*) AS n FROM lab GROUP BY ALL) USING (grid_id, label)""", "raw_field")
+def outline_measures(spark, sf):
+    """Corners and area of every outline, read back from its text."""
+    rings = F.transform(F.regexp_extract_all("wkt", F.lit(r"\(([^()]+)\)"), F.lit(1)), lambda t: F.transform(
+        F.split(t, ", "), lambda q: F.struct(F.split(q, " ")[0].cast("double").alias("x"), F.split(q, " ")[1].cast("double").alias("y"))))
+    out = object_outlines(spark, sf).withColumn("rings", rings)
+    corners = F.aggregate("rings", F.lit(0), lambda n, r: n + F.size(r) - 1)
+    return out.select("grid_id", "label", corners.alias("n_corners"), r6(G.rings_area(F.col("rings")), 4).alias("area"))
 
 
 _TWO = _LABELS.format(limit=0.15) + """

@@ -141,7 +141,7 @@ def medians_in_masks(spark, sf):
 @query("detected_outlines")
 def detected_outlines(spark, sf):
     d = detect.detect_coherence(V.coherence(spark, sf), offset=0.05, tile=TILE)
-    return objects.outlines(d.labelled, [500000.0, 80.0, 0.0, 5020000.0, 0.0, -80.0], TILE)
+    return objects.outlines(d.labelled, [500000.0, 80.0, 0.0, 5020000.0, 0.0, -80.0])
 
 
 _SMALL = {"gt": [0.0, 10.0, 0.0, 200.0, 0.0, -10.0], "epsg": 32633, "width": 50, "height": 20}

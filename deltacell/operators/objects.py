@@ -21,7 +21,6 @@ from deltacell.session import settle
 
 CELL = ["grid_id", "row", "col"]
 _ROW_STEP = 1 << 31
-EDGE_LIMIT = 1_000_000
 
 # The task helpers below travel with the job, so executors need no installed copy.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -157,29 +156,30 @@ def remove_small(labelled: DataFrame, min_pixels: int) -> DataFrame:
 
 # -- outlines --------------------------------------------------------------------------------
 
-def _trace(sides: np.ndarray) -> list[list[tuple[int, int]]]:
-    """Rings of one object from its directed cell sides, rows of (r0, c0, r1, c1)."""
+def _heading(p: tuple[int, int], q: tuple[int, int]) -> tuple[int, int]:
+    return ((q[0] > p[0]) - (q[0] < p[0]), (q[1] > p[1]) - (q[1] < p[1]))
+
+
+def _trace(runs: np.ndarray) -> list[list[tuple[int, int]]]:
+    """Rings of one object from its directed straight runs of cell sides, rows of (r0, c0, r1, c1)."""
     ahead: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for r0, c0, r1, c1 in sides.tolist():
+    for r0, c0, r1, c1 in runs.tolist():
         ahead.setdefault((r0, c0), []).append((r1, c1))
     rings = []
     for origin in sorted(ahead):
         while origin in ahead:
-            here, ring, heading, opening = origin, [], None, ahead[origin][0]
+            here, ring, heading, opening = origin, [], None, _heading(origin, ahead[origin][0])
             while True:
                 options = ahead[here]
                 # Where two cells touch at a corner, turn away from the inside to stay on one object.
-                left = None if heading is None else (here[0] - heading[1], here[1] + heading[0])
-                step = left if left in options else options[0]
+                left = None if heading is None else (-heading[1], heading[0])
+                step = next((o for o in options if _heading(here, o) == left), options[0])
                 options.remove(step)
                 if not options:
                     del ahead[here]
-                turn = (step[0] - here[0], step[1] - here[1])
-                if turn != heading:
-                    ring.append(here)
-                heading, here = turn, step
-                left = (here[0] - heading[1], here[1] + heading[0])
-                if here == origin and (origin not in ahead or left == opening):
+                ring.append(here)
+                heading, here = _heading(here, step), step
+                if here == origin and (origin not in ahead or (-heading[1], heading[0]) == opening):
                     break
             rings.append(ring)
     return rings
@@ -187,7 +187,7 @@ def _trace(sides: np.ndarray) -> list[list[tuple[int, int]]]:
 
 def _tracer(gt: list[float]):
     """Task function over rows sorted by object; an object may span batches."""
-    keys, ends = ["grid_id", "label", "piece"], ["r0", "c0", "r1", "c1"]
+    keys, ends = ["grid_id", "label"], ["r0", "c0", "r1", "c1"]
 
     def text(ring):
         points = (f"{gt[0] + c * gt[1]:.10g} {gt[3] + r * gt[5]:.10g}" for r, c in [*ring, ring[0]])
@@ -218,11 +218,11 @@ def _tracer(gt: list[float]):
     return run
 
 
-def cell_sides(labelled: DataFrame, tile: int = TILE) -> DataFrame:
+def cell_sides(labelled: DataFrame) -> DataFrame:
     """Directed sides of the mask's outline with the inside on the right hand.
 
     Two cells that share a side always belong to one object, so a side is on the outline exactly
-    when the neighbour is not in the mask. ``cut_`` columns mark sides on a tile border instead.
+    when the neighbour is not in the mask.
     """
     wr = Window.partitionBy("grid_id", "row").orderBy("col")
     wc = Window.partitionBy("grid_id", "col").orderBy("row")
@@ -232,30 +232,37 @@ def cell_sides(labelled: DataFrame, tile: int = TILE) -> DataFrame:
         labelled.withColumn("_w", far(F.lag, -1, wr, "col")).withColumn("_e", far(F.lead, 1, wr, "col"))
         .withColumn("_n", far(F.lag, -1, wc, "row")).withColumn("_s", far(F.lead, 1, wc, "row"))
     )
-    cuts = {"_w": col % tile == 0, "_e": col % tile == tile - 1, "_n": row % tile == 0, "_s": row % tile == tile - 1}
     ends = {"_n": (0, 0, 0, 1), "_e": (0, 1, 1, 1), "_s": (1, 1, 1, 0), "_w": (1, 0, 0, 0)}
-    side = lambda k: F.struct(
-        *[(base + d).alias(n) for n, base, d in zip(("r0", "c0", "r1", "c1"), (row, col, row, col), ends[k])],
-        F.col(k).alias("outline"), cuts[k].alias("cut"),
+    side = lambda k: F.when(F.col(k), F.struct(
+        *[(base + d).alias(n) for n, base, d in zip(("r0", "c0", "r1", "c1"), (row, col, row, col), ends[k])]
+    ))
+    return seen.select("grid_id", "label", F.explode(F.array_compact(F.array(*[side(k) for k in ends]))).alias("_x")).select(
+        "grid_id", "label", "_x.*"
     )
-    return seen.select(
-        "grid_id", "label", "part", F.explode(F.array(*[side(k) for k in ends])).alias("_x")
-    ).select("grid_id", "label", "part", "_x.*").where("outline or cut")
 
 
-def outlines(labelled: DataFrame, gt: list[float], tile: int = TILE, edge_limit: int = EDGE_LIMIT) -> DataFrame:
-    """WKT per object: (grid_id, label, piece, n_rings, wkt).
+def straight_runs(sides: DataFrame) -> DataFrame:
+    """Sides joined where they go on in one direction, so that only corners are left."""
+    along = F.col("r0") == F.col("r1")
+    line, at = F.when(along, F.col("r0")).otherwise(F.col("c0")), F.when(along, F.least("c0", "c1")).otherwise(F.least("r0", "r1"))
+    turned = sides.select("grid_id", "label", (F.col("r1") - F.col("r0")).alias("dr"), (F.col("c1") - F.col("c0")).alias("dc"),
+                          line.alias("line"), at.alias("at"))
+    key = ["grid_id", "label", "dr", "dc", "line"]
+    numbered = turned.withColumn("run", F.col("at") - F.row_number().over(Window.partitionBy(*key).orderBy("at")))
+    runs = numbered.groupBy(*key, "run").agg(F.min("at").alias("lo"), (F.max("at") + 1).alias("hi"))
+    flat, ahead = F.col("dr") == 0, (F.col("dr") + F.col("dc")) > 0
+    begin, end = F.when(ahead, F.col("lo")).otherwise(F.col("hi")), F.when(ahead, F.col("hi")).otherwise(F.col("lo"))
+    place = lambda x, own: F.when(flat == own, x).otherwise(F.col("line"))
+    return runs.select("grid_id", "label", place(begin, F.lit(False)).alias("r0"), place(begin, F.lit(True)).alias("c0"),
+                       place(end, F.lit(False)).alias("r1"), place(end, F.lit(True)).alias("c1"))
+
+
+def outlines(labelled: DataFrame, gt: list[float]) -> DataFrame:
+    """WKT per object: (grid_id, label, n_rings, wkt), one polygon whatever its size.
 
-    An object whose outline has more than ``edge_limit`` sides is returned as one polygon per tile
-    part, ``piece`` naming the part; together they cover exactly the object. Other objects have
-    piece -1. So no task ever holds more than ``edge_limit`` sides of one object.
+    Sides become straight runs before an object meets in one task, so the task holds the corners
+    that the polygon's row holds as well.
     """
-    sides = settle(cell_sides(labelled, tile))
-    per_part = sides.where("outline").groupBy("grid_id", "label", "part").agg(F.count(F.lit(1)).alias("n"))
-    long = per_part.groupBy("grid_id", "label").agg(F.sum("n").alias("n")).where(F.col("n") > edge_limit)
-    long = long.select("grid_id", "label", F.lit(True).alias("_long"))
-    placed = salted_join(sides, long, ["grid_id", "label"]).withColumn("_long", F.coalesce("_long", F.lit(False)))
-    used = placed.where("outline or _long").withColumn("piece", F.when(F.col("_long"), F.col("part")).otherwise(F.lit(-1)))
-    keys = ["grid_id", "label", "piece"]
-    rows = used.select(*keys, "r0", "c0", "r1", "c1").repartition(*keys).sortWithinPartitions(*keys)
-    return rows.mapInPandas(_tracer(gt), "grid_id string, label bigint, piece bigint, n_rings int, wkt string")
+    keys = ["grid_id", "label"]
+    rows = straight_runs(cell_sides(labelled)).repartition(*keys).sortWithinPartitions(*keys)
+    return rows.mapInPandas(_tracer(gt), "grid_id string, label bigint, n_rings int, wkt string")

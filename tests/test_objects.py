@@ -61,15 +61,14 @@ def wkt_area(text):
     return abs(total)
 
 
-@pytest.mark.parametrize("limit", [1_000_000, 10])
-def test_outlines_cover_objects(cells, limit):
+def test_outlines_cover_objects(cells):
     a = np.random.default_rng(9).random((24, 24)) > 0.55
     a[5:12, 5:12] = True
     a[8, 8] = False
     lab = objects.components(cells(a.astype(float)).where("value > 0"), 8)
     sizes = {r["label"]: r["n_px"] for r in objects.object_stats(lab, 1.0).collect()}
     area = {}
-    for r in objects.outlines(lab, [0.0, 1.0, 0.0, 0.0, 0.0, -1.0], 8, limit).collect():
+    for r in objects.outlines(lab, [0.0, 1.0, 0.0, 0.0, 0.0, -1.0]).collect():
         area[r["label"]] = area.get(r["label"], 0.0) + wkt_area(r["wkt"])
     assert area == pytest.approx(sizes)
 
