@@ -239,6 +239,7 @@ def extract(pages: DataFrame) -> DataFrame:
     text; a null url belongs to the host without a name. Repeated rows repeat; an empty table gives
     an empty table. A column named ``text`` is replaced.
     """
+    W.text_batches(pages)
     known = settle(templates(pages.select(host_of(F.col("url")).alias("host"), F.col("html").cast("string").alias("html"))))
     kept = [f for f in pages.schema.fields if f.name != "text"]
     given = pages.select(*[F.col(f"`{f.name}`") for f in kept], F.col("html").cast("string").alias("_html"), host_of(F.col("url")).alias("_host"))

@@ -7,10 +7,14 @@ count as empty. Hashes are 64 bits wide and depend on the bytes alone.
 
 from __future__ import annotations
 
+import ctypes
+import sys
+
 import numpy as np
 import pyarrow as pa
 
 U = np.uint64
+_LIBC = ctypes.CDLL(None) if sys.platform == "linux" and hasattr(ctypes.CDLL(None), "malloc_trim") else None
 _P = U(0x9E3779B97F4A7C15 | 1)
 _P_INVERSE = U(pow(int(_P), -1, 1 << 64))
 _MUL = [U(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
@@ -70,13 +74,25 @@ def runs(offsets: np.ndarray, limit: int = RUN_BYTES):
         at = min(end, n)
 
 
+def text_batches(df) -> None:
+    """Send long texts to tasks a thousand rows at a time; ten thousand, Spark's default, suit short rows."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
+def _give_back() -> None:
+    """Return freed memory to the system, as idle workers live on beside the JVM."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
 def slices(batches, limit: int = RUN_BYTES):
     """Record batches cut into slices of about ``limit`` bytes, so that what a task makes of one stays small."""
     for batch in batches:
         n = max(1, batch.num_rows * limit // max(1, batch.nbytes))
         for at in range(0, batch.num_rows, n):
             yield batch.slice(at, n)
-        pa.default_memory_pool().release_unused()
+    _give_back()
 
 
 def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
