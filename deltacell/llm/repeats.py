@@ -61,12 +61,18 @@ def sequence_hashes(hashes: np.ndarray, begins: np.ndarray, ends: np.ndarray) ->
     return W.mix((sums[ends] - sums[begins]) * backward[begins] + (ends - begins).astype(np.uint64))
 
 
-def band_keys(shingles: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    low = np.array([W.mix(shingles * _SEEDS[k]).min() for k in range(bands * rows)], np.uint64).reshape(bands, rows)
-    key = np.arange(bands, dtype=np.uint64)
-    for k in range(rows):
-        key = W.mix(key * W._MUL[4] + low[:, k])
-    return key
+def band_keys(grams: np.ndarray, begins: np.ndarray, ends: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """Band keys of the shingles from each begin to its end, one row a line: minima of whole runs, not line by line."""
+    bounds = np.stack([begins, ends], 1).ravel()
+    padded = np.append(grams, np.uint64(0))
+    low = [np.minimum.reduceat(W.mix(padded * _SEEDS[k]), bounds)[::2] for k in range(bands * rows)]
+    keys = np.empty((len(begins), bands), np.uint64)
+    for band in range(bands):
+        key = np.full(len(begins), band, np.uint64)
+        for value in low[band * rows:(band + 1) * rows]:
+            key = W.mix(key * W._MUL[4] + value)
+        keys[:, band] = key
+    return keys
 
 
 def _sliding(x: np.ndarray, size: int, best) -> np.ndarray:
@@ -115,7 +121,7 @@ def units(docs: DataFrame, least: int, window: int) -> DataFrame:
 
 
 def bands(docs: DataFrame, least: int, size: int, shape: tuple[int, int]) -> DataFrame:
-    """Distinct (key, unit) of lines; equal lines of one task are hashed once."""
+    """Distinct (key, unit) of lines; equal lines of a run of texts are hashed once. A line has a shingle at least."""
     def run(batches):
         for batch in W.slices(batches):
             raw, offsets = W.buffers(batch.column(0))
@@ -123,13 +129,11 @@ def bands(docs: DataFrame, least: int, size: int, shape: tuple[int, int]) -> Dat
             for a, b in W.runs(offsets):
                 _, _, _, begin, end, hashes, _ = lines_of(raw[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], least)
                 values = sequence_hashes(hashes, begin, end)
-                _, once = np.unique(values, return_index=True)
-                grams = W.window_hashes(hashes, size)
-                for k in once:
-                    n = end[k] - begin[k]
-                    own = grams[begin[k]:end[k] - size + 1] if n >= size else values[k:k + 1]
-                    keys.append(band_keys(own, *shape))
-                    owners.append(np.full(shape[0], values[k]))
+                once = np.sort(np.unique(values, return_index=True)[1])
+                values, begin, end = values[once], begin[once], end[once]
+                if len(once):
+                    keys.append(band_keys(W.window_hashes(hashes, size), begin, end - size + 1, *shape).ravel())
+                    owners.append(np.repeat(values, shape[0]))
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(owners).view(np.int64))],
                                                  ["key", "unit"])
@@ -184,11 +188,12 @@ def repeats(
 
     Only parts that stand in at least two documents are returned. ``keeper`` is the smallest doc_id
     that has the part, ``removed`` says that this is another one, ``cluster`` names a paragraph's
-    cluster. Words are lower-cased for A-Z. Paragraphs under ``least`` words are not compared. Null
-    and empty texts and rows without doc_id have no part; repeated rows of one doc_id are one
+    cluster. Words are lower-cased for A-Z. Paragraphs under ``least`` words (at least ``size``) are not
+    compared. Null and empty texts and rows without doc_id have no part; repeated rows of one doc_id are one
     document; an empty table gives an empty table. Other columns are ignored.
     """
     W.text_batches(docs)
+    least = max(least, size)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     every = settle(units(docs, least, window))
     roots = near_lines(docs, every, least, size, percent, recall, block)
