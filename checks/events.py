@@ -222,10 +222,12 @@ q AS (SELECT *, CASE WHEN c >= 0.95 THEN CASE WHEN i1 <= 14 AND i2 <= 14 THEN 'f
 b AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY CASE quality WHEN 'full' THEN 3 WHEN 'stretched' THEN 2 ELSE 1 END DESC, c DESC, ts, platform DESC, orbit_key DESC) AS k
   FROM q WHERE quality <> 'none')
 SELECT event_id, platform, orbit_key AS rel_orbit, CAST(ts AS DATE) AS pre, CAST(ts2 AS DATE) AS post, CAST(ts3 AS DATE) AS control, i1 AS pair_interval_days,
-  i2 AS control_interval_days, round(c, 3) AS min_coverage, quality FROM b WHERE k = 1""", "granules storms")
+  i2 AS control_interval_days, round(c, 3) AS min_coverage, quality,
+  CAST((epoch_us(CAST(event_date AS TIMESTAMP)) - epoch_us(ts)) // 86400000000 AS INTEGER) AS gap_days_pre,
+  CAST((epoch_us(ts2) - epoch_us(CAST(event_date AS TIMESTAMP))) // 86400000000 AS INTEGER) AS gap_days_post FROM b WHERE k = 1""", "granules storms")
 def slc_chains(spark, sf):
     c = C.select_chains(V.granules(spark, sf), V.storms(spark, sf))
-    return c.select("event_id", "platform", "rel_orbit", "pre", "post", "control", "pair_interval_days", "control_interval_days", r6("min_coverage", 3).alias("min_coverage"), "quality")
+    return c.select("event_id", "platform", "rel_orbit", "pre", "post", "control", "pair_interval_days", "control_interval_days", r6("min_coverage", 3).alias("min_coverage"), "quality", "gap_days_pre", "gap_days_post")
 
 
 def _windows(spark, sf):

@@ -42,7 +42,7 @@ def exact_triples(acquisitions: DataFrame, events: DataFrame, step: int = 12) ->
         (F.datediff("d2", "d") == step) & (F.datediff("d3", "d2") == step)
     )
     open_days = runs.withColumn("event_date", F.explode(F.sequence(F.date_add("d", 1), F.date_sub("d2", 1))))
-    met = salted_join(events.select("event_id", "event_date"), open_days, ["event_date"], "inner")
+    met = salted_join(open_days, events.select("event_id", "event_date"), ["event_date"], "inner")
     gap = F.greatest(F.datediff("event_date", "d"), F.datediff("d2", "event_date"))
     return met.select(
         "event_id", "event_date", "platform", "orbit_key", F.col("d").alias("d1"), "d2", "d3",
@@ -60,15 +60,17 @@ def select_chains(acquisitions: DataFrame, events: DataFrame) -> DataFrame:
 
     ``acquisitions``: event_id, platform, mode, orbit_key, ts, cov, title (already those of the
     event's window). ``events``: event_id, event_date. Per date the granule with most coverage
-    stands for the pass; steps count whole days of elapsed time; pre < event <= post.
+    stands for the pass; steps count whole days of elapsed time; pre < event <= post. A ``direction``
+    column, if there, is kept as the chain's first known one.
     """
+    known = F.col("direction") if "direction" in acquisitions.columns else F.lit(None).cast("string")
     track = ["event_id", "platform", "mode", "orbit_key"]
     day = F.to_date("ts")
     # Most coverage first, then the earlier pass: an aggregate, so no day's granules are gathered.
-    best = F.max_by(F.struct("ts", "cov", "title"), F.struct("cov", (-F.unix_micros("ts")).alias("_t")))
+    best = F.max_by(F.struct("ts", "cov", "title", known.alias("direction")), F.struct("cov", (-F.unix_micros("ts")).alias("_t")))
     daily = acquisitions.where(F.col("mode") == "IW").groupBy(*track, day.alias("d")).agg(best.alias("_b"))
-    daily = daily.select(*track, F.col("_b.ts").alias("ts"), F.col("_b.cov").alias("cov"))
-    runs = _triples(daily, track, "ts", ["cov"])
+    daily = daily.select(*track, F.col("_b.ts").alias("ts"), F.col("_b.cov").alias("cov"), F.col("_b.direction").alias("direction"))
+    runs = _triples(daily, track, "ts", ["cov", "direction"])
     elapsed = lambda a, b: F.floor((F.unix_micros(b) - F.unix_micros(a)) / 86_400_000_000).cast("int")
     s1, s2 = elapsed("ts", "ts2"), elapsed("ts2", "ts3")
     cov = F.least("cov", "cov2", "cov3")
@@ -77,6 +79,8 @@ def select_chains(acquisitions: DataFrame, events: DataFrame) -> DataFrame:
         .withColumn("pair_interval_days", s1).withColumn("control_interval_days", s2)
         .where(F.col("pair_interval_days").between(*STEP_DAYS) & F.col("control_interval_days").between(*STEP_DAYS))
         .where((F.col("ts") < F.col("event_date").cast("timestamp")) & (F.col("event_date").cast("timestamp") <= F.col("ts2")))
+        .withColumn("gap_days_pre", elapsed("ts", F.col("event_date").cast("timestamp")))
+        .withColumn("gap_days_post", elapsed(F.col("event_date").cast("timestamp"), "ts2"))
         .withColumn("min_coverage", cov)
         .withColumn("quality", chain_quality(F.col("pair_interval_days"), F.col("control_interval_days"), F.col("min_coverage")))
         .where(F.col("quality") != "none")
@@ -87,9 +91,9 @@ def select_chains(acquisitions: DataFrame, events: DataFrame) -> DataFrame:
         F.col("orbit_key").alias("c"),
     )
     kept = F.struct(
-        "platform", F.col("orbit_key").alias("rel_orbit"), F.to_date("ts").alias("pre"), F.to_date("ts2").alias("post"),
+        "platform", F.coalesce("direction", "direction2", "direction3").alias("direction"), F.col("orbit_key").alias("rel_orbit"), F.to_date("ts").alias("pre"), F.to_date("ts2").alias("post"),
         F.to_date("ts3").alias("control"), "pair_interval_days", "control_interval_days", "min_coverage",
-        F.array("cov", "cov2", "cov3").alias("coverages"), "quality",
+        F.array("cov", "cov2", "cov3").alias("coverages"), "quality", "gap_days_pre", "gap_days_post",
     )
     return fit.groupBy("event_id", "event_date").agg(F.max_by(kept, order).alias("_k")).select(
         "event_id", "event_date", "_k.*"
