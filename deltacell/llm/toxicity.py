@@ -1,8 +1,10 @@
 """Toxicity scores from a learnt lexicon, matched with spelling errors and weighed by context.
 
-1. A bounded sample of labelled rows gives the lexicon: words, and stems that stand for any word
-   beginning with them, whose presence speaks for the label beyond chance.
-2. The lexicon's trie is intersected with Levenshtein automata. The product is made deterministic
+1. A bounded sample of labelled rows gives the lexicon: all words whose presence speaks for the
+   label beyond chance, and stems, which stand for any word beginning with them, where a stem meets
+   clearly more positives than its best word.
+2. The lexicon's trie is intersected with Levenshtein automata, where two exchanged neighbours count
+   as one edit and a stem has edits within its own letters. The product is made deterministic
    once, so a task steps all words of a batch through one table, and words that can no longer match
    drop out after a few letters.
 3. Each hit is weighed by its term, its spelling distance and its context: a hit within quotation
@@ -31,6 +33,8 @@ _WORD = re.compile(r"[^\W_]+")
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 STEM_SIZES = (4, 5, 6, 7, 8)
+#: A stem is taken only if it meets so many times the positives of its best word.
+STEM_ADDS = 1.5
 QUOTES = ('"', "“", "”", "„", "«", "»")
 _QUOTE = re.compile(b"|".join(q.encode() for q in QUOTES))
 #: (least letters, edits): shorter terms must match exactly.
@@ -54,13 +58,17 @@ def _edits(term: str) -> int:
     return next((d for least, d in EDITS if len(term) >= least), 0)
 
 
-def compile_lexicon(lexicon: dict[str, float]) -> Automaton:
-    """Automaton of weighted terms; one that ends in ``*`` is a stem. State 0 is dead, 1 the start."""
+def compile_lexicon(lexicon: dict[str, float], swaps: bool = False) -> Automaton:
+    """Automaton of weighted terms; one that ends in ``*`` is a stem. State 0 is dead, 1 the start.
+
+    A stem accepts a word if some beginning of it is within the stem's edits. With ``swaps`` two
+    exchanged neighbours are one edit.
+    """
     child: list[dict[int, int]] = [{}]
-    limit, word, stem = [0], [None], [None]
+    limit, word, stem, parent, letter = [0], [None], [None], [0], [-1]
     for term, weight in sorted(lexicon.items()):
         text = term.rstrip("*")
-        node, most = 0, 0 if term.endswith("*") else _edits(text)
+        node, most = 0, _edits(text)
         limit[0] = max(limit[0], most)
         for byte in text.encode():
             if byte not in child[node]:
@@ -69,12 +77,16 @@ def compile_lexicon(lexicon: dict[str, float]) -> Automaton:
                 limit.append(0)
                 word.append(None)
                 stem.append(None)
+                parent.append(node)
+                letter.append(byte)
             node = child[node][byte]
             limit[node] = max(limit[node], most)
         (stem if term.endswith("*") else word)[node] = (weight, most)
     letters = sorted({b for c in child for b in c})
     classes = np.zeros(256, np.uint8)
     classes[letters] = np.arange(1, len(letters) + 1)
+    # Numbers from ``half`` on stand half-way in an exchange: the second letter has been read, the first must follow.
+    half = len(child)
 
     def closed(states: dict[int, int]) -> frozenset:
         """Add skipped letters of the term; keep the fewest edits of each node. A stem that has been
@@ -83,11 +95,11 @@ def compile_lexicon(lexicon: dict[str, float]) -> Automaton:
         heap = list(states.items())
         while heap:
             node, e = heap.pop()
-            if node >= 0 and e > limit[node] or out.get(node, 99) <= e:
+            if node >= 0 and e > limit[node % half] or out.get(node, 99) <= e:
                 continue
             out[node] = e
-            if node >= 0:
-                if stem[node]:
+            if 0 <= node < half:
+                if stem[node] and e <= stem[node][1]:
                     heap.append((~node, e))
                 heap += [(c, e + 1) for c in child[node].values()]
         return frozenset(out.items())
@@ -106,9 +118,15 @@ def compile_lexicon(lexicon: dict[str, float]) -> Automaton:
                 if node < 0:
                     put(node, e)
                     continue
+                if node >= half:
+                    if k and letter[parent[node - half]] == letters[k - 1]:
+                        put(node - half, e)
+                    continue
                 put(node, e + 1)
                 for byte, c in child[node].items():
                     put(c, e if k and byte == letters[k - 1] else e + 1)
+                    if swaps and k and byte != letters[k - 1] and letters[k - 1] in child[c]:
+                        put(half + child[c][letters[k - 1]], e + 1)
             to = closed(step)
             if to not in known:
                 known[to] = len(known)
@@ -117,7 +135,7 @@ def compile_lexicon(lexicon: dict[str, float]) -> Automaton:
         rows.append(row)
     weight, edits = np.zeros(len(known)), np.zeros(len(known), np.int64)
     for states, at in known.items():
-        found = [(e, -word[n][0]) for n, e in states if n >= 0 and word[n] and e <= word[n][1]]
+        found = [(e, -word[n][0]) for n, e in states if 0 <= n < half and word[n] and e <= word[n][1]]
         found += [(e, -stem[~n][0]) for n, e in states if n < 0]
         if found:
             e, w = min(found)
@@ -195,8 +213,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, toxic: int, clean: int)
     return docs.join(few, "doc_id").select("text", "label")
 
 
-def learn_lexicon(sample: DataFrame, most: int = 64) -> dict[str, float]:
-    """Terms of the sample with their log odds. A term must be too frequent among positives to be chance."""
+def learn_lexicon(sample: DataFrame) -> dict[str, float]:
+    """Terms of the sample with their log odds. A term must be too frequent among positives to be chance.
+
+    Every such word is a term, so it gets its edits; a stem is one where it meets clearly more
+    positives than its best word. Of nested stems the one with the larger gain is taken.
+    """
     def count(batches):
         seen: Counter = Counter()
         for batch in W.slices(batches):
@@ -222,13 +244,22 @@ def learn_lexicon(sample: DataFrame, most: int = 64) -> dict[str, float]:
     chance = -math.log(pos / (pos + neg))
     strong = counts.where(f"term <> '' and t >= 3 and c * {20 * pos} <= t * {neg}").withColumn("odds", odds)
     strong = strong.where(F.col("t") * chance - 3 * F.col("c") > math.log(1e7)).withColumn("gain", F.col("t") * F.col("odds"))
+    rows = strong.orderBy(F.desc("gain"), F.length("term").desc(), "term").collect()
+    best: Counter = Counter()
+    for row in rows:
+        if not row["term"].endswith("*"):
+            for k in STEM_SIZES:
+                if len(row["term"]) > k:
+                    best[row["term"][:k]] = max(best[row["term"][:k]], row["t"])
     lexicon: dict[str, float] = {}
-    for row in strong.orderBy(F.desc("gain"), F.length("term").desc(), "term").limit(40 * most).collect():
-        term = row["term"].rstrip("*")
-        if not any(term.startswith(x.rstrip("*")) or x.startswith(term) for x in lexicon):
-            lexicon[row["term"]] = float(row["odds"])
-        if len(lexicon) >= most:
-            break
+    stems: list[str] = []
+    for row in rows:
+        text = row["term"].rstrip("*")
+        if text != row["term"]:
+            if row["t"] < STEM_ADDS * best[text] or any(text.startswith(x) or x.startswith(text) for x in stems):
+                continue
+            stems.append(text)
+        lexicon[row["term"]] = float(row["odds"])
     return lexicon
 
 
@@ -253,12 +284,12 @@ class Model:
     window: int
 
 
-def learn(docs: DataFrame, labels: DataFrame, toxic: int = 3000, clean: int = 6000, window: int = 50, terms: int = 64) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, toxic: int = 3000, clean: int = 6000, window: int = 50) -> Model:
     """Fit on at most ``toxic + clean`` labelled rows; with labels of one kind only, every score is that share."""
     W.text_batches(docs)
     sample = labelled_sample(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")),
                              labels, toxic, clean)
-    auto = compile_lexicon(learn_lexicon(sample, terms))
+    auto = compile_lexicon(learn_lexicon(sample), swaps=True)
 
     def measure(batches):
         for batch in W.slices(batches):

@@ -83,3 +83,25 @@ def test_no_labels_and_empty(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert [r["predicted"] for r in X.toxicity(docs, none).collect()] == [0]
     assert X.toxicity(docs.where("false"), none).collect() == []
+
+
+def test_learnt_words_keep_their_edits(spark):
+    rows, labels = labelled()
+    wrong = ["idoit", "idiit", "wrothless", "wortless", "mornic", "mroonic", "moroniic"]
+    rows += [(1000 + k, f"worda wordb {w} wordc {w} wordd", "s") for k, w in enumerate(wrong)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score string")
+    model = X.learn(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    x = X.features(model.automaton, pa.array([t for i, t, _ in rows if i >= 1000]), model.window)
+    assert (x[:, 1] > 0).all() and (x[:, 0] == 0).all()
+    out = {r["doc_id"]: r["score"] for r in X.score(docs, model).collect()}
+    assert min(out[1000 + k] for k in range(len(wrong))) > max(out[i] for i, _, bad in labels if not bad)
+
+
+def test_stems_have_edits_and_swaps_are_one():
+    auto = X.compile_lexicon({"stupi*": 2.0, "idiot": 1.0, "moro*": 3.0}, swaps=True)
+    words = ["stupidity", "stpuidity", "stuidly", "stxxidly", "idoit", "diiot", "iidto", "moron", "mroon"]
+    raw, offsets = buffers(pa.array([" ".join(words)]))
+    starts, ends, _ = X.word_spans(raw, offsets)
+    index, state = X.match(auto, raw, starts, ends)
+    got = {words[i]: int(e) for i, e in zip(index.tolist(), auto.edits[state], strict=True)}
+    assert got == {"stupidity": 0, "stpuidity": 1, "stuidly": 1, "idoit": 1, "diiot": 1, "moron": 0}
