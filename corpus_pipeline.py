@@ -31,10 +31,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest doc_id, once if its row repeats.
 
+    Near copies share at least 80 % of their five-word shingles (Jaccard), or are linked by such pairs.
     Documents without words link with nothing and stay. A row without doc_id names no document and
     stays. Only ids of what goes are joined, as they are few.
     """
-    groups = settle(ngram_join.jaccard_components(docs))
+    groups = settle(ngram_join.jaccard_components(docs, size=5, percent=80))
     gone = settle(groups.where("doc_id <> component_id").select("doc_id"))
     many = settle(groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
     kept = by_ids(docs.where("doc_id is not null"), gone.union(many), "left_anti")

@@ -1,5 +1,7 @@
+import random
+
 import corpus_pipeline as C
-from test_ngram_join import brute
+from test_ngram_join import brute, shingles
 from test_toxicity import labelled
 
 
@@ -38,3 +40,16 @@ def test_run(spark, tmp_path):
     out = C.run(spark, str(tmp_path)).toPandas()
     sizes = out.groupby("sequence_id")["length"].sum()
     assert len(out) and all(n & (n - 1) == 0 and n <= 1024 for n in sizes)
+
+
+def test_near_copies_of_five_words_at_four_fifths(spark):
+    rng = random.Random(4)
+    rows = []
+    for i, n in enumerate([48, 49, 50, 51, 52, 53, 60]):
+        words = [f"v{rng.randrange(10**6)}" for _ in range(n)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words[:20], "changed", *words[21:]]))]
+    sets = {i: shingles(t, 5) for i, t in rows}
+    gone = {b for b in sets for a in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert gone == {3, 5, 7, 9, 11, 13}
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r["doc_id"] for r in C.drop_near_copies(spark, docs, "").collect()} == {*sets} - gone
