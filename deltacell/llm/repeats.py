@@ -8,7 +8,7 @@ links' components are the clusters. Equal paragraphs are one text throughout.
 A passage inside longer paragraphs is found by winnowed word windows: of every ``window``
 consecutive windows of ``window`` words the one with the smallest hash is kept, so any run of
 ``2 * window - 1`` shared words shares a kept window. Overlapping repeated windows of a document
-are one span. A cluster's or passage's smallest doc_id keeps it; it is a removal elsewhere.
+are one span, those that an earlier document holds apart from those that stand here first. A cluster's or passage's smallest doc_id keeps it; it is a removal elsewhere.
 """
 
 from __future__ import annotations
@@ -204,11 +204,12 @@ def repeats(
     hit = settle(parts.join(settle(shared.drop("_top")), ["kind", "root"]).distinct())
     paragraphs = hit.where("kind = 0").select(
         "doc_id", F.lit("paragraph").alias("kind"), F.col("first").alias("first_word"), "n_words", F.col("root").alias("cluster"), "keeper")
-    before = Window.partitionBy("doc_id").orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
-    upto = Window.partitionBy("doc_id").orderBy("first").rowsBetween(Window.unboundedPreceding, 0)
-    islands = hit.where("kind = 1").withColumn("_end", F.max(F.col("first") + F.col("n_words")).over(before))
+    before = Window.partitionBy("doc_id", "_gone").orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy("doc_id", "_gone").orderBy("first").rowsBetween(Window.unboundedPreceding, 0)
+    # What stands here first is never part of a removed span.
+    islands = hit.where("kind = 1").withColumn("_gone", F.col("keeper") < F.col("doc_id")).withColumn("_end", F.max(F.col("first") + F.col("n_words")).over(before))
     islands = islands.withColumn("_new", F.coalesce(F.col("first") > F.col("_end"), F.lit(True)).cast("int")).withColumn("_k", F.sum("_new").over(upto))
-    passages = islands.groupBy("doc_id", "_k").agg(
+    passages = islands.groupBy("doc_id", "_gone", "_k").agg(
         F.min("first").alias("first_word"), (F.max(F.col("first") + F.col("n_words")) - F.min("first")).alias("n_words"),
         F.min("keeper").alias("keeper"))
     passages = passages.select("doc_id", F.lit("passage").alias("kind"), "first_word", "n_words", F.lit(None).cast("long").alias("cluster"), "keeper")

@@ -76,3 +76,13 @@ def test_clusters_and_passages(spark):
 
 def test_empty(spark):
     assert R.repeats(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_words_kept_by_their_own_document_are_not_removed(spark):
+    rng = random.Random(9)
+    two = [f"u{rng.randrange(10**6)}" for _ in range(140)]
+    rows = [(1, " ".join(two[:100] + words(rng, 20))), (2, " ".join(two)), (3, " ".join(words(rng, 20) + two[40:]))]
+    out = R.repeats(spark.createDataFrame(rows, "doc_id long, text string")).where("kind = 'passage'").collect()
+    gone = {(r["doc_id"], k) for r in out if r["removed"] for k in range(r["first_word"], r["first_word"] + r["n_words"])}
+    left = {w for i, t in rows for k, w in enumerate(t.split()) if (i, k) not in gone}
+    assert any(i == 2 for i, _ in gone) and any(i == 3 for i, _ in gone) and left >= {*two}
