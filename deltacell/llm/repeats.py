@@ -5,9 +5,10 @@ so that a pair at the wanted similarity collides almost surely. Colliding paragr
 families are dealt into pairs of bounded blocks, where exact Jaccard overlaps are counted, and the
 links' components are the clusters. Equal paragraphs are one text throughout.
 
-A passage inside longer paragraphs is found by winnowed word windows: of every ``window``
-consecutive windows of ``window`` words the one with the smallest hash is kept, so any run of
-``2 * window - 1`` shared words shares a kept window. Overlapping repeated windows of a document
+A passage inside longer paragraphs is found from winnowed seeds of half a window's words: of the
+seeds inside any ``window`` words the one with the smallest hash is kept, so any run of ``window``
+shared words shares a kept seed. Around repeated seeds every window is then compared, which gives
+the exact first and last word of what is shared. Overlapping repeated windows of a document
 are one span, those that an earlier document holds apart from those that stand here first. A cluster's or passage's smallest doc_id keeps it; it is a removal elsewhere.
 """
 
@@ -94,8 +95,8 @@ def winnowed(grams: np.ndarray, size: int) -> np.ndarray:
     return np.flatnonzero(_sliding(padded, size, np.maximum) == grams)
 
 
-def units(docs: DataFrame, least: int, window: int) -> DataFrame:
-    """(doc_id, kind, first, n_words, unit): lines (kind 0, ``first`` is the first word) and kept windows (kind 1)."""
+def units(docs: DataFrame, least: int, seed: int, width: int) -> DataFrame:
+    """(doc_id, kind, first, n_words, unit): lines (kind 0, ``first`` is the first word) and kept seeds (kind 1), the least of every ``width``."""
     def run(batches):
         for batch in W.slices(batches):
             raw, offsets = W.buffers(batch.column(1))
@@ -103,9 +104,9 @@ def units(docs: DataFrame, least: int, window: int) -> DataFrame:
             for a, b in W.runs(offsets):
                 offs = offsets[a:b + 1] - offsets[a]
                 _, _, owner, begin, end, hashes, first = lines_of(raw[offsets[a]:offsets[b]], offs, least)
-                at = np.arange(max(0, len(hashes) - window + 1))
-                grams = sequence_hashes(hashes, at, at + window) if len(at) else np.zeros(0, np.uint64)
-                kept = [first[i] + winnowed(grams[first[i]:max(first[i], first[i + 1] - window + 1)], window) for i in range(b - a)]
+                at = np.arange(max(0, len(hashes) - seed + 1))
+                grams = sequence_hashes(hashes, at, at + seed) if len(at) else np.zeros(0, np.uint64)
+                kept = [first[i] + winnowed(grams[first[i]:max(first[i], first[i + 1] - seed + 1)], width) for i in range(b - a)]
                 who = np.repeat(np.arange(b - a), [len(k) for k in kept])
                 kept = np.concatenate(kept) if kept else np.zeros(0, np.int64)
                 docs_of = np.concatenate([owner, who])
@@ -113,13 +114,38 @@ def units(docs: DataFrame, least: int, window: int) -> DataFrame:
                     [pa.array(ids[a:b][docs_of], pa.int64()),
                      pa.array(np.repeat(np.array([0, 1], np.int32), [len(owner), len(who)])),
                      pa.array((np.concatenate([begin, kept]) - first[docs_of]).astype(np.int32)),
-                     pa.array(np.concatenate([end - begin, np.full(len(kept), window)]).astype(np.int32)),
+                     pa.array(np.concatenate([end - begin, np.full(len(kept), seed)]).astype(np.int32)),
                      pa.array(np.concatenate([sequence_hashes(hashes, begin, end), grams[kept]]).view(np.int64))],
                     ["doc_id", "kind", "first", "n_words", "unit"])
 
     return docs.mapInArrow(run, "doc_id long, kind int, first int, n_words int, unit long")
 
 
+def windows(docs: DataFrame, seeds: DataFrame, seed: int, window: int) -> DataFrame:
+    """(doc_id, first, unit) of all windows that hold one of the document's ``seeds`` (doc_id, at: first words)."""
+    def run(batches):
+        for batch in W.slices(batches):
+            raw, offsets = W.buffers(batch.column(1))
+            ids, at = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2)
+            for a, b in W.runs(offsets):
+                hashes, first = W.hashed_words(raw[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
+                found = []
+                for i in range(b - a):
+                    n = max(0, first[i + 1] - first[i] - window + 1)
+                    here = at[a + i].values.to_numpy()
+                    low, high = np.maximum(here - (window - seed), 0), np.minimum(here + 1, n)
+                    some = low < high
+                    step = np.bincount(low[some], minlength=n + 1) - np.bincount(high[some], minlength=n + 1)
+                    found.append(np.flatnonzero(np.cumsum(step)[:n] > 0))
+                who = np.repeat(np.arange(b - a), [len(x) for x in found])
+                begin = np.concatenate(found) if found else np.zeros(0, np.int64)
+                unit = sequence_hashes(hashes, first[who] + begin, first[who] + begin + window)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[a:b][who], pa.int64()), pa.array(begin.astype(np.int32)), pa.array(unit.view(np.int64))], ["doc_id", "first", "unit"])
+
+    return docs.join(seeds, "doc_id").select("doc_id", "text", "at").mapInArrow(run, "doc_id long, first int, unit long")
+
+
 def bands(docs: DataFrame, least: int, size: int, shape: tuple[int, int]) -> DataFrame:
     """Distinct (key, unit) of lines; equal lines of a run of texts are hashed once. A line has a shingle at least."""
     def run(batches):
@@ -182,24 +208,29 @@ def near_lines(docs: DataFrame, every: DataFrame, least: int, size: int, percent
 
 
 def repeats(
-    docs: DataFrame, least: int = 20, size: int = 5, percent: int = 80, recall: float = 0.995, window: int = 24, block: int = 256
+    docs: DataFrame, least: int = 5, size: int = 5, percent: int = 80, recall: float = 0.995, window: int = 24, block: int = 256
 ) -> DataFrame:
     """Repeated parts: doc_id, kind (paragraph or passage), first_word, n_words, cluster, keeper, removed.
 
     Only parts that stand in at least two documents are returned. ``keeper`` is the smallest doc_id
     that has the part, ``removed`` says that this is another one, ``cluster`` names a paragraph's
-    cluster. Words are lower-cased for A-Z. Paragraphs under ``least`` words (at least ``size``) are not
+    cluster. Every run of ``window`` or more words that stands in two documents is in a passage. Words are lower-cased for A-Z. Paragraphs under ``least`` words (at least ``size``) are not
     compared. Null and empty texts and rows without doc_id have no part; repeated rows of one doc_id are one
     document; an empty table gives an empty table. Other columns are ignored.
     """
     W.text_batches(docs)
     least = max(least, size)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    every = settle(units(docs, least, window))
+    seed = max(1, window // 2)
+    every = settle(units(docs, least, seed, window - seed + 1))
     roots = near_lines(docs, every, least, size, percent, recall, block)
     lines = every.where("kind = 0").join(roots.withColumnRenamed("node", "unit"), "unit", "left").withColumn("root", F.coalesce("root", "unit"))
-    parts = lines.select("doc_id", "kind", "first", "n_words", "root").union(
-        every.where("kind = 1").select("doc_id", "kind", "first", "n_words", F.col("unit").alias("root")))
+    kept = every.where("kind = 1").select("doc_id", "first", "unit")
+    live = kept.groupBy("unit").agg(F.min("doc_id").alias("_low"), F.max("doc_id").alias("_top")).where("_low <> _top").select("unit")
+    seeds = kept.join(live, "unit").groupBy("doc_id").agg(F.collect_set("first").alias("at"))
+    parts = lines.select("doc_id", "kind", "first", "n_words", "root").union(windows(docs, seeds, seed, window).select(
+        "doc_id", F.lit(1).alias("kind"), "first", F.lit(window).alias("n_words"), F.col("unit").alias("root")))
+    parts = settle(parts)
     shared = parts.groupBy("kind", "root").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("_top")).where("keeper <> _top")
     hit = settle(parts.join(settle(shared.drop("_top")), ["kind", "root"]).distinct())
     paragraphs = hit.where("kind = 0").select(

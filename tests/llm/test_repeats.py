@@ -86,3 +86,18 @@ def test_words_kept_by_their_own_document_are_not_removed(spark):
     gone = {(r["doc_id"], k) for r in out if r["removed"] for k in range(r["first_word"], r["first_word"] + r["n_words"])}
     left = {w for i, t in rows for k, w in enumerate(t.split()) if (i, k) not in gone}
     assert any(i == 2 for i, _ in gone) and any(i == 3 for i, _ in gone) and left >= {*two}
+
+
+def test_passages_are_exact_to_the_word(spark):
+    rng = random.Random(10)
+    rows, want, fresh = [], set(), iter(range(10**6))
+    for n in (23, *[24] * 6, *[30] * 6, 40, 51, 80, 300):
+        passage = [f"p{next(fresh)}" for _ in range(n)]
+        for _ in range(2):
+            before = rng.randrange(40)
+            rows.append((len(rows), " ".join([*(f"q{next(fresh)}" for _ in range(before)), *passage, *(f"q{next(fresh)}" for _ in range(30))])))
+            want |= {(rows[-1][0], before, n)} if n >= 24 else set()
+    out = R.repeats(spark.createDataFrame(rows, "doc_id long, text string")).where("kind = 'passage'").collect()
+    assert {(r["doc_id"], r["first_word"], r["n_words"]) for r in out} == want and len(out) == len(want)
+    short = spark.createDataFrame([(1, "one two three four five six\nother words"), (2, "x\none two three four five six")], "doc_id long, text string")
+    assert {(r["doc_id"], r["kind"], r["first_word"], r["n_words"]) for r in R.repeats(short).collect()} == {(1, "paragraph", 0, 6), (2, "paragraph", 1, 6)}
