@@ -42,6 +42,8 @@ OUTSIDE_WORDS = frozenset(
     "footer header masthead cookie cookies consent notice alert popup modal newsletter subscribe subscription share sharing social related "
     "recommended comment comments reply replies discussion login signup search widget toolbar pagination".split())
 MAIN = frozenset(("article", "main"))
+#: Occurrence vectors are numbers below this.
+VECTORS = 1 << 62
 
 
 def _label(name: str, attributes: str) -> tuple[str, bool]:
@@ -201,7 +203,7 @@ def elements(pages: DataFrame) -> DataFrame:
                         held[host, element] = [1, vector, chars, text, text, page.names[nodes[0]] in MAIN, page.paths[nodes[0]].count("/")]
                     else:
                         row[0] += 1
-                        row[1] += vector
+                        row[1] = (row[1] + vector) % VECTORS
                         row[2] += chars
                         row[3], row[4] = min(row[3], text), max(row[4], text)
             if len(held) > 100_000:
@@ -210,8 +212,14 @@ def elements(pages: DataFrame) -> DataFrame:
             yield drained()
 
     parts = pages.mapInArrow(run, "host string, element long, pages long, vector long, chars long, least long, most long, main boolean, parts int")
+    return summed(parts)
+
+
+def summed(parts: DataFrame) -> DataFrame:
+    """One row per host and element. Vectors are added modulo ``VECTORS``, so any number of pages of a host works."""
+    vector = F.pmod(F.sum(F.col("vector").cast("decimal(20,0)")), F.lit(VECTORS).cast("decimal(20,0)")).cast("long").alias("vector")
     return parts.groupBy("host", "element").agg(
-        F.sum("pages").alias("pages"), F.sum("vector").alias("vector"), F.sum("chars").alias("chars"), F.min("least").alias("least"),
+        F.sum("pages").alias("pages"), vector, F.sum("chars").alias("chars"), F.min("least").alias("least"),
         F.max("most").alias("most"), F.max("main").alias("main"), F.max("parts").alias("parts"))
 
 

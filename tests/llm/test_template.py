@@ -48,3 +48,11 @@ def test_a_class_holds_on_every_page(spark):
 
 def test_empty(spark):
     assert X.texts(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+def test_vectors_of_any_number_of_pages_add_up(spark):
+    big = (1 << 62) - 3
+    row = ("h", 1, 10**6, big, 5, 1, 2, False, 1)
+    parts = spark.createDataFrame([row] * 50, "host string, element long, pages long, vector long, chars long, least long, most long, main boolean, parts int")
+    (r,) = X.summed(parts).collect()
+    assert r["vector"] == 50 * big % X.VECTORS and r["pages"] == 50 * 10**6
