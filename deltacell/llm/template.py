@@ -134,15 +134,16 @@ class Page:
             out[self.parents[k]] += out[k]
         return out
 
-    def main(self, known: dict[int, float]) -> list[str]:
-        """Blocks of the best template element; without one, of the page's article, else of its densest element."""
+    def ids(self) -> list[int]:
+        """Element of each node."""
+        return [xxhash.xxh64_intdigest(p) >> 1 for p in self.paths]
+
+    def main(self, best: set[int]) -> list[str]:
+        """Blocks of the best template elements; without one, of the page's article, else of its densest element."""
         totals = self.totals()
-        ids = [xxhash.xxh64_intdigest(p) >> 1 for p in self.paths]
-        listed = [k for k in range(len(ids)) if not self.outside[k] and ids[k] in known]
-        if listed:
-            best = max(known[ids[k]] for k in listed)
-            top = {k for k in listed if known[ids[k]] == best}
-        else:
+        ids = self.ids()
+        top = {k for k in range(len(ids)) if not self.outside[k] and ids[k] in best}
+        if not top:
             top = {k for k in range(len(ids)) if self.names[k] in MAIN and totals[k]}
             if not top:
                 best = totals[0]
@@ -223,8 +224,8 @@ def summed(parts: DataFrame) -> DataFrame:
         F.max("most").alias("most"), F.max("main").alias("main"), F.max("parts").alias("parts"))
 
 
-def templates(pages: DataFrame, most: int = 64) -> DataFrame:
-    """(host, known): elements of valid classes that hold changing text, with their weight, the ``most`` weighty ones.
+def templates(pages: DataFrame) -> DataFrame:
+    """(host, element, known): elements of valid classes that hold changing text, with their weight.
 
     An article weighs more than any other element; of nested elements in one class the innermost
     with nearly all the text stands for it.
@@ -234,10 +235,31 @@ def templates(pages: DataFrame, most: int = 64) -> DataFrame:
     rows = found.where("pages >= 2").withColumn("full", F.max("chars").over(klass))
     rows = rows.where("least <> most and chars > 0 and chars >= 0.7 * full")
     inner = rows.withColumn("deep", F.row_number().over(klass.orderBy(F.desc("main"), F.desc("parts"), "element"))).where("deep = 1")
-    weight = (F.col("chars") / F.col("pages") + F.when(F.col("main"), 1e12).otherwise(0.0)).alias("weight")
-    order = Window.partitionBy("host").orderBy(F.desc("weight"), "element")
-    top = inner.select("host", "element", weight).withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= most)
-    return top.groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("element", "weight"))).alias("known"))
+    weight = F.col("chars") / F.col("pages") + F.when(F.col("main"), 1e12).otherwise(0.0)
+    return inner.select("host", "element", weight.alias("known"))
+
+
+def page_elements(pages: DataFrame) -> DataFrame:
+    """(host, mark, element) of the elements on each page that may be content; ``mark`` is a hash of the html, 128 bits."""
+    def run(batches):
+        for batch in W.slices(batches):
+            hosts, marks, found = [], [], []
+            for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                page = Page(source)
+                here = {e for e, out in zip(page.ids(), page.outside, strict=True) if not out}
+                hosts += [host] * len(here)
+                marks += [xxhash.xxh3_128_digest(source)] * len(here)
+                found += here
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(marks, pa.binary()), pa.array(found, pa.int64())], ["host", "mark", "element"])
+
+    return pages.where("html <> ''").mapInArrow(run, "host string, mark binary, element long")
+
+
+def best_elements(pages: DataFrame) -> DataFrame:
+    """(host, mark, best): per page its elements of the largest weight; a page without template element has no row."""
+    rows = page_elements(pages).join(templates(pages), ["host", "element"])
+    found = rows.groupBy("host", "mark").agg(F.max("known").alias("top"), F.collect_set(F.struct("known", "element")).alias("all"))
+    return found.select("host", "mark", F.expr("transform(filter(all, x -> x.known = top), x -> x.element)").alias("best"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -248,20 +270,26 @@ def extract(pages: DataFrame) -> DataFrame:
     an empty table. A column named ``text`` is replaced.
     """
     W.text_batches(pages)
-    known = settle(templates(pages.select(host_of(F.col("url")).alias("host"), F.col("html").cast("string").alias("html"))))
+    best = settle(best_elements(pages.select(host_of(F.col("url")).alias("host"), F.col("html").cast("string").alias("html"))))
     kept = [f for f in pages.schema.fields if f.name != "text"]
     given = pages.select(*[F.col(f"`{f.name}`") for f in kept], F.col("html").cast("string").alias("_html"), host_of(F.col("url")).alias("_host"))
-    given = given.join(known.withColumnRenamed("host", "_host"), "_host", "left")
-    given = given.select(*[F.col(f"`{f.name}`") for f in kept], "_html", F.map_keys("known").alias("_e"), F.map_values("known").alias("_w"))
+
+    def marked(batches):
+        for batch in W.slices(batches):
+            mark = [xxhash.xxh3_128_digest(source or "") for source in batch.column(batch.num_columns - 2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(mark, pa.binary())], names=[*batch.schema.names, "_mark"])
+
+    given = given.mapInArrow(marked, T.StructType([*given.schema.fields, T.StructField("_mark", T.BinaryType())]))
+    best = best.select(F.col("host").alias("_host"), F.col("mark").alias("_mark"), F.col("best").alias("_best"))
+    given = given.join(best, ["_host", "_mark"], "left").select(*[F.col(f"`{f.name}`") for f in kept], "_html", "_best")
 
     def run(batches):
         for batch in W.slices(batches):
             n = batch.num_columns
             out = []
-            for source, e, w in zip(*(batch.column(k).to_pylist() for k in (n - 3, n - 2, n - 1)), strict=True):
-                known = dict(zip(e or (), w or (), strict=True))
-                out.append("\n\n".join(Page(source).main(known)) if source else "")
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-3], pa.array(out, pa.string())], names=[*batch.schema.names[:-3], "text"])
+            for source, best in zip(*(batch.column(k).to_pylist() for k in (n - 2, n - 1)), strict=True):
+                out.append("\n\n".join(Page(source).main({*(best or ())})) if source else "")
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(out, pa.string())], names=[*batch.schema.names[:-2], "text"])
 
     return given.mapInArrow(run, T.StructType([*kept, T.StructField("text", T.StringType())]))
 

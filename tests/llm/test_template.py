@@ -56,3 +56,19 @@ def test_vectors_of_any_number_of_pages_add_up(spark):
     parts = spark.createDataFrame([row] * 50, "host string, element long, pages long, vector long, chars long, least long, most long, main boolean, parts int")
     (r,) = X.summed(parts).collect()
     assert r["vector"] == 50 * big % X.VECTORS and r["pages"] == 50 * 10**6
+
+
+def test_no_layout_of_a_host_is_too_many(spark):
+    given = []
+    for k in range(100):
+        for n in range(2):
+            name = f"{chr(97 + k // 10)}{chr(97 + k % 10)}x"
+            body = f'<div class="{name}"><div class="{name}lead"><p>Lead {n}</p></div><div class="{name}main"><p>{"Words " * (10 + k)}{n}</p></div>'
+            given.append(page(1000 + 2 * k + n, body + f'<div class="{name}end"><p>{"More " * (6 + k // 2)}</p></div></div>', host="many.example.org"))
+    df = spark.createDataFrame(given, "page_id long, url string, html string")
+    known = X.templates(df.select(X.host_of("url").alias("host"), "html"))
+    assert known.count() > 64
+    got = {r["page_id"]: r["text"] for r in X.texts(df).collect()}
+    layouts = {k: [got[1000 + 2 * k + n].replace(f" {n}", " #") for n in range(2)] for k in range(100)}
+    alone = {r["page_id"]: r["text"] for k in (0, 50, 99) for r in X.texts(df.where(f"page_id in ({1000 + 2 * k}, {1001 + 2 * k})")).collect()}
+    assert all(a == b for a, b in layouts.values()) and all(got[i] == t for i, t in alone.items())
