@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from deltacell.llm import mixing, neighbours, ngram_join, packing, pii, quality, repeats, template, toxicity, url_lists
+from deltacell.llm import audit, mixing, neighbours, ngram_join, packing, pii, quality, repeats, template, toxicity, url_lists
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -77,3 +77,11 @@ def op5_url_lists(spark: SparkSession, sf: str) -> DataFrame:
 
 
 ORACLES["op5_url_lists"] = url_lists.LISTS_SQL
+
+
+@query
+def op12_audit(spark: SparkSession, sf: str) -> DataFrame:
+    return audit.audit(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+ORACLES["op12_audit"] = audit.AUDIT_SQL
