@@ -168,10 +168,10 @@ m AS (
 o AS (SELECT unnest([{", ".join(f"'{o}'" for o in ORDERS)}]) AS filter_order),
 s AS (
   SELECT part, filter_order, k AS step, m.n, m.good, m.bad, fail,
-         list_transform(string_split(filter_order, ''), lambda c: ascii(c) - 64) AS at
+         list_transform(string_split(filter_order, ''), lambda c: ascii(c) - 64) AS seq
   FROM m, o, range(1, 6) AS r(k)),
 x AS (
-  SELECT *, fail[at[step]] AS hit, list_bool_or(list_transform(at[1:step - 1], lambda i: fail[i])) AS gone,
+  SELECT *, fail[seq[step]] AS hit, list_bool_or(list_transform(seq[1:step - 1], lambda i: fail[i])) AS gone,
          len(list_filter(fail, lambda b: b)) AS failed FROM s),
 y AS (SELECT *, coalesce(gone, false) AS before FROM x),
 g AS (
