@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from deltacell.llm import audit, mixing, neighbours, ngram_join, packing, pii, quality, repeats, template, toxicity, url_lists
+from deltacell.llm import audit, bpe, centroids, mixing, neighbours, ngram_join, packing, pii, quality, repeats, template, toxicity, url_lists
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -85,3 +85,16 @@ def op12_audit(spark: SparkSession, sf: str) -> DataFrame:
 
 
 ORACLES["op12_audit"] = audit.AUDIT_SQL
+
+
+@query
+def op11_centroids(spark: SparkSession, sf: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf, "embeddings"))
+
+
+ORACLES["op11_centroids"] = centroids.cluster_sql()
+
+
+@query
+def op13_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    return bpe.digests(table(spark, sf, "documents"))
