@@ -26,31 +26,33 @@ from pyspark.sql import functions as F
 
 from deltacell.llm import words as W
 
-#: Words of more bytes than this are contracted with a heap.
+#: Words of more bytes than this are contracted with a heap; positions in a query must stay below 256.
 LONG = 200
 #: Words of a text taken at a time; longer texts are encoded and decoded in several pieces.
 PIECE = 200_000
 #: Ids of distinct words kept by a worker before it starts anew.
-KEPT_IDS = 4_000_000
+KEPT_IDS = 3_000_000
 
+#: A round finds each word's smallest ``merged`` (a rank and the new token at once), leftmost first, in
+#: one ordered pass; only the new token and the one before it then have a new neighbour to look up.
 CONTRACT = """
-WITH RECURSIVE tokens(word, pos, token, round) AS (
-  SELECT word, pos, token, 0 FROM fresh
+WITH RECURSIVE tokens AS MATERIALIZED (
+  SELECT f.word, f.pos, f.token, f.round, m.merged FROM (
+    SELECT word, pos, token, 0 AS round, lead(token) OVER (PARTITION BY word ORDER BY pos) AS next FROM fresh) f
+  LEFT JOIN merges m ON m.token = f.token AND m.next = f.next
   UNION ALL
-  SELECT word, pos, CASE WHEN pos = best.pos THEN best.merged ELSE token END, round + 1
-  FROM (
-    SELECT *, lag(pos) OVER (PARTITION BY word ORDER BY pos) AS before FROM (
-      SELECT word, pos, token, round,
-        min(CASE WHEN merged IS NOT NULL THEN {'merged': merged, 'pos': pos} END) OVER (PARTITION BY word) AS best
-      FROM (
-        SELECT t.word, t.pos, t.token, t.round, m.merged
-        FROM (SELECT *, lead(token) OVER (PARTITION BY word ORDER BY pos) AS next FROM tokens) t
-        LEFT JOIN merges m ON m.token = t.token AND m.next = t.next))
-    WHERE best IS NOT NULL)
-  WHERE before IS DISTINCT FROM best.pos
+  SELECT f.word, f.pos, f.token, f.round, m.merged FROM (
+    SELECT word, pos, CASE WHEN pos = best % 256 THEN (best // 256)::INTEGER ELSE token END AS token, round + 1 AS round,
+      CASE WHEN pos = best % 256 THEN second WHEN after = best % 256 THEN (best // 256)::INTEGER ELSE next END AS next
+    FROM (
+      SELECT *, lead(token) OVER w AS next, lead(token, 2) OVER w AS second, lead(pos) OVER w AS after, lag(pos) OVER w AS before,
+        min(merged::BIGINT * 256 + pos) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS best
+      FROM tokens WINDOW w AS (PARTITION BY word ORDER BY pos))
+    WHERE best IS NOT NULL AND before IS DISTINCT FROM best % 256) f
+  LEFT JOIN merges m ON m.token = f.token AND m.next = f.next
 )
 SELECT word, list(token ORDER BY pos) AS ids
-FROM (SELECT * FROM tokens QUALIFY round = max(round) OVER (PARTITION BY word)) GROUP BY word
+FROM tokens JOIN (SELECT word, max(round) AS round FROM tokens GROUP BY word) USING (word, round) GROUP BY word
 """
 
 DECODE = """
@@ -196,8 +198,12 @@ class Coder:
             owners.clear()
 
         for i, t in enumerate(texts):
-            found = self.pattern.finditer(t or "", concurrent=False)
-            while piece := [m.group() for m in islice(found, PIECE)]:
+            if not t or len(t) <= PIECE:
+                pieces = [self.pattern.findall(t)] if t else []
+            else:
+                found = self.pattern.finditer(t)
+                pieces = iter(lambda: [m.group() for m in islice(found, PIECE)], [])  # noqa: B023 - used up below
+            for piece in pieces:
                 words += piece
                 owners.append((i, len(piece)))
                 if len(words) >= PIECE:
