@@ -1,12 +1,11 @@
 """Exact k-means over integer vectors, in rounds that scan only the vectors that may have moved.
 
-Each vector keeps its cluster and a lower bound on its distance to any other centroid. When
-centroids move, a bound must be loosened. The usual amount is the largest drift of another centroid;
-here each cluster is a sphere around its old centroid, and in the plane through a moved centroid's
+Each vector keeps its cluster and a lower bound on its distance to every other centroid. When a
+centroid moves, its bounds must be loosened. The usual amount is its drift; here each cluster is a sphere around its old centroid, and in the plane through a moved centroid's
 two places and the sphere's middle the loss is bounded by geometry: the points that come nearer by
 more than ``drift * cos(t)`` lie in the cone of half angle ``t`` around the movement, seen from the
 point half-way. A sphere beside or behind the movement so loses less, or nothing. A vector whose
-distance to its own centroid stays below its bound keeps its cluster; every other one is scanned
+distance to its own centroid stays below its other bounds keeps its cluster; every other one is scanned
 against all centroids in exact integer arithmetic, so results are those of the plain algorithm.
 
 Vectors are written once, in blocks of ``BLOCK``, into buckets by block; bounds are written per round
@@ -119,13 +118,13 @@ def own_squares(parts: np.ndarray, centroids: np.ndarray, cluster: np.ndarray) -
 
 
 def loosening(old: np.ndarray, new: np.ndarray, radius: np.ndarray) -> np.ndarray:
-    """Per cluster, by how much any of its vectors may have come nearer to another centroid.
+    """By how much any vector of a cluster (row) may have come nearer to a centroid (column).
 
     ``radius`` bounds the distances of a cluster's vectors to its old centroid. Never more than the
-    largest drift of another centroid, and never negative.
+    centroid's drift, and never negative. The diagonal is infinite, as own distances are computed.
     """
     old, new = old.astype(np.float64), new.astype(np.float64)
-    out = np.zeros(len(old))
+    out = np.zeros((len(old), len(old)))
     for j in range(len(old)):
         move = new[j] - old[j]
         drift = math.sqrt(float(move @ move))
@@ -134,38 +133,40 @@ def loosening(old: np.ndarray, new: np.ndarray, radius: np.ndarray) -> np.ndarra
         away = old - (old[j] + new[j]) / 2
         far = np.sqrt((away * away).sum(1))
         for i in range(len(old)):
-            if i == j:
-                continue
             share = 1.0
             if radius[i] < far[i]:
                 cone = math.acos(max(-1.0, min(1.0, float(away[i] @ move) / (far[i] * drift)))) - math.asin(radius[i] / far[i])
                 share = 1.0 if cone <= 0 else max(0.0, math.cos(cone))
-            out[i] = max(out[i], drift * min(1.0, share + ROOM))
+            out[i, j] = drift * min(1.0, share + ROOM)
+    np.fill_diagonal(out, math.inf)
     return out
 
 
+def _below(bounds: np.ndarray) -> np.ndarray:
+    """As 32-bit floats, rounded down."""
+    return np.nextafter(bounds.astype("<f4"), np.float32(-math.inf))
+
+
 def _step(size: int, centroids: np.ndarray, loosen: np.ndarray):
     """Arrow function over blocks and their bounds (null at first) to the new bounds."""
 
     def block(parts, cluster, bound):
         n, k = len(parts), len(centroids)
         if cluster is None:
-            before, scan, bound = np.full(n, -1, np.int32), np.ones(n, bool), np.zeros(n)
+            before, scan, bound = np.full(n, -1, np.int32), np.ones(n, bool), np.zeros((n, k), np.float32)
             cluster, squared = np.zeros(n, np.int32), np.zeros(n, np.int64)
         else:
             before = cluster
-            cluster, bound = cluster.copy(), bound - loosen[cluster]
+            cluster, bound = cluster.copy(), _below(bound.reshape(n, k) - loosen[cluster])
             squared = own_squares(parts, centroids, cluster)
-            scan = ~(np.sqrt(squared) * (1 + ROOM) < bound * (1 - ROOM))
+            others = bound.copy()
+            others[np.arange(n), cluster] = math.inf
+            scan = ~(np.sqrt(squared) * (1 + ROOM) < others.min(1).astype(np.float64) * (1 - ROOM))
         if scan.any():
             every = squares(parts[scan], centroids)
             near = every.argmin(1)  # the first of equals
             cluster[scan], squared[scan] = near, every[np.arange(len(near)), near]
-            if k > 1:
-                every[np.arange(len(near)), near] = np.iinfo(np.int64).max
-                bound[scan] = np.sqrt(every.min(1)) * (1 - ROOM)
-            else:
-                bound[scan] = math.inf
+            bound[scan] = _below(np.sqrt(every) * (1 - ROOM))
         changed = np.flatnonzero(cluster != before)
         shift = np.zeros((k, size + 1), np.int64)
         if len(changed):
@@ -177,7 +178,7 @@ def _step(size: int, centroids: np.ndarray, loosen: np.ndarray):
         radius = np.zeros(k)
         np.maximum.at(radius, cluster, np.sqrt(squared) * (1 + ROOM))
         return [
-            cluster.astype("<i4").tobytes(), bound.astype("<f8").tobytes(), moved.tobytes(), shift[moved].astype("<i8").tobytes(),
+            cluster.astype("<i4").tobytes(), bound.astype("<f4").tobytes(), moved.tobytes(), shift[moved].astype("<i8").tobytes(),
             radius.astype("<f8").tobytes(), int(scan.sum()),
         ]
 
@@ -188,7 +189,7 @@ def _step(size: int, centroids: np.ndarray, loosen: np.ndarray):
             out = []
             for b, parts, c, t in zip(*[batch.column(n).to_pylist() for n in ("block", "parts", "cluster", "bound")], strict=True):
                 cluster = None if c is None else np.frombuffer(c, "<i4")
-                out.append([b, *block(np.frombuffer(parts, "<i4").reshape(-1, size), cluster, None if t is None else np.frombuffer(t, "<f8"))])
+                out.append([b, *block(np.frombuffer(parts, "<i4").reshape(-1, size), cluster, None if t is None else np.frombuffer(t, "<f4"))])
             if out:
                 yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out), types, strict=True)], names=names)
 
@@ -259,7 +260,7 @@ class Run:
         self.blocks = _bucketed(made, self.buckets)
         self.centroids = first_centroids(vectors, k, prefix, size, scale, id_column, column)
         self.totals = [[0] * (size + 1) for _ in self.centroids]
-        self.loosen = np.zeros(len(self.centroids))
+        self.loosen = np.zeros((len(self.centroids), len(self.centroids)))
         self.bounds: str | None = None
 
     def assign(self) -> None:
