@@ -29,23 +29,27 @@ from deltacell.llm import words as W
 #: Words of more bytes than this are contracted with a heap; positions in a query must stay below 256.
 LONG = 200
 #: Words of a text taken at a time; longer texts are encoded and decoded in several pieces.
-PIECE = 200_000
+PIECE = 500_000
+#: Ids decoded by one query.
+DECODED = 250_000
+#: Bytes of texts that are encoded together, so that a query meets many new words at once.
+RUN_BYTES = 4 << 20
 #: Ids of distinct words kept by a worker before it starts anew.
-KEPT_IDS = 3_000_000
+KEPT_IDS = 4_000_000
 
 #: A round finds each word's smallest ``merged`` (a rank and the new token at once), leftmost first, in
 #: one ordered pass; only the new token and the one before it then have a new neighbour to look up.
 CONTRACT = """
 WITH RECURSIVE tokens AS MATERIALIZED (
-  SELECT f.word, f.pos, f.token, f.round, m.merged FROM (
+  SELECT f.word, f.pos, f.token, f.next, f.round, m.merged FROM (
     SELECT word, pos, token, 0 AS round, lead(token) OVER (PARTITION BY word ORDER BY pos) AS next FROM fresh) f
   LEFT JOIN merges m ON m.token = f.token AND m.next = f.next
   UNION ALL
-  SELECT f.word, f.pos, f.token, f.round, m.merged FROM (
+  SELECT f.word, f.pos, f.token, f.next, f.round, m.merged FROM (
     SELECT word, pos, CASE WHEN pos = best % 256 THEN (best // 256)::INTEGER ELSE token END AS token, round + 1 AS round,
       CASE WHEN pos = best % 256 THEN second WHEN after = best % 256 THEN (best // 256)::INTEGER ELSE next END AS next
     FROM (
-      SELECT *, lead(token) OVER w AS next, lead(token, 2) OVER w AS second, lead(pos) OVER w AS after, lag(pos) OVER w AS before,
+      SELECT *, lead(next) OVER w AS second, lead(pos) OVER w AS after, lag(pos) OVER w AS before,
         min(merged::BIGINT * 256 + pos) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS best
       FROM tokens WINDOW w AS (PARTITION BY word ORDER BY pos))
     WHERE best IS NOT NULL AND before IS DISTINCT FROM best % 256) f
@@ -128,32 +132,36 @@ class Coder:
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
         self.pool = np.zeros(1 << 16, "<u4")
+        self.ends = np.zeros(1 << 16, np.int64)
         self.used = 0
-        self.starts, self.sizes = [], []
 
-    def _keep(self, word: str, ids) -> None:
-        n = len(ids)
+    def _keep(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Append the ids of distinct words; word n's lie in ``pool`` from ``ends[n]`` to ``ends[n + 1]``."""
+        first, n = len(self.known), len(ids)
         while self.used + n > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        while first + len(words) >= len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
         self.pool[self.used:self.used + n] = ids
-        self.known[word] = len(self.starts)
-        self.starts.append(self.used)
-        self.sizes.append(n)
+        self.ends[first + 1:first + 1 + len(words)] = self.used + np.cumsum(sizes)
+        self.known.update(zip(words, range(first, first + len(words)), strict=True))
         self.used += n
 
     def _learn(self, fresh: list[str]) -> None:
         """Ids of words not met before: whole tokens at once, the rest by contraction."""
-        rest = []
+        rest, whole = [], []
         for w in fresh:
             raw = w.encode()
             if (r := self.ranks.get(raw)) is not None:
-                self._keep(w, [r])
+                whole.append((w, r))
             elif len(raw) > LONG:
                 if self.merges is None:
                     self.merges = {(a, b): m for a, b, m in self.rows.tolist()}
-                self._keep(w, contract_long(self.byte[np.frombuffer(raw, np.uint8)].tolist(), self.merges))
+                ids = contract_long(self.byte[np.frombuffer(raw, np.uint8)].tolist(), self.merges)
+                self._keep([w], np.array(ids), np.array([len(ids)]))
             else:
                 rest.append((w, raw))
+        self._keep([w for w, _ in whole], np.array([r for _, r in whole], np.int64), np.ones(len(whole), np.int64))
         if not rest:
             return
         sizes = np.array([len(raw) for _, raw in rest])
@@ -164,8 +172,9 @@ class Coder:
         self.db.register("fresh", pa.table({"word": word, "pos": pos, "token": token}))
         found = self.db.sql(CONTRACT).to_arrow_table()
         self.db.unregister("fresh")
-        for w, ids in zip(found.column("word").to_pylist(), found.column("ids").to_pylist(), strict=True):
-            self._keep(rest[w][0], ids)
+        for chunk in found.to_batches():
+            ids = chunk.column("ids")
+            self._keep([rest[w][0] for w in chunk.column("word").to_pylist()], ids.flatten().to_numpy(), ids.value_lengths().to_numpy())
 
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words in order, and how many each word has."""
@@ -177,7 +186,7 @@ class Coder:
         distinct = coded.dictionary.to_pylist()
         self._learn([w for w in distinct if w not in self.known])
         at = np.array([self.known[w] for w in distinct])[coded.indices.to_numpy()]
-        starts, sizes = np.array(self.starts)[at], np.array(self.sizes)[at]
+        starts, sizes = self.ends[at], self.ends[at + 1] - self.ends[at]
         ends = np.cumsum(sizes)
         return self.pool[np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1])], sizes
 
@@ -214,11 +223,11 @@ class Coder:
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
         """Bytes of every sequence of ids."""
         out: list[list[bytes]] = [[] for _ in ids]
-        pieces = [(i, x[a:a + PIECE]) for i, x in enumerate(ids) for a in range(0, len(x), PIECE)]
+        pieces = [(i, x[a:a + DECODED]) for i, x in enumerate(ids) for a in range(0, len(x), DECODED)]
         at = 0
         while at < len(pieces):
             end, held = at, 0
-            while end < len(pieces) and (held == 0 or held + len(pieces[end][1]) <= PIECE):
+            while end < len(pieces) and (held == 0 or held + len(pieces[end][1]) <= DECODED):
                 held += len(pieces[end][1])
                 end += 1
             run = pieces[at:end]
@@ -271,7 +280,7 @@ def encode(docs: DataFrame, ranks: Ranks | None = None, id_column: str = "doc_id
     ranks = ranks or public_ranks()
 
     def run(batches):
-        for batch in W.slices(batches):
+        for batch in W.slices(batches, RUN_BYTES):
             ids = coder(ranks).encode(batch.column(1).to_pylist())
             yield pa.record_batch(
                 [batch.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())],

@@ -42,6 +42,7 @@ def test_random_texts(own, truth, monkeypatch):
     want = [truth.encode_ordinary(t) for t in texts]
     assert [x.tolist() for x in own.encode(texts)] == want
     monkeypatch.setattr(B, "PIECE", 40)
+    monkeypatch.setattr(B, "DECODED", 40)
     monkeypatch.setattr(B, "KEPT_IDS", 50)
     ids = own.encode(texts[::8])
     assert [x.tolist() for x in ids] == want[::8] and own.decode(ids) == [t.encode() for t in texts[::8]]
