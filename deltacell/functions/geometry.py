@@ -62,10 +62,10 @@ def equal_area_cell_m2(row: Column, col: Column, gt: list[float], epsg: int) ->
         r, c = row + dr, col + dc
         x, y = gt[0] + c * gt[1] + r * gt[2], gt[3] + c * gt[4] + r * gt[5]
         corners.append(crs.reproject(x, y, epsg, 6933))
-    twice = F.lit(0.0)
+    area = F.lit(0.0)  # by trapezoids, as products of whole coordinates would cost the last digits
     for (x1, y1), (x2, y2) in zip(corners, corners[1:] + corners[:1]):
-        twice = twice + (x1 * y2 - x2 * y1)
-    return F.abs(twice) / 2
+        area = area + (x2 - x1) * (y1 + y2) / 2
+    return F.abs(area)
 
 
 def window_bounds(bbox: list[float], gt: list[float], width: int, height: int) -> tuple[int, int, int, int] | None:

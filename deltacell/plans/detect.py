@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from deltacell import schema as S
 from deltacell.functions import naming as N
+from deltacell.functions import radiometry as R
+from deltacell.operators import align
 from deltacell.operators import chains as C
 from deltacell.operators import evaluate as E
 from deltacell.operators import focal, objects, stack
@@ -29,13 +31,53 @@ class Detection:
     extras: dict[str, DataFrame] = field(default_factory=dict)
 
 
+def posting_hint(grids: DataFrame, min_pixels: int) -> DataFrame:
+    """Grids of fine cells whose smallest object would be far below the size the method was tested at.
+
+    (grid_id, cell_m, min_object_ha, hint), one row for each grid it concerns.
+    """
+    # Cell size and object size below which the hint is given.
+    fine_m, small_ha = 45.0, 2.0
+    cell = F.abs(F.col("gt")[1])
+    least = F.lit(min_pixels) * cell * F.abs(F.col("gt")[5]) / 1e4
+    sized = grids.select("grid_id", cell.alias("cell_m"), least.alias("min_object_ha"))
+    text = F.format_string("objects of %.2f ha are kept; at %.0f m cells ask for more cells an object", "min_object_ha", "cell_m")
+    return sized.where((F.col("cell_m") < fine_m) & (F.col("min_object_ha") < small_ha)).withColumn("hint", text)
+
+
+def on_grids(mask: DataFrame | None, own: DataFrame | None, grids: DataFrame | None) -> DataFrame | None:
+    """A mask on the detection's grids; where its own grids are given, cells come from the nearest of them."""
+    if mask is None or own is None or grids is None:
+        return mask
+    dense = mask.select(*CELL).distinct().withColumn("value", F.lit(1.0))
+    return settle(align.onto(dense, own, grids, "nearest").where("value = 1").select(*CELL))
+
+
+def _failed(grids: DataFrame, thresholds: DataFrame) -> DataFrame:
+    """Thresholds of all grids, with ``error`` for those whose sample holds no valid cell."""
+    every = grids.select("grid_id").distinct().join(thresholds, "grid_id", "left")
+    text = F.when(F.col("threshold").isNull() | F.isnan("threshold"), F.lit("no valid cells in the sample"))
+    return settle(every.withColumn("error", text))
+
+
+def reject_failed(run: DataFrame) -> DataFrame:
+    """The same rows; reading a row of a failed grid is an error."""
+    told = F.raise_error(F.concat(F.lit("grid "), F.col("grid_id"), F.lit(": "), F.col("error"))).cast("double")
+    return run.withColumn("threshold", F.when(F.col("error").isNull(), F.col("threshold")).otherwise(told)).drop("error")
+
+
 def _finish(
     index: DataFrame, thresholds: DataFrame, min_pixels: int, median_size: int, smooth_size: int,
     inside: DataFrame | None, cell_m2: float, min_area_ha: float | None, tile: int, extras: dict[str, DataFrame] | None = None,
+    grids: DataFrame | None = None,
 ) -> Detection:
-    flagged = focal.threshold_map(index, thresholds, median_size, smooth_size, inside, tile=tile)
+    usable = thresholds.where("error is null").drop("error")
+    flagged = focal.threshold_map(index, usable, median_size, smooth_size, inside, tile=tile)
     labelled = settle(objects.remove_small(objects.components(flagged, tile), min_pixels))
     found = objects.object_stats(labelled, cell_m2)
+    if grids is not None:
+        found = settle(objects.measured(labelled, grids, min_pixels))
+        extras = {**(extras or {}), "hints": posting_hint(grids, min_pixels)}
     if min_area_ha is not None:
         found = found.where(F.col("area_ha") >= min_area_ha)
     per_grid = found.groupBy("grid_id").agg(
@@ -66,23 +108,29 @@ def detect_wi(
     fixed: float = S.AMPLITUDE_FIXED_DB, normalize: bool = False, analysis: DataFrame | None = None,
     background: DataFrame | None = None, median_size: int = S.MEDIAN_SIZE, smooth_size: int = 1,
     min_pixels: int = S.MIN_PIXELS_10M, cell_m2: float = 100.0, min_area_ha: float | None = None, sign: float = 1.0,
-    power: int = 1, tile: int = focal.TILE,
+    power: int = 1, tile: int = focal.TILE, grids: DataFrame | None = None, mask_grids: DataFrame | None = None,
 ) -> Detection:
     """Backscatter increase between two stacks of scenes.
 
     The threshold comes from the unfiltered index over the sample cells; it is applied to the
-    filtered index. Grids must be dense, with NULL where there is no data.
+    filtered index. Grids must be dense, with NULL where there is no data. A grid whose sample has no
+    valid cell detects nothing and says so in ``error`` of ``run``; the other grids go on.
+
+    With ``grids`` (schema.GRID) areas are measured on the equal-area plane, and objects below
+    ``min_pixels`` cells of area are left out; without, an object has ``cell_m2`` a cell.
+    ``mask_grids`` describes masks that lie on grids of their own.
     """
     if mode not in ("adaptive", "fixed"):
         raise ValueError(f"unknown threshold mode: {mode}")
+    analysis, background = on_grids(analysis, mask_grids, grids), on_grids(background, mask_grids, grids)
     index, offsets = amplitude_index(obs, bands, sign, normalize, background, analysis, power)
     if mode == "adaptive":
         thresholds = stack.mean_threshold(stack.statistics_sample(index, background, analysis), offset)
     else:
-        thresholds = stack.fixed_threshold(index, fixed)
+        thresholds = stack.fixed_threshold(index.where("value is not null"), fixed)
     extras = {"offsets": offsets} if offsets is not None else {}
     return _finish(
-        index, settle(thresholds), min_pixels, median_size, smooth_size, analysis, cell_m2, min_area_ha, tile, extras
+        index, _failed(index, thresholds), min_pixels, median_size, smooth_size, analysis, cell_m2, min_area_ha, tile, extras, grids
     )
 
 
@@ -111,18 +159,31 @@ def detect_coherence(
     background: DataFrame | None = None, water: DataFrame | None = None, nodata: float | None = None,
     median_size: int = S.MEDIAN_SIZE, smooth_size: int = 1, min_pixels: int = S.MIN_PIXELS_80M, cell_m2: float = 6400.0,
     min_area_ha: float | None = None, products: DataFrame | None = None, tile: int = focal.TILE,
+    grids: DataFrame | None = None, control_grids: DataFrame | None = None, mask_grids: DataFrame | None = None, strict: bool = True,
 ) -> Detection:
     """Coherence change of a target pair against a control pair.
 
+    ``grids`` (schema.GRID) describes the target pair's grids and gives areas as in :func:`detect_wi`.
+    Where ``control_grids`` differ from them, the control pair is brought onto the target's grid by
+    bilinear weights of valid cells; ``mask_grids`` does the same for masks, by nearest cells.
+
     ``products`` (grid_id, target, control paths) are checked first; a mismatch is an error.
     ``water`` (cells with value 1 on land, 0 on water) keeps land where it is believable and joins
     the analysis mask. Threshold and medians are taken over cells inside both masks. The safeguard
     looks at the analysis mask, else the background; the forest share is that of the background,
-    else of the analysis mask. A grid without any valid cell in its sample is an error.
+    else of the analysis mask. A grid without any valid cell in its sample is an error; with
+    ``strict=False`` it only has ``error`` set in ``run``, and the other grids go on.
     """
     if threshold_mode not in ("adaptive", "fixed"):
         raise ValueError(f"unknown threshold mode: {threshold_mode}")
     extras = {}
+    if control_grids is not None and has_control:
+        if grids is None:
+            raise ValueError("aligning a control pair needs the target's grids")
+        control = coherence.where("role = 'control'").withColumn("value", R.sane_coherence(F.col("value"), nodata))
+        moved = settle(align.onto(control.select(*CELL, "value"), control_grids, grids, "bilinear"))
+        coherence = coherence.where("role <> 'control'").select(*CELL, "role", "value").unionByName(moved.withColumn("role", F.lit("control")))
+    analysis, background = on_grids(analysis, mask_grids, grids), on_grids(background, mask_grids, grids)
     if water is not None:
         analysis = settle(stack.both_masks(analysis, E.usable_land(water, ["grid_id"])))
     if products is not None:
@@ -139,8 +200,8 @@ def detect_coherence(
         thresholds = stack.median_threshold(sample, offset)
     else:
         thresholds = stack.fixed_threshold(sample, fixed)
-    thresholds = settle(thresholds)
-    missing = layers.select("grid_id").distinct().join(thresholds, "grid_id", "left_anti").limit(5).collect()
+    thresholds = _failed(layers, thresholds)
+    missing = thresholds.where("error is not null").limit(5).collect() if strict else []
     if missing:
         raise ValueError(f"no valid cells inside the masks of {sorted(r[0] for r in missing)}")
     zone = analysis if analysis is not None else background
@@ -156,5 +217,5 @@ def detect_coherence(
     extras["safeguard"] = E.safeguard(zoned, share, mode, name, has_control)
     extras["medians"] = E.layer_medians(sample)
     return _finish(
-        index, thresholds, min_pixels, median_size, smooth_size, analysis, cell_m2, min_area_ha, tile, extras
+        index, thresholds, min_pixels, median_size, smooth_size, analysis, cell_m2, min_area_ha, tile, extras, grids
     )
