@@ -41,8 +41,7 @@ KEPT_IDS = 4_000_000
 #: one ordered pass; only the new token and the one before it then have a new neighbour to look up.
 CONTRACT = """
 WITH RECURSIVE tokens AS MATERIALIZED (
-  SELECT f.word, f.pos, f.token, f.next, f.round, m.merged FROM (
-    SELECT word, pos, token, 0 AS round, lead(token) OVER (PARTITION BY word ORDER BY pos) AS next FROM fresh) f
+  SELECT f.word, f.pos, f.token, f.next, 0 AS round, m.merged FROM fresh f
   LEFT JOIN merges m ON m.token = f.token AND m.next = f.next
   UNION ALL
   SELECT f.word, f.pos, f.token, f.next, f.round, m.merged FROM (
@@ -169,7 +168,10 @@ class Coder:
         token = self.byte[np.frombuffer(b"".join(raw for _, raw in rest), np.uint8)]
         word = np.repeat(np.arange(len(rest), dtype=np.int32), sizes)
         pos = (np.arange(len(token)) - np.repeat(ends - sizes, sizes)).astype(np.int32)
-        self.db.register("fresh", pa.table({"word": word, "pos": pos, "token": token}))
+        last = np.zeros(len(token), bool)
+        last[ends - 1] = True
+        follows = pa.array(np.concatenate([token[1:], token[:1]]), mask=last)
+        self.db.register("fresh", pa.table({"word": word, "pos": pos, "token": token, "next": follows}))
         found = self.db.sql(CONTRACT).to_arrow_table()
         self.db.unregister("fresh")
         for chunk in found.to_batches():
