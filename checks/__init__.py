@@ -6,7 +6,7 @@ from __future__ import annotations
 def all_queries():
     import importlib
 
-    for part in ("cells", "shapes", "events", "whole"):
+    for part in ("cells", "shapes", "events", "whole", "stores"):
         importlib.import_module(f"checks.{part}")
     from checks.registry import ORACLES, QUERIES
 

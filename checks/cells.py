@@ -684,6 +684,18 @@ def distance_ring(spark, sf):
     return focal.distance_ring(cells.where("value > 0.2"), 4, shape)
 
 
+@query("distance_ring_far", """
+, ref AS (SELECT grid_id, "row", col FROM raw_field WHERE value > 0.42),
+d AS (SELECT f.grid_id, f."row", f.col, min((f."row" - r."row") * (f."row" - r."row") + (f.col - r.col) * (f.col - r.col)) AS d2
+  FROM raw_field f JOIN ref r ON f.grid_id = r.grid_id GROUP BY ALL)
+SELECT grid_id, "row", col FROM d WHERE d2 > 30 * 30 AND d2 <= 1000 * 1000""", "raw_field")
+def distance_ring_far(spark, sf):
+    """From 30 to 1000 cells around few cells: wider than the grids, so every cell is measured."""
+    cells = V.raw_field(spark, sf)
+    shape = cells.groupBy("grid_id").agg((F.max("row") + 1).alias("height"), (F.max("col") + 1).alias("width"))
+    return focal.distance_ring(cells.where("value > 0.42"), 1000, shape, 30)
+
+
 @query("threshold_map", _window_sql("field", 1) + """
 , b AS (SELECT grid_id, "row", col, CASE WHEN count(v) / 9.0 >= 0.30 THEN sum(v) / count(v) END AS value FROM win GROUP BY grid_id, "row", col)"""
        + _window_sql("b", 1).replace("size AS", "size2 AS").replace("JOIN size", "JOIN size2").replace("o AS", "o2 AS").replace(", o)", ", o2)").replace("win AS", "win2 AS") + """

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from checks import views as V
 from checks.registry import query, r6
+from deltacell import schema as S
 from deltacell.functions import crs
 from deltacell.functions import geometry as G
 from deltacell.functions.hull import convex_hull
-from deltacell.operators import cover, evaluate, objects, resample
-from deltacell.session import settle
-from deltacell.sources import catalogs
+from deltacell.operators import align, cover, evaluate, objects, resample
+from deltacell.session import scratch_root, settle
+from deltacell.sources import catalogs, sinks, tables
 
 CELL = ["grid_id", "row", "col"]
 TILE = 64
@@ -69,6 +73,26 @@ def outline_measures(spark, sf):
     return out.select("grid_id", "label", corners.alias("n_corners"), r6(G.rings_area(F.col("rings")), 4).alias("area"))
 
 
+@query("ring_points", _LABELS.format(limit=0.15) + """
+, corner AS (SELECT grid_id, label, "row" + dr AS vr, col + dc AS vc, count(*) AS n, sum((1 - 2 * dr) * (1 - 2 * dc)) AS s
+  FROM lab, range(2) a(dr), range(2) b(dc) GROUP BY ALL),
+turns AS (SELECT grid_id, label, sum(CASE WHEN n IN (1, 3) THEN 1 WHEN n = 2 AND s <> 0 THEN 2 ELSE 0 END)::INT AS n_corners FROM corner GROUP BY ALL)
+SELECT grid_id, label, n_corners, n * 2 AS twice_area, 0 AS broken
+FROM turns JOIN (SELECT grid_id, label, count(*) AS n FROM lab GROUP BY ALL) USING (grid_id, label)""", "raw_field")
+def ring_points(spark, sf):
+    """Corners and area of outlines whose order is found by joins; consecutive corners lie on one line."""
+    points = settle(objects.ring_points(settle(_labelled(spark, sf))))
+    w = Window.partitionBy("grid_id", "ring").orderBy("place")
+    first = F.first(F.struct("r", "c")).over(w)
+    after = F.coalesce(F.lead(F.struct("r", "c")).over(w), first)
+    sides = points.withColumn("_a", after)
+    cross = F.col("c") * F.col("_a.r") - F.col("_a.c") * F.col("r")
+    askew = ((F.col("r") != F.col("_a.r")) & (F.col("c") != F.col("_a.c"))).cast("int")
+    return sides.groupBy("grid_id", "label").agg(
+        F.count(F.lit(1)).alias("n_corners"), F.abs(F.sum(cross)).alias("twice_area"), F.sum(askew).alias("broken")
+    )
+
+
 _TWO = _LABELS.format(limit=0.15) + """
 , two AS (SELECT * FROM lab), det AS (SELECT grid_id, "row", col FROM raw_field WHERE value > 0.12 AND col % 4 <> 0),
 dnear AS (SELECT a.grid_id, a."row" AS r1, a.col AS c1, b."row" AS r2, b.col AS c2 FROM det a JOIN det b
@@ -157,6 +181,95 @@ def window_read(spark, sf):
     return resample.window(V.field(spark, sf), [104.0, 995.0, 301.0, 1600.0], SOURCE).withColumn("value", r6("value"))
 
 
+@query("window_read_stored", """
+SELECT grid_id, "row", col, round(value, 6) AS value FROM field WHERE "row" BETWEEN 90 AND 150 AND col BETWEEN 10 AND 30""", "raw_field field")
+def window_read_stored(spark, sf):
+    """Written by blocks of tiles and read back by a bbox, which leaves out the blocks it does not touch."""
+    path = f"{scratch_root(spark)}/window-{uuid.uuid4().hex}"
+    sinks.write_index(V.field(spark, sf), path, tile=16, block=2)
+    cells = tables.read_window(spark, path, S.INDEX.replace("run_id STRING, ", ""), [104.0, 995.0, 301.0, 1600.0], SOURCE, tile=16, block=2)
+    return cells.select("grid_id", "row", "col", r6("value").alias("value"))
+
+
+# Grids that differ from row to row: even ones lie in zone 33, odd ones south of the equator in zone 34;
+# targets are degrees and Mercator metres, of other cell sizes.
+def _grid_rows(spark, sf, even: dict, odd: dict):
+    ids = V.field(spark, sf).select("grid_id").distinct()
+    pick = F.substring("grid_id", 2, 10).cast("int") % 2 == 0
+    side = lambda n, kind: F.when(pick, F.lit(even[n])).otherwise(F.lit(odd[n])).cast(kind).alias(n)
+    gt = F.when(pick, F.array(*map(F.lit, even["gt"]))).otherwise(F.array(*map(F.lit, odd["gt"]))).alias("gt")
+    return ids.select("grid_id", side("width", "int"), side("height", "int"), gt, side("epsg", "int"), F.lit(None).cast("double").alias("nodata"))
+
+
+_OWN_EVEN = {"gt": [500100.0, 10.0, 0.0, 5004000.0, 0.0, -10.0], "epsg": 32633, "width": 64, "height": 250}
+_OWN_ODD = {"gt": [500100.0, 10.0, 0.0, 5004000.0, 0.0, -10.0], "epsg": 32734, "width": 64, "height": 250}
+_TO_EVEN = {"gt": [15.0011, 0.00017, 0.0, 45.1895, 0.0, -0.00013], "epsg": 4326, "width": 50, "height": 150}
+_TO_ODD = {"gt": [2337820.0, 23.0, 0.0, -5632100.0, 0.0, -23.0], "epsg": 3857, "width": 40, "height": 140}
+
+_ALIGN_SQL = """
+, g AS (SELECT DISTINCT grid_id, CAST(substr(grid_id, 2) AS INTEGER) % 2 AS odd FROM field),
+te AS (SELECT grid_id, odd, CAST(a AS INTEGER) AS "row", CAST(b AS INTEGER) AS col, 15.0011::DOUBLE + 0.00017::DOUBLE * (b + 0.5::DOUBLE) AS lon,
+  45.1895::DOUBLE - 0.00013::DOUBLE * (a + 0.5::DOUBLE) AS lat FROM g, range(150) p(a), range(50) q(b) WHERE odd = 0),
+tm AS (SELECT grid_id, odd, CAST(a AS INTEGER) AS "row", CAST(b AS INTEGER) AS col, degrees((2337820.0::DOUBLE + 23 * (b + 0.5::DOUBLE)) / 6378137) AS lon,
+  degrees(2 * atan(exp((-5632100.0::DOUBLE - 23 * (a + 0.5::DOUBLE)) / 6378137)) - pi() / 2) AS lat FROM g, range(140) p(a), range(40) q(b) WHERE odd = 1),
+tl AS (SELECT * FROM te UNION ALL SELECT * FROM tm),
+e0 AS (SELECT *, 1 / 298.257223563::DOUBLE / (2 - 1 / 298.257223563::DOUBLE) AS n, sqrt(1 / 298.257223563::DOUBLE * (2 - 1 / 298.257223563::DOUBLE)) AS e,
+  radians(lat) AS p, radians(lon - CASE odd WHEN 0 THEN 15 ELSE 21 END) AS l FROM tl),
+e1 AS (SELECT *, sinh(atanh(sin(p)) - e * atanh(e * sin(p))) AS t FROM e0),
+e2 AS (SELECT *, atan2(t, cos(l)) AS xi, asinh(sin(l) / sqrt(t * t + cos(l) * cos(l))) AS eta, 6378137 / (1 + n) * (1 + n ** 2 / 4 + n ** 4 / 64) AS big,
+  n / 2 - 2 * n ** 2 / 3 + 5 * n ** 3 / 16 + 41 * n ** 4 / 180 AS k1, 13 * n ** 2 / 48 - 3 * n ** 3 / 5 + 557 * n ** 4 / 1440 AS k2,
+  61 * n ** 3 / 240 - 103 * n ** 4 / 140 AS k3, 49561 * n ** 4 / 161280 AS k4 FROM e1),
+e3 AS (SELECT grid_id, odd, "row", col, 500000 + 0.9996::DOUBLE * big * (eta + k1 * cos(2 * xi) * sinh(2 * eta) + k2 * cos(4 * xi) * sinh(4 * eta)
+    + k3 * cos(6 * xi) * sinh(6 * eta) + k4 * cos(8 * xi) * sinh(8 * eta)) AS x,
+  CASE odd WHEN 0 THEN 0 ELSE 1e7 END + 0.9996::DOUBLE * big * (xi + k1 * sin(2 * xi) * cosh(2 * eta) + k2 * sin(4 * xi) * cosh(4 * eta)
+    + k3 * sin(6 * xi) * cosh(6 * eta) + k4 * sin(8 * xi) * cosh(8 * eta)) AS y FROM e2),
+t AS (SELECT grid_id, "row", col, (x - 500100) / 10 AS pc, (5004000 - y) / 10 AS pr FROM e3)"""
+
+
+def _aligned(spark, sf, how):
+    own, to = _grid_rows(spark, sf, _OWN_EVEN, _OWN_ODD), _grid_rows(spark, sf, _TO_EVEN, _TO_ODD)
+    return align.align(V.field(spark, sf), own, to, how, tile=64)
+
+
+@query("align_nearest", _ALIGN_SQL + """
+SELECT t.grid_id, t."row", t.col, round(f.value, 6) AS value FROM t LEFT JOIN field f
+  ON f.grid_id = t.grid_id AND f."row" = floor(pr)::INTEGER AND f.col = floor(pc)::INTEGER""", "raw_field field")
+def align_nearest(spark, sf):
+    return _aligned(spark, sf, "nearest").withColumn("value", r6("value"))
+
+
+@query("align_bilinear", _ALIGN_SQL + """
+, q AS (SELECT *, pr - 0.5::DOUBLE AS fr, pc - 0.5::DOUBLE AS fc FROM t),
+n AS (SELECT q.*, floor(fr) + dr AS sr, floor(fc) + dc AS sc,
+  CASE WHEN dr = 1 THEN fr - floor(fr) ELSE 1 - (fr - floor(fr)) END * CASE WHEN dc = 1 THEN fc - floor(fc) ELSE 1 - (fc - floor(fc)) END AS w
+  FROM q, range(2) a(dr), range(2) b(dc))
+SELECT n.grid_id, n."row", n.col, round(sum(w * f.value) / nullif(sum(w) FILTER (f.value IS NOT NULL), 0), 4) AS value
+FROM n LEFT JOIN field f ON f.grid_id = n.grid_id AND f."row" = n.sr AND f.col = n.sc GROUP BY ALL""", "raw_field field")
+def align_bilinear(spark, sf):
+    return _aligned(spark, sf, "bilinear").withColumn("value", r6("value", 4))
+
+
+_AREA_EVEN = {"gt": [4.0e6, 25.0, 0.0, 8.4e6, 0.0, -25.0], "epsg": 3857, "width": 64, "height": 250}
+_AREA_ODD = {"gt": [37.0, 0.0004, 0.0, 62.0, 0.0, -0.0002], "epsg": 4326, "width": 64, "height": 250}
+
+
+@query("object_area", _LABELS.format(limit=0.12) + """
+, k AS (SELECT grid_id, label, CAST(substr(grid_id, 2) AS INTEGER) % 2 AS odd, "row" AS r FROM lab),
+edge AS (SELECT *, CASE odd WHEN 0 THEN 2 * atan(exp((8.4e6 - 25 * r) / 6378137)) - pi() / 2 ELSE radians(62 - 0.0002::DOUBLE * r) END AS p1,
+  CASE odd WHEN 0 THEN 2 * atan(exp((8.4e6 - 25 * (r + 1)) / 6378137)) - pi() / 2 ELSE radians(62 - 0.0002::DOUBLE * (r + 1)) END AS p2,
+  CASE odd WHEN 0 THEN 25::DOUBLE / 6378137 ELSE radians(0.0004::DOUBLE) END AS l, 1 / 298.257223563::DOUBLE * (2 - 1 / 298.257223563::DOUBLE) AS e2 FROM k),
+band AS (SELECT grid_id, label, odd, l, (1 - e2) * (sin(p1) / (1 - e2 * sin(p1) ** 2) - ln((1 - sqrt(e2) * sin(p1)) / (1 + sqrt(e2) * sin(p1))) / (2 * sqrt(e2)))
+  - (1 - e2) * (sin(p2) / (1 - e2 * sin(p2) ** 2) - ln((1 - sqrt(e2) * sin(p2)) / (1 + sqrt(e2) * sin(p2))) / (2 * sqrt(e2))) AS q FROM edge),
+sized AS (SELECT grid_id, label, odd, count(*) AS n_px, sum(6378137::DOUBLE ** 2 / 2 * l * q) AS m2 FROM band GROUP BY ALL),
+cell AS (SELECT 0 AS odd, 625::DOUBLE AS one UNION ALL SELECT 1, 0.0004::DOUBLE * pi() / 180 * 6378137 * cos(p) * 0.0002::DOUBLE
+  * (111132.954::DOUBLE - 559.822::DOUBLE * cos(2 * p) + 1.175::DOUBLE * cos(4 * p)) FROM (SELECT radians(62 - 0.0001::DOUBLE) AS p))
+SELECT grid_id, label, n_px, round(m2 / 1e4, 4) AS area_ha FROM sized JOIN cell USING (odd) WHERE m2 >= 3 * one""", "raw_field")
+def object_area(spark, sf):
+    """Areas on the equal-area plane, of Mercator and of geographic grids, cut at three cells of the grid."""
+    found = objects.measured(settle(_labelled(spark, sf, 0.12)), _grid_rows(spark, sf, _AREA_EVEN, _AREA_ODD), 3)
+    return found.select("grid_id", "label", "n_px", r6("area_ha", 4).alias("area_ha"))
+
+
 @query("tile_mosaic", """
 SELECT 'mosaic' AS grid_id, CAST(vec_id AS INTEGER) AS "row", CAST(i - 1 AS INTEGER) AS col, round(CAST(v AS DOUBLE), 6) AS value
 FROM (SELECT vec_id, generate_subscripts(embedding, 1) AS i, unnest(embedding) AS v FROM embeddings)""")

@@ -83,6 +83,40 @@ def detect_coherence(spark, sf):
     return _run(detect.detect_coherence(V.coherence(spark, sf), offset=0.05, tile=TILE))
 
 
+_CONTROL_20M = {"gt": [1003.0, 20.0, 0.0, 5997.0, 0.0, -20.0], "epsg": 32633, "width": 16, "height": 125}
+_TARGET_10M = {"gt": [1000.0, 10.0, 0.0, 6000.0, 0.0, -10.0], "epsg": 32633, "width": 32, "height": 250}
+
+
+def _grids(cells, grid):
+    return cells.select("grid_id").distinct().select(
+        "grid_id", F.lit(grid["width"]).alias("width"), F.lit(grid["height"]).alias("height"), F.array(*map(F.lit, grid["gt"])).alias("gt"),
+        F.lit(grid["epsg"]).alias("epsg"), F.lit(None).cast("double").alias("nodata"),
+    )
+
+
+@query("detect_coherence_aligned", """
+, ctl AS (SELECT grid_id, "row" // 2 AS r, col // 2 AS c, control AS v FROM layers WHERE "row" % 2 = 0 AND col % 2 = 0),
+q AS (SELECT grid_id, "row", col, target, (5997 - (6000 - 10 * ("row" + 0.5::DOUBLE))) / 20 - 0.5::DOUBLE AS fr,
+  (1000 + 10 * (col + 0.5::DOUBLE) - 1003) / 20 - 0.5::DOUBLE AS fc FROM layers),
+n AS (SELECT q.*, floor(fr) + dr AS sr, floor(fc) + dc AS sc,
+  CASE WHEN dr = 1 THEN fr - floor(fr) ELSE 1 - (fr - floor(fr)) END * CASE WHEN dc = 1 THEN fc - floor(fc) ELSE 1 - (fc - floor(fc)) END AS w
+  FROM q, range(2) a(dr), range(2) b(dc)),
+sc AS (SELECT n.grid_id, n."row", n.col, sum(w * v) / nullif(sum(w) FILTER (v IS NOT NULL), 0) - any_value(target) AS value
+  FROM n LEFT JOIN ctl ON ctl.grid_id = n.grid_id AND ctl.r = n.sr AND ctl.c = n.sc GROUP BY n.grid_id, n."row", n.col)""" + _filtered_sql("sc", "m") + """
+, t AS (SELECT grid_id, median(value) + 0.05 AS threshold FROM sc GROUP BY grid_id), f AS (SELECT grid_id, "row", col FROM m JOIN t USING (grid_id) WHERE value > threshold)"""
+       + _components_sql("f") + """
+, big AS (SELECT grid_id, label, count(*) AS n FROM lab GROUP BY ALL HAVING count(*) >= 6), runs AS (SELECT grid_id, sum(n)::BIGINT AS n_px FROM big GROUP BY grid_id)
+SELECT grid_id, round(threshold, 6) AS threshold, coalesce(n_px, 0) AS n_px FROM t LEFT JOIN runs USING (grid_id)""", "layers")
+def detect_coherence_aligned(spark, sf):
+    """The control pair lies on cells of 20 m and is brought onto the target's 10 m; sizes in cells."""
+    own = V.coherence(spark, sf)
+    coarse = own.where("role = 'control' and row % 2 = 0 and col % 2 = 0").selectExpr("grid_id", "row div 2 as row", "col div 2 as col", "role", "value")
+    both = own.where("role = 'target'").unionByName(coarse.withColumns({c: F.col(c).cast("int") for c in ("row", "col")}))
+    d = detect.detect_coherence(both, offset=0.05, tile=TILE, grids=_grids(own, _TARGET_10M), control_grids=_grids(own, _CONTROL_20M))
+    n = d.labelled.groupBy("grid_id").agg(F.count(F.lit(1)).alias("n_px"))
+    return d.thresholds.select("grid_id", r6("threshold").alias("threshold")).join(n, "grid_id", "left").na.fill(0, ["n_px"])
+
+
 _ANALYSIS, _BACKGROUND = "col >= 8", '"row" % 3 <> 0'
 
 

@@ -13,12 +13,12 @@ from deltacell.operators.joins import salted_join
 CELL = ["grid_id", "row", "col"]
 
 
-def burn(polygons: DataFrame, ids: Sequence[str], grid: dict, rings: str = "rings") -> DataFrame:
-    """Cells whose centre lies inside each polygon: ``ids``, row, col.
+def spans(polygons: DataFrame, ids: Sequence[str], grid: dict, rings: str = "rings") -> DataFrame:
+    """Runs of cells whose centre lies inside each polygon: ``ids``, row, c0, c1 (last column included).
 
     Each polygon edge meets the centre lines of the rows it spans; along a row the sorted meeting
-    points pair up into inside spans (even-odd). The work is the outline's length plus the cells
-    returned, and a large polygon spreads over its rows. Grids are axis-parallel here.
+    points pair up into inside spans (even-odd), which never overlap within a row. The work is the
+    outline's length, and a large polygon spreads over its rows. Grids are axis-parallel here.
     """
     gt = grid["gt"]
     ids = list(ids)
@@ -36,17 +36,20 @@ def burn(polygons: DataFrame, ids: Sequence[str], grid: dict, rings: str = "ring
     t = (F.col("row") - F.col("_v1")) / (F.col("_v2") - F.col("_v1"))
     u = (F.col("x1") + t * (F.col("x2") - F.col("x1")) - gt[0]) / gt[1] - 0.5
     w = Window.partitionBy(*ids, "row").orderBy("_u")
-    spans = (
+    inside = (
         crossing.select(*ids, "row", u.alias("_u"))
         .withColumn("_k", F.row_number().over(w)).withColumn("_end", F.lead("_u").over(w))
         .where(F.col("_k") % 2 == 1)
     )
     c0 = F.greatest(F.ceil("_u").cast("int"), F.lit(0))
     c1 = F.least(F.ceil("_end").cast("int") - 1, F.lit(grid["width"] - 1))
-    return (
-        spans.withColumn("_c0", c0).withColumn("_c1", c1).where(F.col("_c0") <= F.col("_c1"))
-        .select(*ids, "row", F.explode(F.sequence("_c0", "_c1")).alias("col"))
-    )
+    return inside.select(*ids, "row", c0.alias("c0"), c1.alias("c1")).where("c0 <= c1")
+
+
+def burn(polygons: DataFrame, ids: Sequence[str], grid: dict, rings: str = "rings") -> DataFrame:
+    """Cells whose centre lies inside each polygon: ``ids``, row, col."""
+    ids = list(ids)
+    return spans(polygons, ids, grid, rings).select(*ids, "row", F.explode(F.sequence("c0", "c1")).alias("col"))
 
 
 def burn_union(polygons: DataFrame, keys: Sequence[str], part: str, grid: dict, rings: str = "rings") -> DataFrame:
@@ -88,19 +91,22 @@ def within_days(site_from: Column, site_to: Column, event: Column, days: int = 3
     return event.between(F.date_sub(site_from, days), F.date_add(last, days))
 
 
-def overlap(pairs: DataFrame, site_cells: DataFrame, event_cells: DataFrame, cell_m2: float) -> DataFrame:
+def overlap(pairs: DataFrame, site_spans: DataFrame, event_spans: DataFrame, cell_m2: float) -> DataFrame:
     """Intersection, union and IoU of matched shapes on a common grid of equal-area cells.
 
     Shapes are compared as the cells they cover, so the error of an area is at most half the
-    cells its outline crosses. Only listed pairs meet, and they meet per cell.
+    cells its outline crosses; both come as the runs of :func:`spans`. Only listed pairs meet, row by
+    row, where the common length of their runs is added up: a shape costs its rows, not its cells.
+    A site that many events touch is spread over several tasks.
     """
-    a = site_cells.groupBy("site_id").agg(F.count(F.lit(1)).alias("_na"))
-    b = event_cells.groupBy("event_id").agg(F.count(F.lit(1)).alias("_nb"))
-    # Listed pairs carry the site's cells; an event cell then has at most its own sites to meet.
-    wanted = pairs.select("site_id", "event_id")
-    left = site_cells.select("site_id", "row", "col").join(wanted, "site_id")
-    both = left.join(event_cells.select("event_id", "row", "col"), ["event_id", "row", "col"])
-    shared = both.groupBy("site_id", "event_id").agg(F.count(F.lit(1)).alias("_i"))
+    size = F.sum(F.col("c1") - F.col("c0") + 1)
+    a = site_spans.groupBy("site_id").agg(size.alias("_na"))
+    b = event_spans.groupBy("event_id").agg(size.alias("_nb"))
+    wanted = pairs.select("site_id", "event_id").distinct()
+    left = salted_join(wanted, site_spans.select("site_id", "row", F.col("c0").alias("_a0"), F.col("c1").alias("_a1")), ["site_id"], "inner")
+    met = left.join(event_spans.select("event_id", "row", F.col("c0").alias("_b0"), F.col("c1").alias("_b1")), ["event_id", "row"])
+    common = F.least("_a1", "_b1") - F.greatest("_a0", "_b0") + 1
+    shared = met.where(common > 0).groupBy("site_id", "event_id").agg(F.sum(common).alias("_i"))
     out = pairs.join(shared, ["site_id", "event_id"], "left").join(a, "site_id", "left").join(b, "event_id", "left")
     i = F.coalesce(F.col("_i"), F.lit(0))
     union = F.coalesce(F.col("_na"), F.lit(0)) + F.coalesce(F.col("_nb"), F.lit(0)) - i

@@ -296,12 +296,71 @@ def measured(labelled: DataFrame, grids: DataFrame, min_pixels: int = 0) -> Data
     return kept.withColumn("area_ha", F.col("area_m2") / 1e4).drop("_cell", "area_m2")
 
 
-def outlines(labelled: DataFrame, gt: list[float]) -> DataFrame:
+def ring_points(labelled: DataFrame) -> DataFrame:
+    """Corners of every outline in order: (grid_id, label, ring, place, r, c), rows and columns of corners.
+
+    Each straight run knows the run it goes on in. Pointers are then doubled, round by round: a run
+    learns the smallest run within the next 1, 2, 4, ... of its ring and how far ahead that is. When no
+    run learns of a smaller one, the smallest names the ring, and the steps to it give the place. So a
+    ring of any length is put in order by joins in which every run occurs once, and none is held by a task.
+    """
+    key = ["grid_id", "label"]
+    down, ahead = F.signum(F.col("r1") - F.col("r0")), F.signum(F.col("c1") - F.col("c0"))
+    head = F.when(ahead > 0, 0).when(down > 0, 1).when(ahead < 0, 2).otherwise(3)
+    runs = straight_runs(cell_sides(labelled)).withColumn("head", head)
+    runs = settle(runs.withColumn("id", cell_code(F.col("r0"), F.col("c0")) * 4 + F.col("head")))
+    # Where two cells touch at a corner, turn away from the inside to stay on one object.
+    forks = F.count(F.lit(1)).over(Window.partitionBy(*key, "r0", "c0"))
+    starts = runs.select(*key, F.col("r0").alias("r1"), F.col("c0").alias("c1"), F.col("id").alias("ptr"), F.col("head").alias("_h"), forks.alias("_n"))
+    next_ = runs.select(*key, "id", "head", "r1", "c1").join(starts, [*key, "r1", "c1"]).where("_n = 1 or _h = (head + 3) % 4")
+    state = settle(next_.select("grid_id", "id", "ptr", F.col("id").alias("low"), F.lit(0).cast("long").alias("off")))
+    width = 1
+    while True:
+        far = state.select("grid_id", F.col("id").alias("ptr"), F.col("ptr").alias("_p"), F.col("low").alias("_l"), F.col("off").alias("_o"))
+        met = state.join(far, ["grid_id", "ptr"])
+        lower = F.col("_l") < F.col("low")
+        state = settle(met.select(
+            "grid_id", "id", F.col("_p").alias("ptr"), F.least("low", "_l").alias("low"),
+            F.when(lower, F.col("_o") + F.lit(width).cast("long")).otherwise(F.col("off")).alias("off"), lower.alias("lower"),
+        ))
+        width *= 2
+        if state.where("lower").isEmpty():
+            break
+    length = state.groupBy("grid_id", "low").agg((F.max("off") + 1).alias("_len"))
+    placed = state.select("grid_id", "id", "low", "off").join(length, ["grid_id", "low"])
+    ordered = placed.select("grid_id", "id", F.col("low").alias("ring"), ((F.col("_len") - F.col("off")) % F.col("_len")).alias("place"))
+    return runs.select(*key, "id", "r0", "c0").join(ordered, ["grid_id", "id"]).select(
+        *key, "ring", "place", F.col("r0").alias("r"), F.col("c0").alias("c")
+    )
+
+
+def _texts(points: DataFrame, gt: list[float]) -> DataFrame:
+    """One polygon per object from its ordered corners."""
+    at = lambda p: F.format_string("%s %s", *[
+        F.regexp_replace(F.format_string("%.8f", v.cast("double")), r"\.?0+$", "") for v in (gt[0] + p["c"] * gt[1], gt[3] + p["r"] * gt[5])
+    ])
+    ring = F.array_sort(F.collect_list(F.struct("place", "r", "c")))
+    rings = points.groupBy("grid_id", "label", "ring").agg(ring.alias("_p"))
+    text = F.concat(F.lit("("), F.array_join(F.transform(F.concat("_p", F.slice("_p", 1, 1)), at), ", "), F.lit(")"))
+    told = rings.select("grid_id", "label", F.struct("ring", text.alias("text")).alias("_r"))
+    every = F.array_sort(F.collect_list("_r"))
+    joined = F.concat(F.lit("POLYGON ("), F.array_join(F.transform(every, lambda r: r["text"]), ", "), F.lit(")"))
+    return told.groupBy("grid_id", "label").agg(F.count(F.lit(1)).cast("int").alias("n_rings"), joined.alias("wkt"))
+
+
+def outlines(labelled: DataFrame, gt: list[float], task_corners: int = 200_000) -> DataFrame:
     """WKT per object: (grid_id, label, n_rings, wkt), one polygon whatever its size.
 
-    Sides become straight runs before an object meets in one task, so the task holds the corners
-    that the polygon's row holds as well.
+    Sides become straight runs first. Objects of up to ``task_corners`` runs are traced where their runs
+    meet; the rings of larger ones are put in order by :func:`ring_points`, with the same result.
     """
     keys = ["grid_id", "label"]
-    rows = straight_runs(cell_sides(labelled)).repartition(*keys).sortWithinPartitions(*keys)
-    return rows.mapInPandas(_tracer(gt), "grid_id string, label bigint, n_rings int, wkt string")
+    runs = settle(straight_runs(cell_sides(labelled)))
+    counts = runs.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    huge = settle(counts.where(F.col("_n") > task_corners).select(*keys))
+    small = runs if huge.isEmpty() else runs.join(huge, keys, "left_anti")
+    rows = small.repartition(*keys).sortWithinPartitions(*keys)
+    traced = rows.mapInPandas(_tracer(gt), "grid_id string, label bigint, n_rings int, wkt string")
+    if huge.isEmpty():
+        return traced
+    return traced.union(_texts(ring_points(labelled.join(huge, keys, "left_semi")), gt))

@@ -66,13 +66,13 @@ def site_matches(
     """Events overlapping each site in space and within thirty days of it, best overlap first.
 
     ``sites``: site_id, d1, d2, bbox columns, rings. ``events``: event_id, date, bbox columns,
-    rings. Boxes find the pairs, dates thin them, cells of ``grid`` decide.
+    rings. Boxes find the pairs, dates thin them, runs of cells of ``grid`` decide.
     """
     pairs = cover.near_events(events, sites, reach=0.0, cell=bucket)
     dated = pairs.join(sites.select("site_id", "d1", "d2"), "site_id").join(events.select("event_id", "date"), "event_id")
     kept = settle(dated.where(cover.within_days(F.col("d1"), F.col("d2"), F.col("date"))).select("site_id", "event_id"))
-    a = cover.burn(sites.join(kept.select("site_id").distinct(), "site_id", "left_semi"), ["site_id"], grid, site_rings)
-    b = cover.burn(events.join(kept.select("event_id").distinct(), "event_id", "left_semi"), ["event_id"], grid, event_rings)
+    a = cover.spans(sites.join(kept.select("site_id").distinct(), "site_id", "left_semi"), ["site_id"], grid, site_rings)
+    b = cover.spans(events.join(kept.select("event_id").distinct(), "event_id", "left_semi"), ["event_id"], grid, event_rings)
     met = cover.overlap(kept, settle(a), settle(b), cell_m2).where(F.col("inter_ha") > 0)
     return cover.best_matches(met, n)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,17 +13,32 @@ from deltacell.operators.focal import TILE, tile_of
 from deltacell.operators.masks import check_grid
 
 
-def write_index(index: DataFrame, path: str, nodata: float | None = None, tile: int = TILE) -> None:
-    """Index cells by grid, clustered by tile so that a window read opens few files.
+#: Tiles along the side of a block; a block of cells is one file.
+BLOCK = 16
 
+
+def curve(row: Column, col: Column, bits: int = 4) -> Column:
+    """Place on a Z-shaped curve through a block's tiles, from the last ``bits`` of their numbers."""
+    out = F.lit(0)
+    for i in range(bits):
+        for place, number in ((2 * i + 1, row), (2 * i, col)):
+            out = out + F.shiftleft(F.shiftright(number, i).bitwiseAND(F.lit(1)), place)
+    return out
+
+
+def write_index(index: DataFrame, path: str, nodata: float | None = None, tile: int = TILE, block: int = BLOCK) -> None:
+    """Index cells by grid and block of tiles, so that a window read opens only the blocks it touches.
+
+    A block is one folder and one file of bounded size; inside, tiles follow a Z-shaped curve, so that
+    the statistics of a file's pages tell tiles apart too. ``sources.tables.read_window`` uses both.
     NULL marks no data; ``nodata`` writes the sentinel for readers that want one.
     """
     out = index if nodata is None else index.withColumn("value", F.coalesce("value", F.lit(float(nodata))))
     laid = out.withColumn("tile_row", tile_of("row", tile)).withColumn("tile_col", tile_of("col", tile))
-    # A grid's tiles spread over several files: rows are clustered by tile, not by grid.
-    laid.repartition("grid_id", "tile_row", "tile_col").sortWithinPartitions("grid_id", "row", "col").write.mode(
-        "overwrite"
-    ).partitionBy("grid_id").parquet(path)
+    laid = laid.withColumn("block_row", F.floor(F.col("tile_row") / block).cast("int")).withColumn("block_col", F.floor(F.col("tile_col") / block).cast("int"))
+    key = ["grid_id", "block_row", "block_col"]
+    placed = laid.repartition(*key).sortWithinPartitions(*key, curve(F.col("tile_row"), F.col("tile_col"), max(1, (block - 1).bit_length())), "row", "col")
+    placed.write.mode("overwrite").partitionBy(*key).parquet(path)
 
 
 def write_mask(mask: DataFrame, grids: DataFrame, path: str) -> None:
@@ -61,8 +77,27 @@ def write_sites(sites: DataFrame, path: str, rings: str = "rings") -> None:
     site_features(sites, rings).write.mode("overwrite").text(path)
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", "true").option("encoding", "UTF-8").csv(path)
+def _collection(batches):
+    """Text of one FeatureCollection per task: its features, each on a line, between an opening and a closing line."""
+    yield pa.record_batch([pa.array(['{"type":"FeatureCollection","features":['])], names=["value"])
+    begun = False
+    for batch in batches:
+        lines = [("," if begun or k else "") + v for k, v in enumerate(batch.column(0).to_pylist())]
+        begun = begun or bool(lines)
+        yield pa.record_batch([pa.array(lines, pa.string())], names=["value"])
+    yield pa.record_batch([pa.array(["]}"])], names=["value"])
+
+
+def write_collection(sites: DataFrame, path: str, rings: str = "rings") -> None:
+    """A GeoJSON FeatureCollection in every file, one file a task; a single task's table is one document."""
+    site_features(sites, rings).mapInArrow(_collection, "value string").write.mode("overwrite").text(path)
+
+
+def write_csv(df: DataFrame, path: str, bom: bool = True) -> None:
+    """Files with a header line; each begins with a byte-order mark, by which spreadsheets know UTF-8."""
+    first = df.columns[0]
+    out = df.withColumnRenamed(first, "\ufeff" + first) if bom else df
+    out.write.mode("overwrite").option("header", "true").option("encoding", "UTF-8").csv(path)
 
 
 def run_report(metrics: DataFrame, parameters: Mapping[str, object]) -> DataFrame:

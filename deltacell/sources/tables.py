@@ -6,11 +6,15 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from deltacell import schema as S
+from deltacell.functions import geometry as G
 from deltacell.functions import naming as N
 from deltacell.functions import radiometry as R
+from deltacell.operators.focal import TILE
 from deltacell.operators.resample import window
+from deltacell.sources.sinks import BLOCK
 
 
 def read_grids(spark: SparkSession, path: str) -> DataFrame:
@@ -20,6 +24,7 @@ def read_grids(spark: SparkSession, path: str) -> DataFrame:
 def read_cells(spark: SparkSession, path: str, schema: str, bbox: Sequence[float] | None = None, grid: dict | None = None, sentinels: Sequence[float] = ()) -> DataFrame:
     """Cell table with sentinels and NaN turned to NULL; a bbox becomes a row and column range."""
     cells = spark.read.schema(schema).parquet(path)
+    cells = cells.drop("block_row", "block_col")  # folders that a layout may add
     if bbox is not None:
         cells = window(cells, bbox, grid)
     if "value" in cells.columns:
@@ -27,6 +32,28 @@ def read_cells(spark: SparkSession, path: str, schema: str, bbox: Sequence[float
     return cells
 
 
+def read_window(
+    spark: SparkSession, path: str, schema: str, bbox: Sequence[float], grid: dict, sentinels: Sequence[float] = (),
+    tile: int = TILE, block: int = BLOCK,
+) -> DataFrame:
+    """Cells of a bbox from a table of ``sinks.write_index``; empty where they miss.
+
+    The bbox becomes a range of blocks, by which whole folders are left out, and of tiles, rows and
+    columns, which go to the scan. ``tile`` and ``block`` are those the table was written with.
+    """
+    laid = f"{schema}, tile_row INT, tile_col INT, block_row INT, block_col INT"
+    cells = spark.read.schema(laid).parquet(path)
+    names = T.StructType.fromDDL(schema).fieldNames()
+    bounds = G.window_bounds(list(bbox), grid["gt"], grid["width"], grid["height"])
+    r0, r1, c0, c1 = bounds or (0, -1, 0, -1)
+    for axis, lo, hi in (("row", r0, r1), ("col", c0, c1)):
+        cells = cells.where(F.col(f"block_{axis}").between(lo // tile // block, hi // tile // block))
+        cells = cells.where(F.col(f"tile_{axis}").between(lo // tile, hi // tile) & F.col(axis).between(lo, hi))
+    if "value" in names:
+        cells = cells.withColumn("value", R.clean(F.col("value"), *sentinels))
+    return cells.select(*names)
+
+
 def read_events(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """Event layer with its fixed columns; -9999 means missing in numbers and text alike."""
     raw = spark.read.schema(S.EVENT).format(fmt).load(path)

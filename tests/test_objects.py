@@ -90,3 +90,40 @@ def test_object_metrics(cells):
     lab = lambda m: objects.components(cells(m).where("value > 0"), 4)
     m = evaluate.object_metrics(lab(ref), lab(det)).first()
     assert (m["n_ref"], m["n_det"], m["pa"], m["ua"]) == (2, 2, 0.5, 0.5)
+
+
+def _ring_set(wkt):
+    """Rings as sets of directed sides, whatever corner they start from."""
+    import re
+
+    out = []
+    for text in re.findall(r"\(([^()]+)\)", wkt):
+        points = [tuple(float(v) for v in p.split()) for p in text.split(", ")]
+        assert points[0] == points[-1]
+        out.append(frozenset(zip(points, points[1:])))
+    return sorted(out, key=sorted)
+
+
+def test_ring_order_by_joins_equals_tracing(spark):
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(11)
+    a = rng.random((40, 40)) < 0.55
+    a[0:3, 0:3] = [[1, 0, 1], [0, 1, 0], [1, 0, 1]]
+    spiral = np.zeros((41, 41), bool)
+    for k in range(0, 20, 2):
+        spiral[k, k:41 - k] = spiral[40 - k, k:41 - k] = spiral[k:41 - k, k] = spiral[k:41 - k, 40 - k] = True
+        spiral[k + 1, k] = False
+        spiral[k + 2, k + 1] = True
+    parts = [pd.DataFrame({"grid_id": g, "row": np.nonzero(m)[0].astype("int32"), "col": np.nonzero(m)[1].astype("int32")}) for g, m in (("a", a), ("s", spiral))]
+    labelled = objects.components(spark.createDataFrame(pd.concat(parts)), 16)
+    gt = [500000.0, 10.0, 0.0, 5002500.0, 0.0, -10.0]
+    traced = {(r.grid_id, r.label): (r.n_rings, _ring_set(r.wkt)) for r in objects.outlines(labelled, gt).collect()}
+    joined = {(r.grid_id, r.label): (r.n_rings, _ring_set(r.wkt)) for r in objects.outlines(labelled, gt, task_corners=0).collect()}
+    mixed = {(r.grid_id, r.label): (r.n_rings, _ring_set(r.wkt)) for r in objects.outlines(labelled, gt, task_corners=30).collect()}
+    assert traced == joined == mixed and max(n for n, _ in traced.values()) > 5
+    # A long ring is spread: no key of the joins or of the result holds more than one corner.
+    points = objects.ring_points(labelled)
+    assert points.groupBy("grid_id", "ring", "place").count().where("count > 1").isEmpty()
+    assert points.groupBy("grid_id", "ring").count().agg({"count": "max"}).first()[0] > 60
