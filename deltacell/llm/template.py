@@ -272,7 +272,7 @@ def extract(pages: DataFrame) -> DataFrame:
     W.text_batches(pages)
     best = settle(best_elements(pages.select(host_of(F.col("url")).alias("host"), F.col("html").cast("string").alias("html"))))
     kept = [f for f in pages.schema.fields if f.name != "text"]
-    given = pages.select(*[F.col(f"`{f.name}`") for f in kept], F.col("html").cast("string").alias("_html"), host_of(F.col("url")).alias("_host"))
+    given = pages.select(F.struct(*[F.col(f"`{f.name}`") for f in kept]).alias("given"), F.col("html").cast("string").alias("_html"), host_of(F.col("url")).alias("_host"))
 
     def marked(batches):
         for batch in W.slices(batches):
@@ -281,7 +281,7 @@ def extract(pages: DataFrame) -> DataFrame:
 
     given = given.mapInArrow(marked, T.StructType([*given.schema.fields, T.StructField("_mark", T.BinaryType())]))
     best = best.select(F.col("host").alias("_host"), F.col("mark").alias("_mark"), F.col("best").alias("_best"))
-    given = given.join(best, ["_host", "_mark"], "left").select(*[F.col(f"`{f.name}`") for f in kept], "_html", "_best")
+    given = given.join(best, ["_host", "_mark"], "left").select("given", "_html", "_best")
 
     def run(batches):
         for batch in W.slices(batches):
@@ -291,7 +291,8 @@ def extract(pages: DataFrame) -> DataFrame:
                 out.append("\n\n".join(Page(source).main({*(best or ())})) if source else "")
             yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(out, pa.string())], names=[*batch.schema.names[:-2], "text"])
 
-    return given.mapInArrow(run, T.StructType([*kept, T.StructField("text", T.StringType())]))
+    out = given.mapInArrow(run, T.StructType([given.schema["given"], T.StructField("text", T.StringType())]))
+    return out.select(*[F.col("given").getField(f.name).alias(f.name) for f in kept], "text")
 
 
 def texts(pages: DataFrame) -> DataFrame:

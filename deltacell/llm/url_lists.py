@@ -82,7 +82,7 @@ def judge(captures: DataFrame, entries: DataFrame) -> DataFrame:
     and at. An entry is active from its addition up to, not including, its removal. The most
     specific kind decides, of one kind the longest value, of one value ``allow`` before ``block``.
     A null url or time matches nothing. Repeated rows are judged alike; empty tables give empty or
-    unmatched rows.
+    unmatched rows. Columns of ``captures`` named list, kind or value are replaced; others are kept.
     """
     spans = settle(intervals(entries))
     depth = spans.where("kind = 'prefix'").agg(F.max(F.size(F.split("value", "/")) - 1)).first()[0] or 0
@@ -100,8 +100,9 @@ def judge(captures: DataFrame, entries: DataFrame) -> DataFrame:
     best = met.groupBy("url", "fetched").agg(
         F.max_by(F.struct("list", "kind", "value"), F.struct(rank, F.length("value"), F.col("list") == "allow", "list")).alias("_e"))
     names = [c for c in captures.columns if c not in ("list", "kind", "value")]
-    out = captures.select(*[F.col(f"`{c}`") for c in names]).join(best, ["url", "fetched"], "left")
-    return out.select(*[F.col(f"`{c}`") for c in names], F.col("_e.list").alias("list"), F.col("_e.kind").alias("kind"), F.col("_e.value").alias("value"))
+    given = captures.select("url", "fetched", F.struct(*[F.col(f"`{c}`") for c in names]).alias("_given"))
+    out = given.join(best, ["url", "fetched"], "left")
+    return out.select(*[F.col("_given").getField(c).alias(c) for c in names], F.col("_e.list").alias("list"), F.col("_e.kind").alias("kind"), F.col("_e.value").alias("value"))
 
 
 def dated_captures(pages: DataFrame) -> DataFrame:
