@@ -276,6 +276,41 @@ def run_variants(spark, sf):
     return m.select("variant", "grid_id", "n_ref", "n_det", r6("pa", 4).alias("pa"), r6("ua", 4).alias("ua"))
 
 
+_SCORES = _METRICS.split("SELECT {cols}")[0].rstrip() + """,
+x AS (SELECT *, tp_ref / n_ref AS p, tp_det / n_det AS u FROM a JOIN b USING (v, grid_id))
+SELECT {cols}, grid_id, round(threshold, 6) AS threshold, round(CASE WHEN p + u > 0 THEN 2 * p * u / (p + u) ELSE 0 END, 6) AS f1{more} FROM x JOIN {cuts}"""
+
+
+@query("run_variants_scores", _VARIANT_SQL + _SCORES.format(
+    cols="x.v AS variant", more=', round(area_ha, 6) AS area_ha',
+    cuts="(SELECT split_part(grid_id, '@', 1) AS v, split_part(grid_id, '@', 2) AS grid_id, threshold FROM t) USING (v, grid_id) "
+         "JOIN (SELECT v, grid_id, count(*) * 0.01::DOUBLE AS area_ha FROM det GROUP BY v, grid_id) USING (v, grid_id)",
+), "stack db deltas wi classes")
+def run_variants_scores(spark, sf):
+    """Threshold, F1 and area of the variants."""
+    few = F.col("scene_id").isin("s0", "s1", "s2", "s3", "s4", "s5")
+    variants = {"pair": {"scenes": few, "offset": 0.6}, "stack": {"offset": 0.6}, "stack_fixed": {"mode": "fixed", "fixed": 0.8}}
+    m = experiments.run_variants(V.stack(spark, sf), variants, V.classes(spark, sf).where("cover >= 60"), min_pixels=3, tile=TILE)
+    return m.select("variant", "grid_id", r6("threshold").alias("threshold"), r6("f1").alias("f1"), r6("area_ha").alias("area_ha"))
+
+
+@query("mask_effect_scores", _filtered_sql("wi", "m") + """
+, masks AS (SELECT 'none' AS v, grid_id, "row", col FROM classes UNION ALL SELECT 'forest', grid_id, "row", col FROM classes WHERE cover >= 30
+  UNION ALL SELECT 'west', grid_id, "row", col FROM classes WHERE col < 25),
+t AS (SELECT v, grid_id, avg(value) + 0.6 AS threshold FROM wi JOIN masks USING (grid_id, "row", col) GROUP BY ALL),
+f AS (SELECT v || '@' || grid_id AS grid_id, "row", col FROM m JOIN masks USING (grid_id, "row", col) JOIN t USING (v, grid_id) WHERE value > threshold),
+ref AS (SELECT grid_id, "row", col FROM classes WHERE cover >= 60)""" + _components_sql("f") + _components_sql("ref", "ref") + """
+, det AS (SELECT split_part(grid_id, '@', 1) AS v, split_part(grid_id, '@', 2) AS grid_id, "row", col, label FROM lab
+  JOIN (SELECT grid_id, label FROM lab GROUP BY ALL HAVING count(*) >= 2) USING (grid_id, label))""" + _SCORES.format(cols="x.v AS mask", more="", cuts="t USING (v, grid_id)"),
+       "stack db deltas wi classes")
+def mask_effect_scores(spark, sf):
+    """Threshold and F1 under three masks that overlap."""
+    index, _ = detect.amplitude_index(V.stack(spark, sf), ["VV", "VH"])
+    cells = V.classes(spark, sf)
+    m = experiments.mask_effect(index, {"none": None, "forest": cells.where("cover >= 30"), "west": cells.where("col < 25")}, cells.where("cover >= 60"), 2, 0.6, TILE)
+    return m.select("mask", "grid_id", r6("threshold").alias("threshold"), r6("f1").alias("f1"))
+
+
 @query("mask_effect", _filtered_sql("wi", "m") + """
 , masks AS (SELECT 'none' AS v, grid_id, "row", col FROM classes UNION ALL SELECT 'forest', grid_id, "row", col FROM classes WHERE cover >= 30),
 t AS (SELECT v, grid_id, avg(value) + 0.6 AS threshold FROM wi JOIN masks USING (grid_id, "row", col) GROUP BY ALL),

@@ -109,6 +109,7 @@ def detect_wi(
     background: DataFrame | None = None, median_size: int = S.MEDIAN_SIZE, smooth_size: int = 1,
     min_pixels: int = S.MIN_PIXELS_10M, cell_m2: float = 100.0, min_area_ha: float | None = None, sign: float = 1.0,
     power: int = 1, tile: int = focal.TILE, grids: DataFrame | None = None, mask_grids: DataFrame | None = None,
+    built: tuple[DataFrame, DataFrame | None] | None = None,
 ) -> Detection:
     """Backscatter increase between two stacks of scenes.
 
@@ -118,12 +119,13 @@ def detect_wi(
 
     With ``grids`` (schema.GRID) areas are measured on the equal-area plane, and objects below
     ``min_pixels`` cells of area are left out; without, an object has ``cell_m2`` a cell.
-    ``mask_grids`` describes masks that lie on grids of their own.
+    ``mask_grids`` describes masks that lie on grids of their own. ``built`` is what
+    :func:`amplitude_index` returned for the same scenes and options, if that has been written before.
     """
     if mode not in ("adaptive", "fixed"):
         raise ValueError(f"unknown threshold mode: {mode}")
     analysis, background = on_grids(analysis, mask_grids, grids), on_grids(background, mask_grids, grids)
-    index, offsets = amplitude_index(obs, bands, sign, normalize, background, analysis, power)
+    index, offsets = built or amplitude_index(obs, bands, sign, normalize, background, analysis, power)
     if mode == "adaptive":
         thresholds = stack.mean_threshold(stack.statistics_sample(index, background, analysis), offset)
     else:

@@ -13,7 +13,8 @@ from deltacell.operators import evaluate as E
 from deltacell.operators import focal
 from deltacell.operators import masks as M
 from deltacell.operators import objects, stack
-from deltacell.plans.detect import Detection, detect_wi
+from deltacell.operators.joins import attach
+from deltacell.plans.detect import Detection, amplitude_index, detect_wi
 from deltacell.session import settle
 
 CELL = ["grid_id", "row", "col"]
@@ -69,11 +70,18 @@ def run_variants(
     Variants with the same scenes and index options share one written index.
     """
     ref = settle(objects.components(reference, tile))
+    built: dict[tuple, tuple] = {}
     out = None
     for name, options in variants.items():
         options = {**shared, **options}
         scenes = options.pop("scenes", None)
-        d = detect_wi(obs if scenes is None else obs.where(scenes), bands, tile=tile, **options)
+        used = obs if scenes is None else obs.where(scenes)
+        normalize, analysis, background = options.get("normalize", False), options.get("analysis"), options.get("background")
+        make = {"sign": options.get("sign", 1.0), "normalize": normalize, "power": options.get("power", 1)}
+        key = (str(scenes), *make.values(), *((id(background), id(analysis)) if normalize else ()))
+        if key not in built:
+            built[key] = amplitude_index(used, bands, background=background, analysis=analysis, **make)
+        d = detect_wi(used, bands, tile=tile, built=built[key], **options)
         m = E.object_metrics(ref, d.labelled).join(
             d.run.select("grid_id", "threshold", "n_objects", "area_ha"), "grid_id", "left"
         ).withColumn("variant", F.lit(name))
@@ -81,17 +89,44 @@ def run_variants(
     return out
 
 
+def mask_bits(masks: Sequence[DataFrame | None]) -> tuple[DataFrame | None, int]:
+    """Cells of any mask with a bit for each mask they are in, and the bits of masks that are everywhere (None)."""
+    given = [m.select(*CELL, F.lit(1 << k).cast("long").alias("bits")) for k, m in enumerate(masks) if m is not None]
+    every = sum(1 << k for k, m in enumerate(masks) if m is None)
+    cells = None
+    for m in given:
+        cells = m if cells is None else cells.union(m)
+    return (None if cells is None else cells.groupBy(*CELL).agg(F.bit_or("bits").alias("bits"))), every
+
+
 def mask_effect(index: DataFrame, masks: Mapping[str, DataFrame | None], reference: DataFrame, min_pixels: int = S.MIN_PIXELS_10M, offset: float = S.AMPLITUDE_OFFSET_DB, tile: int = focal.TILE) -> DataFrame:
-    """One written index under several masks: statistics and cut change, composites do not."""
-    ref = settle(objects.components(reference, tile))
-    out = None
-    for name, mask in masks.items():
-        t = settle(stack.mean_threshold(stack.statistics_sample(index, None, mask), offset))
-        flagged = focal.threshold_map(index, t, inside=mask, tile=tile)
-        det = settle(objects.remove_small(objects.components(flagged, tile), min_pixels))
-        m = E.object_metrics(ref, det).join(t, "grid_id", "left").withColumn("mask", F.lit(name))
-        out = m if out is None else out.unionByName(m)
-    return out
+    """One written index under several masks: statistics and cut change, composites do not.
+
+    Masks are bits of a cell (at most 62 of them), so one pass gives every mask's threshold, one pass of
+    the filter serves all, and objects are labelled and scored with the pair (mask, grid) as their key.
+    """
+    names = list(masks)
+    if len(names) > 62:
+        raise ValueError("at most 62 masks")
+    cells, every = mask_bits([masks[n] for n in names])
+    own = lambda df: (df.withColumn("bits", F.lit(None).cast("long")) if cells is None else df.join(cells, CELL, "left")).withColumn(
+        "bits", F.coalesce("bits", F.lit(0).cast("long")).bitwiseOR(F.lit(every).cast("long")))
+    has = lambda k: F.getbit("bits", F.lit(k)) == 1
+    means = own(index.select(*CELL, "value")).groupBy("grid_id").agg(*[F.avg(F.when(has(k), F.col("value"))).alias(f"_{k}") for k in range(len(names))])
+    each = F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"_{k}").alias("center"), (F.col(f"_{k}") + offset).alias("threshold")) for k in range(len(names))])
+    limits = settle(means.select("grid_id", F.filter(each, lambda e: e["center"].isNotNull()).alias("_cuts")))
+    even = attach(focal.filtered(index.select(*CELL, "value"), S.MEDIAN_SIZE, 1, tile=tile), limits, ["grid_id"], "inner")
+    over = even.withColumn("_cuts", F.filter("_cuts", lambda e: F.coalesce(F.col("value") > e["threshold"], F.lit(False)))).where(F.size("_cuts") > 0)
+    cut = own(over).withColumn("_e", F.explode("_cuts")).where(F.getbit("bits", F.col("_e.k")) == 1)
+    run = lambda k: F.concat(k.cast("string"), F.lit("@"), F.col("grid_id")).alias("grid_id")
+    flagged = cut.select(run(F.col("_e.k")), "row", "col", "value")
+    det = settle(objects.remove_small(objects.components(flagged, tile), min_pixels))
+    ref = settle(objects.components(reference, tile)).withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(len(names) - 1))))
+    found = E.object_metrics(ref.select(run(F.col("_k")), "row", "col", "label", "part"), det)
+    number = F.substring_index("grid_id", "@", 1).cast("int")
+    named = found.withColumn("_k", number).withColumn("grid_id", F.expr("substr(grid_id, instr(grid_id, '@') + 1)"))
+    told = limits.select("grid_id", F.explode("_cuts").alias("_e")).select("grid_id", F.col("_e.k").alias("_k"), "_e.center", "_e.threshold")
+    return named.join(told, ["grid_id", "_k"], "left").withColumn("mask", F.get(F.array(*map(F.lit, names)), F.col("_k"))).drop("_k")
 
 
 def index_detections(family: DataFrame, reference: DataFrame, samples: DataFrame, offset: float = S.AMPLITUDE_OFFSET_DB, min_pixels: int = S.MIN_PIXELS_10M, tile: int = focal.TILE) -> DataFrame:
