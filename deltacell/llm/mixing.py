@@ -100,12 +100,12 @@ def mix(
     gets its weight's part of it, to within the last document. A null source counts as the empty
     one. A null or empty text has no words: it comes with its block. A source without any word is
     not drawn. Repeated rows are drawn each. An empty table gives an empty table. Other columns may
-    have any name, as they are carried in one struct; only those of ``tracked`` must be free.
+    have any name, as they are numbered on their way; only those of ``tracked`` must be free.
     """
-    given = docs.select("doc_id", "text", "source", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_given"))
+    given = docs.select("doc_id", "text", "source", *[F.col(f"`{c}`").alias(f"_given{k}") for k, c in enumerate(docs.columns)])
     rows, draws = plan(given, entropy, repeats, budget, blocks)
     drawn = rows.join(draws, ["_key", "_block"]).withColumn("_d", F.explode("_draws"))
-    names = [F.col("_given").getField(c).alias(c) for c in docs.columns]
+    names = [F.col(f"_given{k}").alias(c) for k, c in enumerate(docs.columns)]
     more = ["_key", "_tokens", F.col("_d.epoch").alias("epoch"), "_block", F.col("_d.start").alias("start")] if tracked else []
     whole = drawn.where("_d.size <= _d.room").select(*names, *more)
     within = Window.partitionBy("_key", "_block", "_d.epoch").orderBy("_order", "doc_id").rowsBetween(Window.unboundedPreceding, 0)

@@ -100,9 +100,9 @@ def judge(captures: DataFrame, entries: DataFrame) -> DataFrame:
     best = met.groupBy("url", "fetched").agg(
         F.max_by(F.struct("list", "kind", "value"), F.struct(rank, F.length("value"), F.col("list") == "allow", "list")).alias("_e"))
     names = [c for c in captures.columns if c not in ("list", "kind", "value")]
-    given = captures.select("url", "fetched", F.struct(*[F.col(f"`{c}`") for c in names]).alias("_given"))
+    given = captures.select("url", "fetched", *[F.col(f"`{c}`").alias(f"_given{k}") for k, c in enumerate(names)])
     out = given.join(best, ["url", "fetched"], "left")
-    return out.select(*[F.col("_given").getField(c).alias(c) for c in names], F.col("_e.list").alias("list"), F.col("_e.kind").alias("kind"), F.col("_e.value").alias("value"))
+    return out.select(*[F.col(f"_given{k}").alias(c) for k, c in enumerate(names)], F.col("_e.list").alias("list"), F.col("_e.kind").alias("kind"), F.col("_e.value").alias("value"))
 
 
 def dated_captures(pages: DataFrame) -> DataFrame:
