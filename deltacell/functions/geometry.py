@@ -49,6 +49,7 @@ def aligned(a: Column, b: Column, tol: float = 1e-6) -> Column:
 def cell_area_m2(gt: Column, epsg: Column) -> Column:
     """Ground area of one cell; geographic grids use the latitude half a cell below the top."""
     planar = F.abs(gt[1] * gt[5] - gt[2] * gt[4])
+    # The latitude is kept within 89.5 degrees; series for the metres of a degree of latitude.
     lat = F.radians(F.greatest(F.lit(-89.5), F.least(F.lit(89.5), gt[3] + gt[5] * 0.5)))
     per_lat = 111132.954 - 559.822 * F.cos(2 * lat) + 1.175 * F.cos(4 * lat)
     per_lon = F.lit(math.pi / 180 * crs.A) * F.cos(lat)
