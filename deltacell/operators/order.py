@@ -1,163 +1,181 @@
 """Exact order statistics that never put one key's rows into one task.
 
-Two forms. ``quantiles`` brackets each wanted rank with an approximate sketch and sorts only what
-falls inside the bracket; nothing but the bracket is shuffled. ``running`` gives cumulative sums
-over all distinct values of a key and splits long keys into value ranges first.
+Two forms. ``quantiles`` narrows each wanted rank down by histograms, so that only the few values
+around a rank are ever shuffled. ``running`` gives cumulative sums over all distinct values of a key:
+rows are laid out in value ranges, each range sums for itself, and the totals of earlier ranges are added.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from deltacell.operators.joins import attach, salted_join
+from deltacell.operators.joins import attach
 from deltacell.session import settle
 
 TASK_ROWS = 1_000_000
-SKETCH_ACCURACY = 10_000
-MAX_ACCURACY = 200_000
+#: Classes of the first histogram between a number and its double, and parts of a bracket per further round.
+OCTAVE, FAN = 32, 1024
+
+
+def _class(v: Column, octave: int) -> Column:
+    """Number of a value's class: never falls as the value grows, whatever its size or sign.
+
+    A class spans a fixed ratio of values, so there are at most 4300 x ``octave`` of them. Zero, the
+    infinities and NaN (the largest, as in a sort) have their own.
+    """
+    size = F.abs(v)
+    end = 2200 * octave
+    finite = F.floor((F.log2(size) + 1080) * octave).cast("int") + 1
+    ranked = F.when(size == 0, 0).when(size == float("inf"), end).otherwise(finite)
+    return F.when(F.isnan(v), end + 1).when(v < 0, -ranked).otherwise(ranked)
 
 
 def quantiles(
     df: DataFrame, keys: list[str], value: str, probs: dict[str, float],
-    task_rows: int = TASK_ROWS, accuracy: int = SKETCH_ACCURACY,
+    task_rows: int = TASK_ROWS, octave: int = OCTAVE, fan: int = FAN,
 ) -> DataFrame:
     """Exact interpolated quantiles per key: columns ``keys``, ``n`` and one per name in ``probs``.
 
-    Keys of at most ``task_rows`` values use the built-in ``percentile``. When some key is larger,
-    a sketch bounds each wanted rank from below and above, the values below are only counted, and
-    the few between the bounds are ranked exactly.
+    The first scan counts values by class and keeps each class's smallest and largest value. A wanted
+    rank lies in one class, a bracket; brackets of a single value are done. The second scan takes the
+    values inside the others, ranked exactly. A bracket of more than ``task_rows`` values is first cut
+    in ``fan`` parts by a scan of its own; a bracket of doubles can be cut six times at most. NULL is
+    left out, NaN is the largest value; a key without a value has no row.
     """
     data = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    largest = data.groupBy(*keys).agg(F.count("_v").alias("n")).agg(F.max("n")).first()[0]
-    names = list(probs)
-    if largest is None or largest <= task_rows:
-        ps = F.array(*[F.lit(float(probs[n])) for n in names])
-        out = data.groupBy(*keys).agg(F.count("_v").alias("n"), F.percentile("_v", ps).alias("_q"))
-        return out.select(*keys, "n", *[F.get("_q", F.lit(i)).alias(m) for i, m in enumerate(names)])
-    # Finer sketches for longer keys, so that a bracket stays near one task's worth of values.
-    finer = min(MAX_ACCURACY, -(-16 * largest // task_rows))
-    return _bracketed(data, keys, probs, max(accuracy, finer))
-
-
-def _bracketed(data: DataFrame, keys: list[str], probs: dict[str, float], accuracy: int) -> DataFrame:
-    guard = 8.0 / accuracy
-    marks = [(name, float(p), max(0.0, p - guard), min(1.0, p + guard)) for name, p in probs.items()]
-    asked = F.array(*[F.lit(m) for _, _, lo, hi in marks for m in (lo, hi)])
-    sketch = data.groupBy(*keys).agg(
-        F.count("_v").alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
-        F.percentile_approx("_v", asked, accuracy).alias("_s"),
+    counted = data.groupBy(*keys, _class(F.col("_v"), octave).alias("_slot")).agg(
+        F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
     )
-    # A key so short that the guard is worth only a few ranks keeps all its values.
-    short = F.col("_n") <= accuracy
-    brackets = F.array(*[
-        F.struct(
-            F.lit(name).alias("name"),
-            (F.lit(p) * (F.col("_n") - 1)).alias("pos"),
-            F.when(F.lit(lo <= 0.0) | short, F.col("_min")).otherwise(F.get("_s", F.lit(2 * i))).alias("lo"),
-            F.when(F.lit(hi >= 1.0) | short, F.col("_max")).otherwise(F.get("_s", F.lit(2 * i + 1))).alias("hi"),
-        )
-        for i, (name, p, lo, hi) in enumerate(marks)
+    whole = counted.withColumn("_n", F.sum("_c").over(Window.partitionBy(*keys)))
+    found = settle(_holding(whole.withColumn("_base", F.lit(0).cast("bigint")), keys, [], probs))
+    size = F.col("_to") - F.col("_from")
+    open_ = F.col("_lo") < F.col("_hi")
+    while True:
+        most = found.agg(F.max(F.when(open_, size))).first()[0]
+        if most is None:
+            break
+        cut = open_ & (size > task_rows) if most > task_rows else open_
+        parts = _narrow(data, found.where(cut), keys, probs, fan if most > task_rows else None)
+        found = found.where(~cut).unionByName(_holding(parts, keys, ["_base"], probs))
+        if most <= task_rows:
+            break
+        found = settle(found)
+    at = lambda r: F.max(F.when((F.col("_from") <= r) & (r < F.col("_to")), F.col("_lo")))
+    ends = [at(r).alias(f"_{i}_{k}") for i, p in enumerate(probs.values()) for k, r in enumerate(_ranks(p))]
+    rows = found.groupBy(*keys).agg(F.max("_n").alias("n"), *ends)
+    out = []
+    for i, (name, p) in enumerate(probs.items()):
+        lo, hi, pos = F.col(f"_{i}_0"), F.col(f"_{i}_1"), F.lit(float(p)) * (F.col("n") - 1)
+        out.append(F.when(lo == hi, lo).otherwise(lo + (hi - lo) * (pos - F.floor(pos))).alias(name))
+    return rows.select(*keys, "n", *out)
+
+
+def _ranks(p: float) -> tuple[Column, Column]:
+    pos = F.lit(float(p)) * (F.col("_n") - 1)
+    return F.floor(pos), F.ceil(pos)
+
+
+def _holding(parts: DataFrame, keys: list[str], within: list[str], probs: dict[str, float]) -> DataFrame:
+    """The parts, in order of ``_slot``, that hold a wanted rank, with the ranks ``_from`` to ``_to`` they cover."""
+    w = Window.partitionBy(*keys, *within).orderBy("_slot").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = parts.withColumn("_to", F.col("_base") + F.sum("_c").over(w)).withColumn("_from", F.col("_to") - F.col("_c"))
+    held = [(F.col("_from") <= r) & (r < F.col("_to")) for p in probs.values() for r in _ranks(p)]
+    return placed.where(reduce(Column.__or__, held)).select(*keys, "_n", "_lo", "_hi", "_from", "_to")
+
+
+def _narrow(data: DataFrame, brackets: DataFrame, keys: list[str], probs: dict[str, float], fan: int | None) -> DataFrame:
+    """Counts of ``data`` inside the brackets, by part of the bracket or, without ``fan``, by value."""
+    bound = F.sort_array(F.collect_list(F.struct("_from", "_lo", "_hi")))  # at most two a wanted quantile
+    lists = brackets.groupBy(*keys).agg(F.max("_n").alias("_n"), bound.alias("_b"))
+    most = 2 * len(probs)
+    flat = lists.select(*keys, "_n", *[
+        F.get("_b", F.lit(i))[c].alias(f"{c}{i}") for i in range(most) for c in ("_from", "_lo", "_hi")
     ])
-    bounds = sketch.select(*keys, "_n", brackets.alias("_b"))
-    placed = attach(data, bounds, keys, "inner")
-
-    below = [
-        F.count(F.when(F.col("_v") < F.get("_b", F.lit(i))["lo"], 1)).alias(f"_below{i}") for i in range(len(marks))
-    ]
-    counted = placed.groupBy(*keys).agg(*below)
-    inside = (
-        placed.withColumn("_m", F.explode(F.filter("_b", lambda b: F.col("_v").between(b["lo"], b["hi"]))))
-        .groupBy(*keys, F.col("_m.name").alias("_name"), F.col("_m.pos").alias("_pos"), "_n", "_v")
-        .agg(F.count(F.lit(1)).alias("_c"))
-    )
-    offset = F.lit(None).cast("bigint")
-    for i, (name, *_rest) in enumerate(marks):
-        offset = F.when(F.col("_name") == name, F.col(f"_below{i}")).otherwise(offset)
-    ranked = attach(inside, counted, keys, "inner").withColumn("_below", offset)
-    w = Window.partitionBy(*keys, "_name").orderBy("_v")
-    cum = F.sum("_c").over(w) + F.col("_below")
-    ranked = ranked.withColumn("_to", cum).withColumn("_from", F.col("_to") - F.col("_c"))
-    lo_rank, hi_rank = F.floor("_pos"), F.ceil("_pos")
-    holds = lambda r: (F.col("_from") <= r) & (r < F.col("_to"))
-    picked = ranked.groupBy(*keys, "_name", "_pos", "_n").agg(
-        F.max(F.when(holds(lo_rank), F.col("_v"))).alias("_lo"), F.max(F.when(holds(hi_rank), F.col("_v"))).alias("_hi")
+    v = F.col("_v")
+    inside = [v.between(F.col(f"_lo{i}"), F.col(f"_hi{i}")) for i in range(most)]
+    which = lambda c: F.coalesce(*[F.when(inside[i], F.col(f"{c}{i}")) for i in range(most)])
+    rows = attach(data, flat, keys, "inner").where(reduce(Column.__or__, inside)).select(
+        *keys, "_n", "_v", which("_from").alias("_base"), which("_lo").alias("_l"), which("_hi").alias("_h")
     )
-    found = F.when(
-        F.col("_lo").isNotNull() & F.col("_hi").isNotNull(),
-        F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("_pos") - F.floor("_pos")),
-    ).otherwise(F.raise_error(F.lit("rank outside its bracket")).cast("double"))
-    long = picked.withColumn("_q", found)
-    return long.groupBy(*keys, F.col("_n").alias("n")).agg(
-        *[F.max(F.when(F.col("_name") == name, F.col("_q"))).alias(name) for name in probs]
+    if fan is not None:
+        share = (v - F.col("_l")) / (F.col("_h") - F.col("_l")) * fan
+        rows = rows.withColumn("_slot", F.least(F.lit(fan - 1), F.floor(share).cast("int")))
+    else:
+        rows = rows.withColumn("_slot", v)
+    return rows.groupBy(*keys, "_n", "_base", "_slot").agg(
+        F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
     )
 
 
-def running(
-    distinct: DataFrame, keys: list[str], value: str, sums: list[str], task_rows: int = TASK_ROWS, fanout: int = 64
-) -> DataFrame:
+def running(distinct: DataFrame, keys: list[str], value: str, sums: list[str], task_rows: int = TASK_ROWS) -> DataFrame:
     """Add ``<c>_before`` and ``<c>_all`` for each column in ``sums``, per key in order of ``value``.
 
-    ``distinct`` holds one row per key and value. A key with more than ``task_rows`` values is
-    split into value ranges, and a range that is still too long is split again between its own
-    smallest and largest value, until every range fits a task. Ranges then pass their totals on.
+    ``distinct`` holds one row per key and value. More than ``task_rows`` rows are laid out in ranges
+    of keys and values, whose bounds Spark samples, so a long key spans several ranges and an outlier
+    costs nothing. Ranges sum for themselves. Only keys that span ranges need the totals of others:
+    at most two rows a range, which are broadcast.
     """
     table = settle(distinct)
-    longest = table.groupBy(*keys).count().agg(F.max("count")).first()[0]
-    if longest is None or longest <= task_rows:
-        w = Window.partitionBy(*keys).orderBy(value)
-        before = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        whole = Window.partitionBy(*keys)
-        out = table
-        for c in sums:
-            out = out.withColumn(f"{c}_before", F.sum(c).over(before) - F.col(c))
-            out = out.withColumn(f"{c}_all", F.sum(c).over(whole))
-        return out
-
-    table = table.withColumn("_path", F.array().cast("array<int>"))
-    while True:
-        spans = settle(
-            table.groupBy(*keys, "_path").agg(
-                F.count(F.lit(1)).alias("_n"), F.min(value).alias("_mn"), F.max(value).alias("_mx")
-            )
-        )
-        if spans.agg(F.max("_n")).first()[0] <= task_rows:
-            break
-        step = (F.col("_mx") - F.col("_mn")) / fanout
-        slot = F.when(F.col(value) >= F.col("_mx"), F.lit(fanout - 1)).otherwise(
-            F.least(F.lit(fanout - 2), F.floor((F.col(value) - F.col("_mn")) / step).cast("int"))
-        )
-        split = F.when(F.col("_n") > task_rows, F.concat("_path", F.array(slot))).otherwise(F.col("_path"))
-        table = settle(
-            attach(table, spans, [*keys, "_path"], "inner").withColumn("_path", split).drop("_n", "_mn", "_mx")
-        )
-    totals = table.groupBy(*keys, "_path").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
-    w = Window.partitionBy(*keys).orderBy("_path").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy(*keys)
+    parts = -(-table.count() // task_rows)
+    if parts > 1:
+        table = settle(table.repartitionByRange(parts, *keys, value).withColumn("_part", F.spark_partition_id()))
+    else:
+        table = table.withColumn("_part", F.lit(0))
+    own = Window.partitionBy(*keys, "_part")
+    before = own.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = table
     for c in sums:
-        totals = totals.withColumn(f"_o_{c}", F.sum(f"_t_{c}").over(w) - F.col(f"_t_{c}"))
-        totals = totals.withColumn(f"{c}_all", F.sum(f"_t_{c}").over(whole))
-    totals = totals.drop(*[f"_t_{c}" for c in sums])
-    out = attach(table, totals, [*keys, "_path"], "inner")
-    inner = (
-        Window.partitionBy(*keys, "_path").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        out = out.withColumn(f"{c}_before", F.sum(c).over(before) - F.col(c)).withColumn(f"{c}_all", F.sum(c).over(own))
+    if parts <= 1:
+        return out.drop("_part")
+    totals = table.groupBy(*keys, "_part").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
+    key = Window.partitionBy(*keys)
+    earlier = key.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    spans = totals.withColumn("_spans", F.count(F.lit(1)).over(key))
+    for c in sums:
+        spans = spans.withColumn(f"_o_{c}", F.sum(f"_t_{c}").over(earlier)).withColumn(f"_a_{c}", F.sum(f"_t_{c}").over(key))
+    spans = spans.where("_spans > 1").select(
+        *[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_part").alias("_k_part"),
+        *[f"_{o}_{c}" for c in sums for o in "oa"],
     )
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys] + [F.col("_part") == F.col("_k_part")]
+    out = out.join(F.broadcast(spans), reduce(Column.__and__, same), "left")
     for c in sums:
-        out = out.withColumn(f"{c}_before", F.col(f"_o_{c}") + F.sum(c).over(inner) - F.col(c)).drop(f"_o_{c}")
-    return out.drop("_path")
+        out = out.withColumn(f"{c}_before", F.col(f"{c}_before") + F.coalesce(f"_o_{c}", F.lit(0)))
+        out = out.withColumn(f"{c}_all", F.coalesce(f"_a_{c}", f"{c}_all"))
+    return out.select(*distinct.columns, *[f"{c}_{s}" for c in sums for s in ("before", "all")])
 
 
 def average_ranks(df: DataFrame, keys: list[str], value: str, out: str, task_rows: int = TASK_ROWS) -> DataFrame:
     """Rank with the mean rank for ties, one row per key and distinct value."""
-    distinct = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
-    return running(distinct, keys, value, ["_c"], task_rows).select(
+    return _tie_counts(df, keys, value, task_rows).select(
         *keys, value, (F.col("_c_before") + (F.col("_c") + 1) / 2).alias(out)
     )
 
 
+def _tie_counts(df: DataFrame, keys: list[str], value: str, task_rows: int) -> DataFrame:
+    known = df.where(F.col(value).isNotNull())
+    distinct = known.groupBy(*keys, value).agg((F.sum("_c") if "_c" in df.columns else F.count(F.lit(1))).alias("_c"))
+    return running(distinct, keys, value, ["_c"], task_rows)
+
+
 def spearman(df: DataFrame, keys: list[str], x: str, y: str, task_rows: int = TASK_ROWS) -> DataFrame:
-    """Rank correlation of two columns per key, over rows where both are known."""
-    both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, x, y)
-    ranked = salted_join(both, average_ranks(both, keys, x, "_rx", task_rows), [*keys, x], "inner", salts=4)
-    ranked = salted_join(ranked, average_ranks(both, keys, y, "_ry", task_rows), [*keys, y], "inner", salts=4)
-    return ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.corr("_rx", "_ry").alias("rho"))
+    """Rank correlation of two columns per key, over rows where both are known; NULL where a column is constant.
+
+    Equal pairs count once from the start. Ranks are kept as distances from their mean, which is half
+    the count for any ties, so sums need no second pass and lose no digits. Both rank tables have one
+    row per value; a value that many pairs share is split by the adaptive skew join.
+    """
+    pairs = settle(
+        df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*keys, x, y).agg(F.count(F.lit(1)).alias("_c"))
+    )
+    out = pairs
+    for side, name in ((x, "_dx"), (y, "_dy")):
+        off = (2 * F.col("_c_before") + F.col("_c") - F.col("_c_all")) / 2
+        out = out.join(_tie_counts(pairs, keys, side, task_rows).select(*keys, side, off.alias(name)), [*keys, side])
+    total = lambda a, b: F.sum(F.col("_c") * F.col(a) * F.col(b))
+    spread = F.sqrt(total("_dx", "_dx")) * F.sqrt(total("_dy", "_dy"))
+    return out.groupBy(*keys).agg(F.sum("_c").alias("n"), F.try_divide(total("_dx", "_dy"), F.nullif(spread, F.lit(0.0))).alias("rho"))

@@ -16,28 +16,61 @@ def skewed(spark):
     return spark.createDataFrame(rows, "k string, v double"), hot
 
 
-@pytest.mark.parametrize("task_rows", [10, 1_000_000])
-def test_quantiles(skewed, task_rows):
+@pytest.mark.parametrize("task_rows, octave", [(10, 1), (10, 32), (1_000_000, 32)])
+def test_quantiles(skewed, task_rows, octave):
     df, hot = skewed
     probs = {"lo": 0.0, "q1": 0.05, "med": 0.5, "q3": 0.951, "hi": 1.0}
-    out = {r["k"]: r for r in order.quantiles(df, ["k"], "v", probs, task_rows=task_rows, accuracy=100).collect()}
+    out = {r["k"]: r for r in order.quantiles(df, ["k"], "v", probs, task_rows=task_rows, octave=octave, fan=4).collect()}
     for name, p in probs.items():
         assert out["hot"][name] == pytest.approx(np.quantile(hot, p), abs=1e-9)
         assert out["small"][name] == pytest.approx(np.quantile([1.0, 2.0], p))
     assert out["hot"]["n"] == 6000 and out["one"]["med"] == 5.0
 
 
+def test_quantiles_of_any_size(spark):
+    """Tiny and huge numbers, both signs, zeros, infinities, NaN as the largest, NULL keys, and a far, narrow range."""
+    inf, nan = float("inf"), float("nan")
+    wide = [-inf, -1e308, -3.0, -5e-324, -0.0, 0.0, 5e-324, 1e-300, 2.5, 1.7e308, inf]
+    far = [1e9 + i / 1024 for i in range(500)]
+    rows = [("wide", v) for v in wide] + [("far", v) for v in far] + [("nan", 1.0), ("nan", nan), (None, 4.0), (None, 6.0)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    steps = {f"p{i}": i / 10 for i in range(11)}
+    out = {r["k"]: r for r in order.quantiles(df, ["k"], "v", steps, task_rows=7, fan=8).collect()}
+    assert [out["wide"][f"p{i}"] for i in range(11)] == wide
+    assert [out["far"][f"p{i}"] for i in range(11)] == pytest.approx(np.quantile(far, np.linspace(0, 1, 11)), rel=1e-15)
+    assert out["nan"]["p0"] == 1.0 and np.isnan(out["nan"]["p10"])
+    assert order.quantiles(df.where("v > 5 and v < 5"), ["k"], "v", steps).count() == 0
+
+
+def test_classes_never_fall(spark):
+    rng = np.random.default_rng(4)
+    bits = rng.integers(-(2**63), 2**63 - 1, 20_000, dtype=np.int64)
+    v = np.sort(bits.view(np.float64)[np.isfinite(bits.view(np.float64))])
+    near = np.sort(np.concatenate([np.nextafter(2.0 ** (np.arange(-320, 320) / 32), 0), 2.0 ** (np.arange(-320, 320) / 32)]))
+    for values in (v, near, -near[::-1]):
+        df = spark.createDataFrame([(float(a),) for a in values], "v double")
+        got = [r[0] for r in df.orderBy("v").select(order._class(F.col("v"), 32)).collect()]
+        assert all(a <= b for a, b in zip(got, got[1:]))
+
+
 @pytest.mark.parametrize("task_rows", [50, 1_000_000])
 def test_running_sums(skewed, task_rows):
     df, hot = skewed
     d = df.where("v is not null").groupBy("k", "v").agg(F.count("*").alias("c"))
-    out = order.running(d, ["k"], "v", ["c"], task_rows, fanout=4).where("k = 'hot'").collect()
+    out = order.running(d, ["k"], "v", ["c"], task_rows).where("k = 'hot'").collect()
     values = np.sort(hot)
     assert len(out) == len(np.unique(hot))
     for r in out:
         assert r["c_before"] == np.searchsorted(values, r["v"]) and r["c_all"] == 6000
 
 
+def test_running_sums_of_null_keys(spark):
+    """A NULL key that spans ranges gets the totals of earlier ranges like any other."""
+    d = spark.createDataFrame([(None, float(i), 1) for i in range(200)] + [("a", 1.0, 3)], "k string, v double, c int")
+    out = order.running(d, ["k"], "v", ["c"], 20).collect()
+    assert all((r["c_before"], r["c_all"]) == ((r["v"], 200) if r["k"] is None else (0, 3)) for r in out)
+
+
 def rank_auc(pos, neg):
     return np.mean([(p > neg).mean() + 0.5 * (p == neg).mean() for p in pos])
 
@@ -85,11 +118,19 @@ def test_sensitivity_keeps_empty_variant(samples):
     assert out["none"]["auc"] is None and out["none"]["n_bg"] == 0 and out["none"]["n_ref"] == 300
 
 
-def test_spearman(spark):
+@pytest.mark.parametrize("task_rows", [3, 1_000_000])
+def test_spearman(spark, task_rows):
     x, y = [1.0, 2.0, 2.0, 4.0, 5.0], [3.0, 1.0, 2.0, 5.0, 5.0]
     df = spark.createDataFrame([("a", p, q) for p, q in zip(x, y)], "k string, x double, y double")
     rank = lambda v: np.array([(np.array(v) < a).sum() + ((np.array(v) == a).sum() + 1) / 2 for a in v])
-    assert order.spearman(df, ["k"], "x", "y").first()["rho"] == pytest.approx(np.corrcoef(rank(x), rank(y))[0, 1])
+    assert order.spearman(df, ["k"], "x", "y", task_rows).first()["rho"] == pytest.approx(np.corrcoef(rank(x), rank(y))[0, 1])
+    rng = np.random.default_rng(7)
+    x = [1e300] + [float(a) for a in rng.integers(0, 40, 400)]
+    y = [a % 7 + float(b) for a, b in zip(x, rng.integers(0, 9, 401))]
+    many = spark.createDataFrame([(None, p, q) for p, q in zip(x, y)] + [("flat", 1.0, 2.0), ("flat", 1.0, 3.0), ("flat", None, 1.0)], df.schema)
+    out = {r["k"]: r for r in order.spearman(many.where("k is null or k = 'flat'").fillna("big", ["k"]), ["k"], "x", "y", task_rows).collect()}
+    assert out["big"]["n"] == 401 and out["big"]["rho"] == pytest.approx(np.corrcoef(rank(x), rank(y))[0, 1])
+    assert out["flat"]["n"] == 2 and out["flat"]["rho"] is None
 
 
 def test_attach_both_ways(spark):
