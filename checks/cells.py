@@ -721,3 +721,42 @@ def preprocess(spark, sf):
         "grid_id", F.lit("s").alias("scene_id"), F.lit("VV").alias("band"), "row", "col", (F.col("value") + 1).alias("value")
     )
     return focal.preprocess(cells, 3, water_db=-0.5).select(*CELL, r6("value", 5).alias("value"))
+
+
+# -- order statistics of long keys -------------------------------------------------------------------
+
+@query("quantiles_narrowed", """
+SELECT l_returnflag, count(*) AS n, round(quantile_cont(v, 0.25), 6) AS p25, round(quantile_cont(v, 0.5), 6) AS med, round(quantile_cont(v, 0.9), 6) AS p90
+FROM (SELECT l_returnflag, 1000000 + l_extendedprice / 1000 AS v FROM lineitem) GROUP BY l_returnflag""")
+def quantiles_narrowed(spark, sf):
+    """Values far from zero and close together, and brackets of at most 200: every one is cut several times."""
+    v = F.lit(1000000) + F.col("l_extendedprice").cast("double") / 1000
+    rows = V.table(spark, sf, "lineitem").select("l_returnflag", v.alias("v"))
+    q = order.quantiles(rows, ["l_returnflag"], "v", {"p25": 0.25, "med": 0.5, "p90": 0.9}, task_rows=200, fan=64)
+    return q.select("l_returnflag", "n", *[r6(c).alias(c) for c in ("p25", "med", "p90")])
+
+
+@query("auc_ranges", """
+WITH s AS (SELECT event_type AS grid_id, CASE WHEN event_id = 1 THEN 1e15 ELSE value END AS score, user_id % 2 = 0 AS positive FROM events)"""
+       + _AUC.format(k="grid_id", t="s") + """
+SELECT grid_id, n_pos, n_neg, round(auc, 6) AS auc FROM a""")
+def auc_ranges(spark, sf):
+    """Every key spans several value ranges, one has an outlier."""
+    score = F.when(F.col("event_id") == 1, F.lit(1e15)).otherwise(F.col("value"))
+    s = V.table(spark, sf, "events").select(
+        F.col("event_type").alias("grid_id"), score.alias("score"), (F.col("user_id") % 2 == 0).alias("positive")
+    )
+    return E.rank_auc(E.score_curve(s, ["grid_id"], 500), ["grid_id"]).withColumn("auc", r6("auc"))
+
+
+@query("spearman_ranges", """
+SELECT o_orderpriority, n, round(corr(rx, ry), 6) AS rho FROM (
+  SELECT o_orderpriority, count(*) OVER (PARTITION BY o_orderpriority) AS n,
+    rank() OVER (PARTITION BY o_orderpriority ORDER BY x) + (count(*) OVER (PARTITION BY o_orderpriority, x) - 1) / 2 AS rx,
+    rank() OVER (PARTITION BY o_orderpriority ORDER BY y) + (count(*) OVER (PARTITION BY o_orderpriority, y) - 1) / 2 AS ry
+  FROM (SELECT o_orderpriority, CASE WHEN o_orderkey = 1 THEN 1e15 ELSE round(o_totalprice, -2) END AS x, o_custkey AS y FROM orders)) GROUP BY ALL""")
+def spearman_ranges(spark, sf):
+    """As ``spearman``, with an outlier and keys that span several ranges of each column."""
+    x = F.when(F.col("o_orderkey") == 1, F.lit(1e15)).otherwise(F.round("o_totalprice", -2))
+    o = V.table(spark, sf, "orders").select("o_orderpriority", x.alias("x"), F.col("o_custkey").alias("y"))
+    return order.spearman(o, ["o_orderpriority"], "x", "y", 300).withColumn("rho", r6("rho"))

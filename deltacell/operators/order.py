@@ -7,6 +7,7 @@ rows are laid out in value ranges, each range sums for itself, and the totals of
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -46,26 +47,22 @@ def quantiles(
     left out, NaN is the largest value; a key without a value has no row.
     """
     data = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    counted = data.groupBy(*keys, _class(F.col("_v"), octave).alias("_slot")).agg(
-        F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
-    )
-    whole = counted.withColumn("_n", F.sum("_c").over(Window.partitionBy(*keys)))
-    found = settle(_holding(whole.withColumn("_base", F.lit(0).cast("bigint")), keys, [], probs))
-    size = F.col("_to") - F.col("_from")
-    open_ = F.col("_lo") < F.col("_hi")
-    while True:
-        most = found.agg(F.max(F.when(open_, size))).first()[0]
-        if most is None:
-            break
-        cut = open_ & (size > task_rows) if most > task_rows else open_
-        parts = _narrow(data, found.where(cut), keys, probs, fan if most > task_rows else None)
-        found = found.where(~cut).unionByName(_holding(parts, keys, ["_base"], probs))
-        if most <= task_rows:
-            break
-        found = settle(found)
+    counted = data.groupBy(*keys, _class(F.col("_v"), octave).alias("_slot")).agg(*_counted())
+    every = counted.select("*", F.sum("_c").over(Window.partitionBy(*keys)).alias("_n"), F.lit(0).cast("bigint").alias("_base"))
+    found = settle(_per_key(_holding(every, keys, probs), keys))
+    size = lambda b: b["_to"] - b["_from"]
+    sizes = F.transform(F.filter("_b", lambda b: b["_lo"] < b["_hi"]), size)
+    while (most := found.agg(F.max(F.array_max(sizes))).first()[0]) is not None and most > task_rows:
+        long = lambda b: (b["_lo"] < b["_hi"]) & (size(b) > task_rows)
+        parts = _holding(_narrow(data, found, keys, 2 * len(probs), long, fan), keys, probs)
+        found = settle(_per_key(_listed(found, keys, lambda b: ~long(b)).unionByName(parts), keys))
+    points = _listed(found, keys, lambda b: b["_lo"] == b["_hi"])
+    if most is not None:
+        wide = lambda b: b["_lo"] < b["_hi"]
+        points = points.unionByName(_holding(_narrow(data, found, keys, 2 * len(probs), wide), keys, probs))
     at = lambda r: F.max(F.when((F.col("_from") <= r) & (r < F.col("_to")), F.col("_lo")))
     ends = [at(r).alias(f"_{i}_{k}") for i, p in enumerate(probs.values()) for k, r in enumerate(_ranks(p))]
-    rows = found.groupBy(*keys).agg(F.max("_n").alias("n"), *ends)
+    rows = points.groupBy(*keys).agg(F.max("_n").alias("n"), *ends)
     out = []
     for i, (name, p) in enumerate(probs.items()):
         lo, hi, pos = F.col(f"_{i}_0"), F.col(f"_{i}_1"), F.lit(float(p)) * (F.col("n") - 1)
@@ -73,41 +70,48 @@ def quantiles(
     return rows.select(*keys, "n", *out)
 
 
+_BRACKET = ("_from", "_to", "_lo", "_hi")
+
+
+def _counted() -> tuple[Column, ...]:
+    return F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
+
+
 def _ranks(p: float) -> tuple[Column, Column]:
     pos = F.lit(float(p)) * (F.col("_n") - 1)
     return F.floor(pos), F.ceil(pos)
 
 
-def _holding(parts: DataFrame, keys: list[str], within: list[str], probs: dict[str, float]) -> DataFrame:
+def _holding(parts: DataFrame, keys: list[str], probs: dict[str, float]) -> DataFrame:
     """The parts, in order of ``_slot``, that hold a wanted rank, with the ranks ``_from`` to ``_to`` they cover."""
-    w = Window.partitionBy(*keys, *within).orderBy("_slot").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = parts.withColumn("_to", F.col("_base") + F.sum("_c").over(w)).withColumn("_from", F.col("_to") - F.col("_c"))
-    held = [(F.col("_from") <= r) & (r < F.col("_to")) for p in probs.values() for r in _ranks(p)]
-    return placed.where(reduce(Column.__or__, held)).select(*keys, "_n", "_lo", "_hi", "_from", "_to")
-
-
-def _narrow(data: DataFrame, brackets: DataFrame, keys: list[str], probs: dict[str, float], fan: int | None) -> DataFrame:
-    """Counts of ``data`` inside the brackets, by part of the bracket or, without ``fan``, by value."""
-    bound = F.sort_array(F.collect_list(F.struct("_from", "_lo", "_hi")))  # at most two a wanted quantile
-    lists = brackets.groupBy(*keys).agg(F.max("_n").alias("_n"), bound.alias("_b"))
-    most = 2 * len(probs)
-    flat = lists.select(*keys, "_n", *[
-        F.get("_b", F.lit(i))[c].alias(f"{c}{i}") for i in range(most) for c in ("_from", "_lo", "_hi")
-    ])
-    v = F.col("_v")
-    inside = [v.between(F.col(f"_lo{i}"), F.col(f"_hi{i}")) for i in range(most)]
-    which = lambda c: F.coalesce(*[F.when(inside[i], F.col(f"{c}{i}")) for i in range(most)])
-    rows = attach(data, flat, keys, "inner").where(reduce(Column.__or__, inside)).select(
-        *keys, "_n", "_v", which("_from").alias("_base"), which("_lo").alias("_l"), which("_hi").alias("_h")
-    )
+    w = Window.partitionBy(*keys, "_base").orderBy("_slot").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = parts.select(*keys, "_n", "_c", "_lo", "_hi", (F.col("_base") + F.sum("_c").over(w)).alias("_to"))
+    start = F.col("_to") - F.col("_c")
+    held = [(start <= r) & (r < F.col("_to")) for p in probs.values() for r in _ranks(p)]
+    return placed.where(reduce(Column.__or__, held)).select(*keys, "_n", start.alias("_from"), "_to", "_lo", "_hi")
+
+
+def _per_key(brackets: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per key with its brackets, of which there are at most two a wanted quantile."""
+    return brackets.groupBy(*keys).agg(F.max("_n").alias("_n"), F.sort_array(F.collect_list(F.struct(*_BRACKET))).alias("_b"))
+
+
+def _listed(found: DataFrame, keys: list[str], kept: Callable[[Column], Column]) -> DataFrame:
+    return found.select(*keys, "_n", F.inline(F.filter("_b", kept)))
+
+
+def _narrow(
+    data: DataFrame, found: DataFrame, keys: list[str], most: int, taken: Callable[[Column], Column], fan: int | None = None
+) -> DataFrame:
+    """Counts of ``data`` inside the taken brackets, by part of the bracket or, without ``fan``, by value."""
+    v, at = F.col("_v"), [F.get("_b", F.lit(i)) for i in range(most)]
+    rows = attach(data, found, keys, "inner")
+    which = F.coalesce(*[F.when(taken(b) & v.between(b["_lo"], b["_hi"]), b) for b in at])
+    rows = rows.select(*keys, "_n", "_v", which.alias("_in")).where(F.col("_in").isNotNull())
+    slot, lo, hi = v, F.col("_in._lo"), F.col("_in._hi")
     if fan is not None:
-        share = (v - F.col("_l")) / (F.col("_h") - F.col("_l")) * fan
-        rows = rows.withColumn("_slot", F.least(F.lit(fan - 1), F.floor(share).cast("int")))
-    else:
-        rows = rows.withColumn("_slot", v)
-    return rows.groupBy(*keys, "_n", "_base", "_slot").agg(
-        F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
-    )
+        slot = F.least(F.lit(fan - 1), F.floor((v - lo) / (hi - lo) * fan).cast("int"))
+    return rows.groupBy(*keys, "_n", F.col("_in._from").alias("_base"), slot.alias("_slot")).agg(*_counted())
 
 
 def running(distinct: DataFrame, keys: list[str], value: str, sums: list[str], task_rows: int = TASK_ROWS) -> DataFrame:
