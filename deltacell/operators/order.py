@@ -1,7 +1,7 @@
 """Exact order statistics that never put one key's rows into one task.
 
-Two forms. ``quantiles`` narrows each wanted rank down by histograms, so that only the few values
-around a rank are ever shuffled. ``running`` gives cumulative sums over all distinct values of a key:
+Two forms. ``quantiles`` narrows each wanted rank of long keys down by histograms, so that only the few
+values around a rank are ever shuffled. ``running`` gives cumulative sums over all distinct values of a key:
 rows are laid out in value ranges, each range sums for itself, and the totals of earlier ranges are added.
 """
 
@@ -40,13 +40,19 @@ def quantiles(
 ) -> DataFrame:
     """Exact interpolated quantiles per key: columns ``keys``, ``n`` and one per name in ``probs``.
 
-    The first scan counts values by class and keeps each class's smallest and largest value. A wanted
-    rank lies in one class, a bracket; brackets of a single value are done. The second scan takes the
+    Where no key has more than ``task_rows`` values, the built-in ``percentile`` does it without a written
+    table. Else a scan counts values by class and keeps each class's smallest and largest value. A wanted
+    rank lies in one class, a bracket; brackets of a single value are done. The next scan takes the
     values inside the others, ranked exactly. A bracket of more than ``task_rows`` values is first cut
     in ``fan`` parts by a scan of its own; a bracket of doubles can be cut six times at most. NULL is
     left out, NaN is the largest value; a key without a value has no row.
     """
     data = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    longest = data.groupBy(*keys).agg(F.count("_v").alias("n")).agg(F.max("n")).first()[0]
+    if longest is None or longest <= task_rows:
+        ps = F.array(*[F.lit(float(p)) for p in probs.values()])
+        short = data.groupBy(*keys).agg(F.count("_v").alias("n"), F.percentile("_v", ps).alias("_q"))
+        return short.select(*keys, "n", *[F.get("_q", F.lit(i)).alias(m) for i, m in enumerate(probs)])
     counted = data.groupBy(*keys, _class(F.col("_v"), octave).alias("_slot")).agg(*_counted())
     every = counted.select("*", F.sum("_c").over(Window.partitionBy(*keys)).alias("_n"), F.lit(0).cast("bigint").alias("_base"))
     found = settle(_per_key(_holding(every, keys, probs), keys))
