@@ -328,6 +328,23 @@ def hulls(spark, sf):
     return h.select("poly_id", r6(F.abs(G.ring_signed_area(F.col("hull"))), 4).alias("hull_area"), F.size("hull").alias("n"))
 
 
+@query("convex_hull_inner", """
+WITH p AS (SELECT DISTINCT s_suppkey AS poly_id, (s_suppkey * 31 + i * i * 17 + i * 7) % 23 AS x, (s_suppkey * 13 + i * i * i * 5 + i * 11) % 19 AS y FROM supplier, range(14) t(i)),
+side AS (SELECT a.poly_id, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM p a JOIN p b ON a.poly_id = b.poly_id AND (a.x <> b.x OR a.y <> b.y)),
+seen AS (SELECT side.*, (x2 - x1) * (p.y - y1) - (y2 - y1) * (p.x - x1) AS turn, (p.x - x1) * (p.x - x2) + (p.y - y1) * (p.y - y2) AS between FROM side JOIN p USING (poly_id)),
+hull AS (SELECT poly_id, x1, y1, x2, y2 FROM seen GROUP BY ALL HAVING bool_and(turn > 0 OR (turn = 0 AND between <= 0)))
+SELECT poly_id, round(sum(x1 * y2 - x2 * y1) / 2.0, 4) AS hull_area, CAST(count(*) AS INTEGER) AS n FROM hull GROUP BY poly_id""")
+def hulls_inner(spark, sf):
+    """Fourteen scattered points a shape, most of them inside, some equal or on a side."""
+    i, k = F.col("i"), F.col("s_suppkey")
+    rows = V.table(spark, sf, "supplier").select(k, F.explode(F.sequence(F.lit(0), F.lit(13))).alias("i"))
+    p = F.struct(
+        ((k * 31 + i * i * 17 + i * 7) % 23).cast("double").alias("x"), ((k * 13 + i * i * i * 5 + i * 11) % 19).cast("double").alias("y")
+    )
+    h = rows.groupBy(k.alias("poly_id")).agg(F.array(F.collect_list(p)).alias("rings")).withColumn("hull", convex_hull("rings"))
+    return h.select("poly_id", r6(G.ring_signed_area(F.col("hull")), 4).alias("hull_area"), F.size("hull").alias("n"))
+
+
 @query("point_in_ring_share", """
 , p AS (SELECT poly_id, cx - rx + (i + 0.5) * (2 * rx) / 11 AS x, cy - ry + (j + 0.5) * (2 * ry) / 11 AS y, i, j FROM diamonds, range(11) a(i), range(11) b(j)),
 c AS (SELECT poly_id, i, j, count(*) FILTER ((y1 <= y) <> (y2 <= y) AND x < x1 + (y - y1) * (x2 - x1) / nullif(y2 - y1, 0)) % 2 = 1 AS hit

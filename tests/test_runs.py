@@ -168,3 +168,41 @@ def test_cohort_incomplete_is_an_error(spark):
     df = spark.createDataFrame([(1, "tornado", 2016, "full", 0.5)], "id int, type string, year int, quality string, score double")
     with pytest.raises(ValueError):
         X.cohort(df)
+
+
+def test_one_broken_event_and_a_repeated_write(spark, tmp_path):
+    """A raise names its event and leaves the others; a run over the same events has no row twice."""
+    events = spark.createDataFrame([(f"0{i}", i) for i in range(12)], "event_id string, v int")
+    path, tried = str(tmp_path / "results"), []
+
+    def evaluate(todo, broken=7):
+        tried.append(1)
+        bad = F.when(F.col("v") == broken, F.raise_error(F.lit("no cells"))).otherwise(F.lit(0.5))
+        return todo.select("event_id", "v", (bad + F.col("v")).alias("auc"))
+
+    incremental.append_results(events, path, evaluate)
+    rows = {r["event_id"]: r for r in incremental.latest(spark, path).collect()}
+    assert len(rows) == 12 and [k for k, r in rows.items() if r["error"]] == ["07"] and "no cells" in rows["07"]["error"]
+    assert all(r["auc"] == r["v"] + 0.5 for k, r in rows.items() if k != "07") and len(tried) <= 2 * 8 + 1
+    seen = {r[0] for r in incremental.pending(events, path).select("event_id").collect()}
+    assert seen == {"07"}
+    # As if a first write had been killed after its folders: the same events stored again.
+    incremental._store(evaluate(events, -1).withColumn("error", F.lit(None)), path, "event_id")
+    assert incremental.latest(spark, path).where("error is null").count() == 12
+    assert incremental.latest(spark, path).select("event_id").distinct().count() == 12
+
+
+def test_hull_of_any_points(spark):
+    from deltacell.functions.hull import convex_hull
+
+    def ring(*points):
+        return [[{"x": float(x), "y": float(y)} for x, y in points]]
+
+    shapes = {
+        "grid": ring(*[(i % 5, i // 5) for i in range(25)]), "line": ring((0, 0), (1, 1), (2, 2), (1, 1)),
+        "point": ring((3, 4), (3, 4)), "none": None, "empty": [[]], "dented": ring((0, 0), (4, 0), (1, 1), (0, 4), (0, 2)),
+    }
+    df = spark.createDataFrame(list(shapes.items()), "k string, rings array<array<struct<x:double,y:double>>>")
+    out = {r["k"]: r["h"] and [(p["x"], p["y"]) for p in r["h"]] for r in df.select("k", convex_hull("rings").alias("h")).collect()}
+    assert out["grid"] == [(0, 0), (4, 0), (4, 4), (0, 4)] and out["line"] == [(0, 0), (2, 2)] and out["point"] == [(3, 4)]
+    assert out["none"] is None and out["empty"] == [] and out["dented"] == [(0, 0), (4, 0), (0, 4)]
