@@ -167,7 +167,8 @@ def detect_coherence(
 
     ``grids`` (schema.GRID) describes the target pair's grids and gives areas as in :func:`detect_wi`.
     Where ``control_grids`` differ from them, the control pair is brought onto the target's grid by
-    bilinear weights of valid cells; ``mask_grids`` does the same for masks, by nearest cells.
+    bilinear weights of valid cells, on the cells the target pair has; ``mask_grids`` does the same for
+    masks, by nearest cells.
 
     ``products`` (grid_id, target, control paths) are checked first; a mismatch is an error.
     ``water`` (cells with value 1 on land, 0 on water) keeps land where it is believable and joins
@@ -183,8 +184,10 @@ def detect_coherence(
         if grids is None:
             raise ValueError("aligning a control pair needs the target's grids")
         control = coherence.where("role = 'control'").withColumn("value", R.sane_coherence(F.col("value"), nodata))
-        moved = settle(align.onto(control.select(*CELL, "value"), control_grids, grids, "bilinear"))
-        coherence = coherence.where("role <> 'control'").select(*CELL, "role", "value").unionByName(moved.withColumn("role", F.lit("control")))
+        coherence = coherence.where("role <> 'control'").select(*CELL, "role", "value")
+        # A grid may be described larger than the pair's cells; what lies beyond them is no part of the scene and its edges.
+        moved = settle(stack.within(align.onto(control.select(*CELL, "value"), control_grids, grids, "bilinear"), coherence))
+        coherence = coherence.unionByName(moved.withColumn("role", F.lit("control")))
     analysis, background = on_grids(analysis, mask_grids, grids), on_grids(background, mask_grids, grids)
     if water is not None:
         analysis = settle(stack.both_masks(analysis, E.usable_land(water, ["grid_id"])))
