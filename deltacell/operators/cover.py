@@ -8,9 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from deltacell.functions import geometry as G
-from deltacell.operators.joins import salted_join
+from deltacell.operators.joins import cell_join, salted_join
 
 CELL = ["grid_id", "row", "col"]
+_BOX = ["xmin", "ymin", "xmax", "ymax"]
+#: Days of a period by which dated shapes meet.
+PERIOD = 64
 
 
 def spans(polygons: DataFrame, ids: Sequence[str], grid: dict, rings: str = "rings") -> DataFrame:
@@ -63,13 +66,32 @@ def near_events(events: DataFrame, sites: DataFrame, reach: float = 0.15, cell:
     Boxes are cut into ``cell`` sized buckets and meet only there, so no site is compared with
     every event.
     """
+    return _meeting(events.select("event_id", *_BOX), sites.select("site_id", *_BOX), [], reach, cell).select("site_id", "event_id")
+
+
+def near_dated(events: DataFrame, sites: DataFrame, reach: float = 0.15, cell: float = 0.5, days: int = 30) -> DataFrame:
+    """The pairs of :func:`near_events` whose event lies within ``days`` of the site (:func:`within_days`).
+
+    Both sides also meet by the period of the date, so pairs of other years are never formed.
+    """
+    period = lambda d: F.floor(F.datediff(d, F.lit("1970-01-01").cast("date")) / PERIOD)
+    first, last = period(F.date_sub("d1", days)), period(F.date_add(F.coalesce("d2", "d1"), days))
+    dated = sites.select("site_id", "d1", "d2", *_BOX).withColumn("_p0", first).withColumn("_p1", last).where("_p0 <= _p1")
+    left = dated.withColumn("_p", F.explode(F.sequence("_p0", "_p1"))).drop("_p0", "_p1")
+    right = events.select("event_id", "date", *_BOX).withColumn("_p", period(F.col("date")))
+    met = _meeting(right, left, ["_p"], reach, cell)
+    return met.where(within_days(F.col("d1"), F.col("d2"), F.col("date"), days)).select("site_id", "event_id")
+
+
+def _meeting(events: DataFrame, sites: DataFrame, also: list[str], reach: float, cell: float) -> DataFrame:
+    """Pairs whose boxes meet and that agree in the columns ``also``, with the other columns of both sides."""
     grown = sites.select(
-        "site_id", (F.col("xmin") - reach).alias("_a0"), (F.col("ymin") - reach).alias("_b0"),
+        *[c for c in sites.columns if c not in _BOX], (F.col("xmin") - reach).alias("_a0"), (F.col("ymin") - reach).alias("_b0"),
         (F.col("xmax") + reach).alias("_a1"), (F.col("ymax") + reach).alias("_b1"),
     )
     left = _buckets(grown, "_a0", "_b0", "_a1", "_b1", cell)
-    right = _buckets(events.select("event_id", "xmin", "ymin", "xmax", "ymax"), "xmin", "ymin", "xmax", "ymax", cell)
-    met = salted_join(right, left, ["_bx", "_by"], "inner")
+    right = _buckets(events, *_BOX, cell)
+    met = salted_join(right, left, ["_bx", "_by", *also], "inner")
     hit = (
         (F.col("_a0") <= F.col("xmax")) & (F.col("_a1") >= F.col("xmin"))
         & (F.col("_b0") <= F.col("ymax")) & (F.col("_b1") >= F.col("ymin"))
@@ -77,7 +99,7 @@ def near_events(events: DataFrame, sites: DataFrame, reach: float = 0.15, cell:
     # A pair is kept in the one bucket that holds the lower corner of the common box.
     own_x = F.floor(F.greatest("_a0", "xmin") / cell) == F.col("_bx")
     own_y = F.floor(F.greatest("_b0", "ymin") / cell) == F.col("_by")
-    return met.where(hit & own_x & own_y).select("site_id", "event_id")
+    return met.where(hit & own_x & own_y)
 
 
 def _buckets(df: DataFrame, xmin: str, ymin: str, xmax: str, ymax: str, cell: float) -> DataFrame:
@@ -96,18 +118,18 @@ def overlap(pairs: DataFrame, site_spans: DataFrame, event_spans: DataFrame, cel
 
     Shapes are compared as the cells they cover, so the error of an area is at most half the
     cells its outline crosses; both come as the runs of :func:`spans`. Only listed pairs meet, row by
-    row, where the common length of their runs is added up: a shape costs its rows, not its cells.
-    A site that many events touch is spread over several tasks.
+    row, where the common length of their runs is added up: a pair costs the event's rows, not its cells.
+    A site that many events touch is spread over its rows.
     """
     size = F.sum(F.col("c1") - F.col("c0") + 1)
     a = site_spans.groupBy("site_id").agg(size.alias("_na"))
     b = event_spans.groupBy("event_id").agg(size.alias("_nb"))
     wanted = pairs.select("site_id", "event_id").distinct()
-    left = salted_join(wanted, site_spans.select("site_id", "row", F.col("c0").alias("_a0"), F.col("c1").alias("_a1")), ["site_id"], "inner")
-    met = left.join(event_spans.select("event_id", "row", F.col("c0").alias("_b0"), F.col("c1").alias("_b1")), ["event_id", "row"])
+    left = cell_join(wanted, event_spans.select("event_id", "row", F.col("c0").alias("_b0"), F.col("c1").alias("_b1")), ["event_id"])
+    met = cell_join(left, site_spans.select("site_id", "row", F.col("c0").alias("_a0"), F.col("c1").alias("_a1")), ["site_id", "row"])
     common = F.least("_a1", "_b1") - F.greatest("_a0", "_b0") + 1
     shared = met.where(common > 0).groupBy("site_id", "event_id").agg(F.sum(common).alias("_i"))
-    out = pairs.join(shared, ["site_id", "event_id"], "left").join(a, "site_id", "left").join(b, "event_id", "left")
+    out = cell_join(cell_join(cell_join(pairs, shared, ["site_id", "event_id"], "left"), a, ["site_id"], "left"), b, ["event_id"], "left")
     i = F.coalesce(F.col("_i"), F.lit(0))
     union = F.coalesce(F.col("_na"), F.lit(0)) + F.coalesce(F.col("_nb"), F.lit(0)) - i
     return out.withColumn("inter_ha", i * cell_m2 / 1e4).withColumn(

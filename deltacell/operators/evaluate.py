@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from deltacell import schema as S
-from deltacell.operators.joins import attach
+from deltacell.operators.joins import attach, cell_join
 from deltacell.operators.order import quantiles, running
 from deltacell.session import settle
 
@@ -232,7 +232,7 @@ def component_overlap(components: DataFrame, mask: DataFrame) -> DataFrame:
     component from meeting in one task.
     """
     cell = ["grid_id", "row", "col"]
-    marked = components.join(mask.select(*cell).distinct().withColumn("_in", F.lit(1)), cell, "left")
+    marked = cell_join(components, mask.select(*cell).distinct().withColumn("_in", F.lit(1)), cell, "left")
     parts = marked.groupBy("grid_id", "label", "part").agg(
         F.count(F.lit(1)).alias("n_px"), F.count("_in").alias("n_hit")
     )

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from deltacell import schema as S
-from deltacell.operators.joins import attach
+from deltacell.operators.joins import attach, cell_join
 
 TILE = 256
 _TILE_KEYS = ["_tr", "_tc", "grid_id"]
@@ -208,7 +208,7 @@ def threshold_map(
     )
     cell = ["grid_id", "row", "col"]
     flagged = flagged.select(*cell, "value")
-    return flagged if inside is None else flagged.join(inside.select(*cell), cell, "left_semi")
+    return flagged if inside is None else cell_join(flagged, inside.select(*cell), cell, "left_semi")
 
 
 def lee_filter(cells: DataFrame, size: int = 5, mode: str = "reference", tile: int = TILE) -> DataFrame:

@@ -19,14 +19,24 @@ def _row_salt(df: DataFrame, salts: int) -> Column:
     return F.pmod(F.xxhash64(*[F.col(n) for n in names]), F.lit(salts))
 
 
+def cell_join(df: DataFrame, other: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join of two tables that both grow with the data: sorted, merged and never broadcast.
+
+    Spark guesses a table's size from its compressed files. Cells compress well, so that guess
+    would send millions of rows through the driver.
+    """
+    return df.join(other.hint("merge"), keys, how)
+
+
 def salted_join(df: DataFrame, lookup: DataFrame, keys: list[str], how: str = "left", salts: int = SALTS) -> DataFrame:
     """Equi-join that spreads each key of ``df`` over ``salts`` partitions.
 
-    ``lookup`` is repeated once per salt, so it should be the much smaller side.
+    ``lookup`` is repeated once per salt, so it should be the much smaller side. It is never broadcast,
+    as the repeated rows would all pass the driver.
     """
     left = df.withColumn("_salt", _row_salt(df, salts))
     right = lookup.withColumn("_salt", F.explode(F.array(*[F.lit(i).cast("bigint") for i in range(salts)])))
-    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+    return cell_join(left, right, [*keys, "_salt"], how).drop("_salt")
 
 
 def attach(df: DataFrame, lookup: DataFrame, keys: list[str], how: str = "left", max_bytes: int = BROADCAST_BYTES) -> DataFrame:

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from deltacell.operators.joins import cell_join
+
 CELL = ["grid_id", "row", "col"]
 
 
 def keep_inside(cells: DataFrame, mask: DataFrame) -> DataFrame:
-    return cells.join(mask.select(*CELL), CELL, "left_semi")
+    return cell_join(cells, mask.select(*CELL), CELL, "left_semi")
 
 
 def intersect(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -21,7 +23,7 @@ def subtract(mask: DataFrame, *others: DataFrame) -> DataFrame:
     gone = others[0].select(*CELL)
     for o in others[1:]:
         gone = gone.unionByName(o.select(*CELL))
-    return mask.select(*CELL).join(gone, CELL, "left_anti")
+    return cell_join(mask.select(*CELL), gone, CELL, "left_anti")
 
 
 def from_predicate(cells: DataFrame, keep: Column) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from deltacell.functions import geometry as G
 from deltacell.functions import planes as P
 from deltacell.operators.focal import TILE, tile_of
-from deltacell.operators.joins import attach, salted_join
+from deltacell.operators.joins import attach, cell_join, salted_join
 from deltacell.session import settle
 
 CELL = ["grid_id", "row", "col"]
@@ -130,7 +130,7 @@ def components(mask: DataFrame, tile: int = TILE) -> DataFrame:
     """Mask cells with ``label`` (smallest cell code of the object) and ``part`` (that of its tile part)."""
     parts = settle(tile_parts(mask, tile))
     links = contract(border_contacts(parts, tile)).select("grid_id", F.col("child").alias("part"), F.col("parent").alias("_root"))
-    joined = parts.join(links, ["grid_id", "part"], "left")
+    joined = cell_join(parts, links, ["grid_id", "part"], "left")
     return joined.select(*CELL, F.coalesce("_root", "part").alias("label"), "part")
 
 
@@ -154,7 +154,7 @@ def remove_small(labelled: DataFrame, min_pixels: int) -> DataFrame:
     parts = labelled.groupBy("grid_id", "label", "part").agg(F.count(F.lit(1)).alias("n"))
     sizes = parts.groupBy("grid_id", "label").agg(F.sum("n").alias("n")).where(F.col("n") >= min_pixels)
     kept = salted_join(parts.select("grid_id", "label", "part"), sizes.select("grid_id", "label"), ["grid_id", "label"], "inner")
-    return labelled.join(kept.select("grid_id", "part"), ["grid_id", "part"], "left_semi").select(*labelled.columns)
+    return cell_join(labelled, kept.select("grid_id", "part"), ["grid_id", "part"], "left_semi").select(*labelled.columns)
 
 
 # -- outlines --------------------------------------------------------------------------------

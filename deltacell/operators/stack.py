@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from deltacell import schema as S
 from deltacell.functions import radiometry as R
-from deltacell.operators.joins import attach
+from deltacell.operators.joins import attach, cell_join
 from deltacell.operators.order import quantiles
 
 CELL = ["grid_id", "row", "col"]
@@ -115,7 +115,7 @@ def index_family(cells: DataFrame, weights: Mapping[str, tuple[float, float]] =
 
 def within(cells: DataFrame, mask: DataFrame) -> DataFrame:
     """Cells inside a sparse mask."""
-    return cells.join(mask.select(*CELL).distinct(), CELL, "left_semi")
+    return cell_join(cells, mask.select(*CELL).distinct(), CELL, "left_semi")
 
 
 def both_masks(*masks: DataFrame | None) -> DataFrame | None:

@@ -13,7 +13,7 @@ from deltacell.operators import evaluate as E
 from deltacell.operators import focal
 from deltacell.operators import masks as M
 from deltacell.operators import objects, stack
-from deltacell.operators.joins import attach
+from deltacell.operators.joins import attach, cell_join
 from deltacell.plans.detect import Detection, amplitude_index, detect_wi
 from deltacell.session import settle
 
@@ -26,7 +26,7 @@ def reference_samples(cells: DataFrame, reference: DataFrame, ring: DataFrame, o
     marked = reference.select(*CELL).distinct().withColumn("positive", F.lit(True)).unionByName(
         bg.select(*CELL).distinct().withColumn("positive", F.lit(False))
     )
-    return cells.join(marked, CELL).where(F.col("value").isNotNull()).select(*CELL, F.col("value").alias("score"), "positive")
+    return cell_join(cells, marked, CELL).where(F.col("value").isNotNull()).select(*CELL, F.col("value").alias("score"), "positive")
 
 
 def pair_and_did(layers: DataFrame, reference: DataFrame, ring: DataFrame, others: DataFrame | None = None, did_rule: str = "both_positive") -> DataFrame:
@@ -44,7 +44,7 @@ def pair_and_did(layers: DataFrame, reference: DataFrame, ring: DataFrame, other
     marked = reference.select(*CELL).distinct().withColumn("positive", F.lit(True)).unionByName(
         bg.select(*CELL).distinct().withColumn("positive", F.lit(False))
     )
-    samples = settle(long.join(marked, CELL).select(*CELL, "method", F.col("value").alias("score"), "positive"))
+    samples = settle(cell_join(long, marked, CELL).select(*CELL, "method", F.col("value").alias("score"), "positive"))
     keys = ["grid_id", "method"]
     curve = settle(E.score_curve(samples, keys))
     y = E.youden_quantile(curve, keys).select(
@@ -109,7 +109,7 @@ def mask_effect(index: DataFrame, masks: Mapping[str, DataFrame | None], referen
     if len(names) > 62:
         raise ValueError("at most 62 masks")
     cells, every = mask_bits([masks[n] for n in names])
-    own = lambda df: (df.withColumn("bits", F.lit(None).cast("long")) if cells is None else df.join(cells, CELL, "left")).withColumn(
+    own = lambda df: (df.withColumn("bits", F.lit(None).cast("long")) if cells is None else cell_join(df, cells, CELL, "left")).withColumn(
         "bits", F.coalesce("bits", F.lit(0).cast("long")).bitwiseOR(F.lit(every).cast("long")))
     has = lambda k: F.getbit("bits", F.lit(k)) == 1
     means = own(index.select(*CELL, "value")).groupBy("grid_id").agg(*[F.avg(F.when(has(k), F.col("value"))).alias(f"_{k}") for k in range(len(names))])
@@ -158,7 +158,7 @@ def study_samples(family: DataFrame, reference: DataFrame, background: DataFrame
     marked = reference.select(*CELL).distinct().withColumn("positive", F.lit(True)).unionByName(
         M.subtract(background, reference).distinct().withColumn("positive", F.lit(False))
     )
-    return kept.join(marked, CELL).where(F.col("value").isNotNull()).select(
+    return cell_join(kept, marked, CELL).where(F.col("value").isNotNull()).select(
         *CELL, "index", F.col("value").alias("score"), "positive"
     )
 

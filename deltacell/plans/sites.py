@@ -13,7 +13,7 @@ from deltacell.functions.hull import convex_hull
 from deltacell.operators import chains as C
 from deltacell.operators import cover
 from deltacell.operators import screening as X
-from deltacell.operators.joins import salted_join
+from deltacell.operators.joins import cell_join, salted_join
 from deltacell.session import settle
 from deltacell.sources import catalogs
 
@@ -66,13 +66,12 @@ def site_matches(
     """Events overlapping each site in space and within thirty days of it, best overlap first.
 
     ``sites``: site_id, d1, d2, bbox columns, rings. ``events``: event_id, date, bbox columns,
-    rings. Boxes find the pairs, dates thin them, runs of cells of ``grid`` decide.
+    rings. Boxes and dates find the pairs, runs of cells of ``grid`` decide.
     """
-    pairs = cover.near_events(events, sites, reach=0.0, cell=bucket)
-    dated = pairs.join(sites.select("site_id", "d1", "d2"), "site_id").join(events.select("event_id", "date"), "event_id")
-    kept = settle(dated.where(cover.within_days(F.col("d1"), F.col("d2"), F.col("date"))).select("site_id", "event_id"))
-    a = cover.spans(sites.join(kept.select("site_id").distinct(), "site_id", "left_semi"), ["site_id"], grid, site_rings)
-    b = cover.spans(events.join(kept.select("event_id").distinct(), "event_id", "left_semi"), ["event_id"], grid, event_rings)
+    kept = settle(cover.near_dated(events, sites, reach=0.0, cell=bucket))
+    used = lambda df, key: cell_join(df, kept.select(key).distinct(), [key], "left_semi")
+    a = cover.spans(used(sites, "site_id"), ["site_id"], grid, site_rings)
+    b = cover.spans(used(events, "event_id"), ["event_id"], grid, event_rings)
     met = cover.overlap(kept, settle(a), settle(b), cell_m2).where(F.col("inter_ha") > 0)
     return cover.best_matches(met, n)
 
