@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from deltacell.functions import dates as D
 from deltacell.functions import geometry as G
 from deltacell.functions import naming as N
+from deltacell.operators.joins import cell_join
+from deltacell.session import settle
 
 _STAC = (
     "features ARRAY<STRUCT<id: STRING, collection: STRING, datetime: STRING, bbox: ARRAY<DOUBLE>, "
@@ -192,14 +194,27 @@ def coverage(granule_rows: DataFrame, hulls: DataFrame, pad: float = 0.05) -> Da
     """Share of each event's hull a granule covers.
 
     ``granule_rows`` carry event_id; ``hulls``: event_id, hull (convex, counter-clockwise). Of the
-    two ring readings the one that overlaps the hull's box, ``pad`` degrees wider, counts.
+    two ring readings the one that overlaps the hull's box, ``pad`` degrees wider, counts. Shapes are cut once
+    for each pair of different shapes, however many granules and events share them, and not at all where
+    their boxes lie apart.
     """
     b = F.col("_b")
     box = [b["xmin"] - pad, b["ymin"] - pad, b["xmax"] + pad, b["ymax"] + pad]
-    met = granule_rows.join(hulls.select("event_id", F.col("hull").alias("_h")), "event_id")
-    met = met.withColumn("_b", G.rings_bbox(F.array("_h")))
+    named = lambda c: F.coalesce(F.sha2(F.to_json(c), 256), F.lit(""))
+    given = settle(granule_rows.withColumn("_g", named(F.col("rings"))))
+    shapes = settle(hulls.select("event_id", F.col("hull").alias("_h"), named(F.struct("hull")).alias("_k")))
+    met = cell_join(given, shapes.select("event_id", "_k"), ["event_id"])
+    each = lambda df, key, c: df.groupBy(key).agg(F.first(c).alias(c))
+    pairs = met.select("_g", "_k").distinct()
+    pairs = cell_join(cell_join(pairs, each(given, "_g", "rings"), ["_g"]), each(shapes, "_k", "_h"), ["_k"])
+    pairs = pairs.withColumn("_b", G.rings_bbox(F.array("_h")))
+    own = lambda r: G.rings_bbox(F.array(F.col("rings")[r]))
+    apart = lambda a: (a["xmin"] > b["xmax"]) | (a["xmax"] < b["xmin"]) | (a["ymin"] > b["ymax"]) | (a["ymax"] < b["ymin"])
+    none = lambda r: F.col("rings")[r].isNull() | F.coalesce(apart(own(r)), F.lit(False))
     ring = G.pick_ring_reading(F.col("rings"), *box)
-    return met.withColumn("cov", F.coalesce(G.hull_coverage(ring, F.col("_h")), F.lit(0.0))).drop("_h", "_b")
+    share = F.coalesce(G.hull_coverage(ring, F.col("_h")), F.lit(0.0))
+    pairs = pairs.repartition("_g", "_k").withColumn("cov", F.when(none("as_given") & none("swapped"), 0.0).otherwise(share))
+    return cell_join(met, settle(pairs.select("_g", "_k", "cov")), ["_g", "_k"]).drop("_g", "_k").select(*granule_rows.columns, "cov")
 
 
 def read_sites(
