@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from deltacell.functions import geometry as G
 from deltacell.operators.focal import TILE, tile_of
 from deltacell.operators.masks import check_grid
+from deltacell.session import settle
 
 
 #: Tiles along the side of a block; a block of cells is one file.
@@ -77,6 +78,10 @@ def write_sites(sites: DataFrame, path: str, rings: str = "rings") -> None:
     site_features(sites, rings).write.mode("overwrite").text(path)
 
 
+#: Text of a FeatureCollection, about.
+DOC_BYTES = 8 * 1024 * 1024
+
+
 def _collection(batches):
     """Text of one FeatureCollection per task: its features, each on a line, between an opening and a closing line."""
     yield pa.record_batch([pa.array(['{"type":"FeatureCollection","features":['])], names=["value"])
@@ -88,9 +93,17 @@ def _collection(batches):
     yield pa.record_batch([pa.array(["]}"])], names=["value"])
 
 
-def write_collection(sites: DataFrame, path: str, rings: str = "rings") -> None:
-    """A GeoJSON FeatureCollection in every file, one file a task; a single task's table is one document."""
-    site_features(sites, rings).mapInArrow(_collection, "value string").write.mode("overwrite").text(path)
+def write_collection(sites: DataFrame, path: str, rings: str = "rings", doc_bytes: int = DOC_BYTES) -> None:
+    """A GeoJSON FeatureCollection in every file, one file a task; a single task's table is one document.
+
+    A document is read whole by one task, so features of more than ``doc_bytes`` in all are dealt
+    evenly to documents of about that size.
+    """
+    features = settle(site_features(sites, rings))
+    size = features.agg(F.sum(F.octet_length("value"))).first()[0] or 0
+    if size > doc_bytes:
+        features = features.repartition(-(-size // doc_bytes))
+    features.mapInArrow(_collection, "value string").write.mode("overwrite").text(path)
 
 
 def write_csv(df: DataFrame, path: str, bom: bool = True) -> None:
