@@ -48,7 +48,7 @@ def quantiles(
     left out, NaN is the largest value; a key without a value has no row.
     """
     data = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    longest = data.groupBy(*keys).agg(F.count("_v").alias("n")).agg(F.max("n")).first()[0]
+    longest, rows_left = data.groupBy(*keys).agg(F.count("_v").alias("n")).agg(F.max("n"), F.sum("n")).first()
     if longest is None or longest <= task_rows:
         ps = F.array(*[F.lit(float(p)) for p in probs.values()])
         short = data.groupBy(*keys).agg(F.count("_v").alias("n"), F.percentile("_v", ps).alias("_q"))
@@ -58,7 +58,17 @@ def quantiles(
     found = settle(_per_key(_holding(every, keys, probs), keys))
     size = lambda b: b["_to"] - b["_from"]
     sizes = F.transform(F.filter("_b", lambda b: b["_lo"] < b["_hi"]), size)
-    while (most := found.agg(F.max(F.array_max(sizes))).first()[0]) is not None and most > task_rows:
+    total = F.sum(F.aggregate(sizes, F.lit(0).cast("bigint"), lambda a, x: a + x))
+    while True:
+        most, held = found.agg(F.max(F.array_max(sizes)), total).first()
+        if most is None:
+            break
+        if held * 4 <= rows_left:
+            # Later rounds look only inside these brackets, so they need not scan all values again.
+            open_ = lambda b: b["_lo"] < b["_hi"]
+            data, rows_left = settle(_inside(data, found, keys, 2 * len(probs), open_).select(*keys, "_v")), held
+        if most <= task_rows:
+            break
         long = lambda b: (b["_lo"] < b["_hi"]) & (size(b) > task_rows)
         parts = _holding(_narrow(data, found, keys, 2 * len(probs), long, fan), keys, probs)
         found = settle(_per_key(_listed(found, keys, lambda b: ~long(b)).unionByName(parts), keys))
@@ -106,14 +116,19 @@ def _listed(found: DataFrame, keys: list[str], kept: Callable[[Column], Column])
     return found.select(*keys, "_n", F.inline(F.filter("_b", kept)))
 
 
+def _inside(data: DataFrame, found: DataFrame, keys: list[str], most: int, taken: Callable[[Column], Column]) -> DataFrame:
+    """Rows of ``data`` that lie in a taken bracket, with it as ``_in``."""
+    v, at = F.col("_v"), [F.get("_b", F.lit(i)) for i in range(most)]
+    rows = attach(data, found, keys, "inner")
+    which = F.coalesce(*[F.when(taken(b) & v.between(b["_lo"], b["_hi"]), b) for b in at])
+    return rows.select(*keys, "_n", "_v", which.alias("_in")).where(F.col("_in").isNotNull())
+
+
 def _narrow(
     data: DataFrame, found: DataFrame, keys: list[str], most: int, taken: Callable[[Column], Column], fan: int | None = None
 ) -> DataFrame:
     """Counts of ``data`` inside the taken brackets, by part of the bracket or, without ``fan``, by value."""
-    v, at = F.col("_v"), [F.get("_b", F.lit(i)) for i in range(most)]
-    rows = attach(data, found, keys, "inner")
-    which = F.coalesce(*[F.when(taken(b) & v.between(b["_lo"], b["_hi"]), b) for b in at])
-    rows = rows.select(*keys, "_n", "_v", which.alias("_in")).where(F.col("_in").isNotNull())
+    v, rows = F.col("_v"), _inside(data, found, keys, most, taken)
     slot, lo, hi = v, F.col("_in._lo"), F.col("_in._hi")
     if fan is not None:
         slot = F.least(F.lit(fan - 1), F.floor((v - lo) / (hi - lo) * fan).cast("int"))
