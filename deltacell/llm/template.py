@@ -16,6 +16,7 @@ import html as entities
 import re
 from collections import defaultdict
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from deltacell.llm import words as W
+from deltacell.llm.ids import FEW
 from deltacell.session import settle
 
 _TOKEN = re.compile(
@@ -255,44 +257,86 @@ def page_elements(pages: DataFrame) -> DataFrame:
     return pages.where("html <> ''").mapInArrow(run, "host string, mark binary, element long")
 
 
-def best_elements(pages: DataFrame) -> DataFrame:
-    """(host, mark, best): per page its elements of the largest weight; a page without template element has no row."""
-    rows = page_elements(pages).join(templates(pages), ["host", "element"])
-    found = rows.groupBy("host", "mark").agg(F.max("known").alias("top"), F.collect_set(F.struct("known", "element")).alias("all"))
-    return found.select("host", "mark", F.expr("transform(filter(all, x -> x.known = top), x -> x.element)").alias("best"))
+def best_elements(pages: DataFrame, found: DataFrame) -> DataFrame:
+    """(host, mark, best): per page its ``found`` elements of the largest weight; a page without any has no row."""
+    rows = page_elements(pages).join(found, ["host", "element"])
+    held = rows.groupBy("host", "mark").agg(F.max("known").alias("top"), F.collect_set(F.struct("known", "element")).alias("all"))
+    return held.select("host", "mark", F.expr("transform(filter(all, x -> x.known = top), x -> x.element)").alias("best"))
 
 
-def extract(pages: DataFrame) -> DataFrame:
+def _key(host: str, element: int) -> int:
+    return xxhash.xxh64_intdigest(element.to_bytes(8, "little") + host.encode())
+
+
+def gather(found: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys of host and element, and their weights: 16 bytes a template element. Tasks pack them."""
+    def packed(batches):
+        for batch in batches:
+            keys = np.array([_key(h, e) for h, e in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)], "<u8")
+            known = batch.column(2).to_numpy(zero_copy_only=False).astype("<f8")
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (keys, known)], ["keys", "known"])
+
+    rows = found.select("host", "element", "known").mapInArrow(packed, "keys binary, known binary").collect()
+    keys, known = (np.frombuffer(b"".join(r[c] for r in rows), t) for c, t in (("keys", "<u8"), ("known", "<f8")))
+    order = np.argsort(keys)
+    return keys[order], known[order]
+
+
+def heaviest(page: Page, host: str, keys: np.ndarray, known: np.ndarray) -> set[int]:
+    """Template elements of the largest weight on a page."""
+    here = sorted({e for e, out in zip(page.ids(), page.outside, strict=True) if not out})
+    if not len(keys) or not here:
+        return set()
+    wanted = np.array([_key(host, e) for e in here], np.uint64)
+    at = np.searchsorted(keys, wanted).clip(max=len(keys) - 1)
+    weight = np.where(keys[at] == wanted, known[at], -1.0)
+    return {here[i] for i in np.flatnonzero(weight == weight.max())} if weight.max() >= 0 else set()
+
+
+def extract(pages: DataFrame, few: int = FEW) -> DataFrame:
     """All columns of ``pages`` with ``text``: the main text, blocks joined by two newlines.
 
     ``pages`` needs url and html. A null or empty html, and a page with markup alone, has the empty
     text; a null url belongs to the host without a name. Repeated rows repeat; an empty table gives
-    an empty table. A column named ``text`` is replaced.
+    an empty table. A column named ``text`` is replaced. Up to ``few`` template elements are sent to
+    every executor and no html moves; beyond that pages meet theirs in a join, with the same result.
     """
     W.text_batches(pages)
-    best = settle(best_elements(pages.select(host_of(F.col("url")).alias("host"), F.col("html").cast("string").alias("html"))))
+    hosted = pages.select(host_of(F.col("url")).alias("host"), F.col("html").cast("string").alias("html"))
+    found = settle(templates(hosted))
     kept = [f for f in pages.schema.fields if f.name != "text"]
-    given = pages.select(F.struct(*[F.col(f"`{f.name}`") for f in kept]).alias("given"), F.col("html").cast("string").alias("_html"), host_of(F.col("url")).alias("_host"))
-
-    def marked(batches):
-        for batch in W.slices(batches):
-            mark = [xxhash.xxh3_128_digest(source or "") for source in batch.column(batch.num_columns - 2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(mark, pa.binary())], names=[*batch.schema.names, "_mark"])
+    # The html is carried once; only one that is no string stays beside its text.
+    beside = [f for f in kept if f.name != "html" or f.dataType != T.StringType()]
+    given = pages.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{f.name}`") for f in beside]).alias("given"),
+                         F.col("html").cast("string").alias("_html"), host_of(F.col("url")).alias("_host"))
+    schema = T.StructType([given.schema["given"], given.schema["_html"], T.StructField("text", T.StringType())])
 
-    given = given.mapInArrow(marked, T.StructType([*given.schema.fields, T.StructField("_mark", T.BinaryType())]))
-    best = best.select(F.col("host").alias("_host"), F.col("mark").alias("_mark"), F.col("best").alias("_best"))
-    given = given.join(best, ["_host", "_mark"], "left").select("given", "_html", "_best")
-
-    def run(batches):
+    def texted(batches, best_of):
         for batch in W.slices(batches):
-            n = batch.num_columns
+            given, sources, others = batch.column(0), batch.column(1), batch.column(2).to_pylist()
             out = []
-            for source, best in zip(*(batch.column(k).to_pylist() for k in (n - 2, n - 1)), strict=True):
-                out.append("\n\n".join(Page(source).main({*(best or ())})) if source else "")
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(out, pa.string())], names=[*batch.schema.names[:-2], "text"])
-
-    out = given.mapInArrow(run, T.StructType([given.schema["given"], T.StructField("text", T.StringType())]))
-    return out.select(*[F.col("given").getField(f.name).alias(f.name) for f in kept], "text")
+            for source, other in zip(sources.to_pylist(), others, strict=True):
+                page = Page(source) if source else None
+                out.append("\n\n".join(page.main(best_of(page, other))) if source else "")
+            yield pa.RecordBatch.from_arrays([given, sources, pa.array(out, pa.string())], ["given", "_html", "text"])
+
+    if found.count() <= few:
+        shared = pages.sparkSession.sparkContext.broadcast(gather(found))
+        out = given.mapInArrow(lambda batches: texted(batches, lambda page, host: heaviest(page, host, *shared.value)), schema)
+    else:
+        best = settle(best_elements(hosted, found))
+
+        def marked(batches):
+            for batch in W.slices(batches):
+                mark = [xxhash.xxh3_128_digest(source or "") for source in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(mark, pa.binary())], names=[*batch.schema.names, "_mark"])
+
+        given = given.mapInArrow(marked, T.StructType([*given.schema.fields, T.StructField("_mark", T.BinaryType())]))
+        best = best.select(F.col("host").alias("_host"), F.col("mark").alias("_mark"), F.col("best").alias("_best"))
+        given = given.join(best, ["_host", "_mark"], "left").select("given", "_html", "_best")
+        out = given.mapInArrow(lambda batches: texted(batches, lambda _, best: {*(best or ())}), schema)
+    of = lambda f: F.col("given").getField(f.name) if f in beside else F.col("_html")
+    return out.select(*[of(f).alias(f.name) for f in kept], "text")
 
 
 def texts(pages: DataFrame) -> DataFrame:

@@ -72,3 +72,17 @@ def test_no_layout_of_a_host_is_too_many(spark):
     layouts = {k: [got[1000 + 2 * k + n].replace(f" {n}", " #") for n in range(2)] for k in range(100)}
     alone = {r["page_id"]: r["text"] for k in (0, 50, 99) for r in X.texts(df.where(f"page_id in ({1000 + 2 * k}, {1001 + 2 * k})")).collect()}
     assert all(a == b for a, b in layouts.values()) and all(got[i] == t for i, t in alone.items())
+
+
+def test_html_does_not_move_where_template_elements_are_few(spark):
+    df = spark.createDataFrame(rows(), "page_id long, url string, html string").selectExpr("*", "cast(html as binary) as raw")
+    wanted = X.extract(df, few=0).collect()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = X.extract(df)
+        assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+        assert found.columns == [*df.columns, "text"] and sorted(map(str, found.collect())) == sorted(map(str, wanted))
+        binary = X.extract(df.select("page_id", "url", df.raw.alias("html"))).select("page_id", "text")
+        assert sorted(map(str, binary.collect())) == sorted(str(r) for r in found.select("page_id", "text").collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
