@@ -7,8 +7,10 @@ links' components are the clusters. Equal paragraphs are one text throughout.
 
 A passage inside longer paragraphs is found from winnowed seeds of half a window's words: of the
 seeds inside any ``window`` words the one with the smallest hash is kept, so any run of ``window``
-shared words shares a kept seed. Around repeated seeds every window is then compared, which gives
-the exact first and last word of what is shared. Overlapping repeated windows of a document
+shared words shares a kept seed. A window stands for its smallest seed, the first of equal ones, which
+is kept wherever the window is. If all places of a seed have the same words around them, its windows
+are shared as the seed is, and a document's run of them is one row; only windows of other repeated
+seeds are compared one by one. Either gives the exact first and last word of what is shared. Overlapping repeated windows of a document
 are one span, those that an earlier document holds apart from those that stand here first. A cluster's or passage's smallest doc_id keeps it; it is a removal elsewhere.
 """
 
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 
 from deltacell.llm import words as W
 from deltacell.llm.graph import components
-from deltacell.llm.ids import by_ids
+from deltacell.llm.ids import FEW, by_ids
 from deltacell.llm.ngram_join import block_links
 from deltacell.session import settle
 
@@ -96,7 +98,8 @@ def winnowed(grams: np.ndarray, size: int) -> np.ndarray:
 
 
 def units(docs: DataFrame, least: int, seed: int, width: int) -> DataFrame:
-    """(doc_id, kind, first, n_words, unit): lines (kind 0, ``first`` is the first word) and kept seeds (kind 1), the least of every ``width``."""
+    """(doc_id, kind, first, n_words, unit, around): lines (kind 0, ``first`` is the first word) and kept seeds (kind 1), the least
+    of every ``width``; ``around`` is a hash of the words that any window over the seed can hold, and of how many precede it."""
     def run(batches):
         for batch in W.slices(batches):
             raw, offsets = W.buffers(batch.column(1))
@@ -110,40 +113,111 @@ def units(docs: DataFrame, least: int, seed: int, width: int) -> DataFrame:
                 who = np.repeat(np.arange(b - a), [len(k) for k in kept])
                 kept = np.concatenate(kept) if kept else np.zeros(0, np.int64)
                 docs_of = np.concatenate([owner, who])
+                left = np.maximum(kept - (width - 1), first[who])
+                around = sequence_hashes(hashes, left, np.minimum(kept + seed + width - 1, first[who + 1]))
+                around = (W.mix(around + (kept - left).astype(np.uint64) * W._MUL[2]) >> np.uint64(32)).astype(np.uint32).view(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids[a:b][docs_of], pa.int64()),
                      pa.array(np.repeat(np.array([0, 1], np.int32), [len(owner), len(who)])),
                      pa.array((np.concatenate([begin, kept]) - first[docs_of]).astype(np.int32)),
                      pa.array(np.concatenate([end - begin, np.full(len(kept), seed)]).astype(np.int32)),
-                     pa.array(np.concatenate([sequence_hashes(hashes, begin, end), grams[kept]]).view(np.int64))],
-                    ["doc_id", "kind", "first", "n_words", "unit"])
-
-    return docs.mapInArrow(run, "doc_id long, kind int, first int, n_words int, unit long")
-
+                     pa.array(np.concatenate([sequence_hashes(hashes, begin, end), grams[kept]]).view(np.int64)),
+                     pa.concat_arrays([pa.nulls(len(owner), pa.int32()), pa.array(around)])],
+                    ["doc_id", "kind", "first", "n_words", "unit", "around"])
+
+    return docs.mapInArrow(run, "doc_id long, kind int, first int, n_words int, unit long, around int")
+
+
+def gather(live: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted seeds, their keepers, and whether they have one: 17 bytes a seed. Tasks pack them."""
+    def packed(batches):
+        for batch in batches:
+            keeper = batch.column(1)
+            columns = (batch.column(0).to_numpy(), keeper.fill_null(0).to_numpy(), keeper.is_valid().to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in columns], ["unit", "keeper", "known"])
+
+    rows = live.select("unit", "keeper").mapInArrow(packed, "unit binary, keeper binary, known binary").collect()
+    unit, keeper, known = (np.frombuffer(b"".join(r[c] for r in rows), t) for c, t in (("unit", np.uint64), ("keeper", np.int64), ("known", bool)))
+    order = np.argsort(unit)
+    return unit[order], keeper[order], known[order]
+
+
+def given_seeds(grams: np.ndarray, standing: np.ndarray, first: np.ndarray, seed: int, at: pa.Array):
+    """Number of each window's seed among those given with the texts (-1: none), their keepers, and whether they have one."""
+    place, unit, keeper = at.flatten().flatten()
+    own = np.repeat(np.arange(len(at)), at.value_lengths().to_numpy())
+    place, unit = place.to_numpy() + first[own], unit.to_numpy().view(np.uint64)
+    # Rows that share a doc_id have the seeds of both.
+    fits = np.flatnonzero(place + seed <= first[own + 1])
+    fits = fits[grams[place[fits]] == unit[fits]]
+    number = np.full(len(grams), -1)
+    number[place[fits]] = fits
+    return number[standing], keeper.fill_null(0).to_numpy(), keeper.is_valid().to_numpy(zero_copy_only=False)
+
+
+def known_seeds(grams: np.ndarray, standing: np.ndarray, shared: tuple):
+    """The same by look-up in sorted seeds, once for the windows that follow each other with one seed."""
+    units, keeper, known = shared
+    heads = np.flatnonzero(np.diff(standing, prepend=-1))
+    wanted = grams[standing[heads]]
+    at = np.searchsorted(units, wanted).clip(max=max(0, len(units) - 1))
+    hit = np.where(units[at] == wanted, at, -1) if len(units) else np.full(len(at), -1)
+    return np.repeat(hit, np.diff(heads, append=len(standing))), keeper, known
+
+
+def windows(docs: DataFrame, live: DataFrame, kept: DataFrame, seed: int, window: int, few: int) -> DataFrame:
+    """(doc_id, first, n_words, unit, keeper) of the windows whose smallest seed is ``live`` (unit, keeper).
+
+    Where the seed has a keeper, a run of windows that have the same one is a row without unit; else every
+    window is a row with its hash. Up to ``few`` live seeds are sent to every executor and no text moves;
+    beyond that texts meet their ``kept`` seeds (doc_id, first, unit) in a join, with the same result.
+    """
+    width = window - seed + 1
+    broadcast = docs.sparkSession.sparkContext.broadcast(gather(live)) if live.count() <= few else None
 
-def windows(docs: DataFrame, seeds: DataFrame, seed: int, window: int) -> DataFrame:
-    """(doc_id, first, unit) of all windows that hold one of the document's ``seeds`` (doc_id, at: first words)."""
     def run(batches):
         for batch in W.slices(batches):
             raw, offsets = W.buffers(batch.column(1))
-            ids, at = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2)
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
             for a, b in W.runs(offsets):
                 hashes, first = W.hashed_words(raw[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
-                found = []
-                for i in range(b - a):
-                    n = max(0, first[i + 1] - first[i] - window + 1)
-                    here = at[a + i].values.to_numpy()
-                    low, high = np.maximum(here - (window - seed), 0), np.minimum(here + 1, n)
-                    some = low < high
-                    step = np.bincount(low[some], minlength=n + 1) - np.bincount(high[some], minlength=n + 1)
-                    found.append(np.flatnonzero(np.cumsum(step)[:n] > 0))
-                who = np.repeat(np.arange(b - a), [len(x) for x in found])
-                begin = np.concatenate(found) if found else np.zeros(0, np.int64)
-                unit = sequence_hashes(hashes, first[who] + begin, first[who] + begin + window)
+                if len(hashes) < window:
+                    continue
+                begin = np.arange(len(hashes) - seed + 1)
+                grams = sequence_hashes(hashes, begin, begin + seed)
+                least = _sliding(grams, width, np.minimum)
+                standing = np.zeros(len(least), np.int64)
+                for k in range(width - 1, -1, -1):
+                    standing[grams[k:k + len(least)] == least] = k
+                begin = np.arange(len(least))
+                standing += begin
+                if broadcast is None:
+                    seen, keeper, known = given_seeds(grams, standing, first, seed, batch.column(2).slice(a, b - a))
+                else:
+                    seen, keeper, known = known_seeds(grams, standing, broadcast.value)
+                who = np.searchsorted(first, begin, "right") - 1
+                live = np.flatnonzero((seen >= 0) & (begin + window <= first[who + 1]))
+                begin, who, seen = live, who[live], seen[live]
+                alone = ~known[seen]
+                more = np.flatnonzero(~alone)
+                w, d, k = begin[more], who[more], keeper[seen[more]]
+                heads = np.flatnonzero(np.concatenate([[True], (np.diff(w) != 1) | (np.diff(d) != 0) | (np.diff(k) != 0)])[:len(w)])
+                tails = np.concatenate([heads[1:], [len(w)]])[:len(heads)] - 1
+                n = int(alone.sum())
+                start, doc = np.concatenate([begin[alone], w[heads]]), np.concatenate([who[alone], d[heads]])
+                size = np.concatenate([np.full(n, window), w[tails] - w[heads] + window])
+                absent = np.repeat([False, True], [n, len(heads)])
+                units = sequence_hashes(hashes, start, np.minimum(start + window, len(hashes))).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[a:b][who], pa.int64()), pa.array(begin.astype(np.int32)), pa.array(unit.view(np.int64))], ["doc_id", "first", "unit"])
+                    [pa.array(ids[a:b][doc], pa.int64()), pa.array((start - first[doc]).astype(np.int32)), pa.array(size.astype(np.int32)),
+                     pa.array(units, mask=absent), pa.array(np.concatenate([np.zeros(n, np.int64), k[heads]]), mask=~absent)],
+                    ["doc_id", "first", "n_words", "unit", "keeper"])
 
-    return docs.join(seeds, "doc_id").select("doc_id", "text", "at").mapInArrow(run, "doc_id long, first int, unit long")
+    given = docs.select("doc_id", "text")
+    if broadcast is None:
+        seeds = kept.join(live, "unit").groupBy("doc_id").agg(F.collect_set(F.struct("first", "unit", "keeper")).alias("at"))
+        given = given.join(seeds, "doc_id").select("doc_id", "text", "at")
+    return given.mapInArrow(run, "doc_id long, first int, n_words int, unit long, keeper long")
 
 
 def bands(docs: DataFrame, least: int, size: int, shape: tuple[int, int]) -> DataFrame:
@@ -208,7 +282,8 @@ def near_lines(docs: DataFrame, every: DataFrame, least: int, size: int, percent
 
 
 def repeats(
-    docs: DataFrame, least: int = 5, size: int = 5, percent: int = 80, recall: float = 0.995, window: int = 24, block: int = 256
+    docs: DataFrame, least: int = 5, size: int = 5, percent: int = 80, recall: float = 0.995, window: int = 24, block: int = 256,
+    few: int = 4 * FEW,
 ) -> DataFrame:
     """Repeated parts: doc_id, kind (paragraph or passage), first_word, n_words, cluster, keeper, removed.
 
@@ -222,23 +297,28 @@ def repeats(
     least = max(least, size)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     seed = max(1, window // 2)
-    every = settle(units(docs, least, seed, window - seed + 1))
+    # Seeds are read off the texts again rather than written: they are the largest table here.
+    parts = units(docs, least, seed, window - seed + 1)
+    every = settle(parts.where("kind = 0").drop("around"))
     roots = near_lines(docs, every, least, size, percent, recall, block)
     lines = every.where("kind = 0").join(roots.withColumnRenamed("node", "unit"), "unit", "left").withColumn("root", F.coalesce("root", "unit"))
-    kept = every.where("kind = 1").select("doc_id", "first", "unit")
-    live = kept.groupBy("unit").agg(F.min("doc_id").alias("_low"), F.max("doc_id").alias("_top")).where("_low <> _top").select("unit")
-    seeds = kept.join(live, "unit").groupBy("doc_id").agg(F.collect_set("first").alias("at"))
-    parts = lines.select("doc_id", "kind", "first", "n_words", "root").union(windows(docs, seeds, seed, window).select(
-        "doc_id", F.lit(1).alias("kind"), "first", F.lit(window).alias("n_words"), F.col("unit").alias("root")))
-    parts = settle(parts)
-    shared = parts.groupBy("kind", "root").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("_top")).where("keeper <> _top")
-    hit = settle(parts.join(settle(shared.drop("_top")), ["kind", "root"]).distinct())
-    paragraphs = hit.where("kind = 0").select(
+    kept = parts.where("kind = 1").select("doc_id", "first", "unit", "around")
+    live = kept.groupBy("unit").agg(F.min("doc_id").alias("_low"), F.max("doc_id").alias("_top"), F.min("around").alias("_a"), F.max("around").alias("_b"))
+    live = live.where("_low <> _top").select("unit", F.when(F.col("_a") == F.col("_b"), F.col("_low")).alias("keeper"))
+    found = settle(windows(docs, settle(live), kept.drop("around"), seed, window, few))
+
+    def shared(rows, key):
+        low = rows.groupBy(key).agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("_top")).where("keeper <> _top").drop("_top")
+        return rows.join(low, key)
+
+    paragraphs = shared(lines.select("doc_id", "first", "n_words", "root"), "root").distinct().select(
         "doc_id", F.lit("paragraph").alias("kind"), F.col("first").alias("first_word"), "n_words", F.col("root").alias("cluster"), "keeper")
+    hit = shared(found.where("keeper is null").select("doc_id", "first", "n_words", "unit"), "unit").select("doc_id", "first", "n_words", "keeper").union(
+        found.where("keeper is not null").select("doc_id", "first", "n_words", "keeper"))
     before = Window.partitionBy("doc_id", "_gone").orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
     upto = Window.partitionBy("doc_id", "_gone").orderBy("first").rowsBetween(Window.unboundedPreceding, 0)
     # What stands here first is never part of a removed span.
-    islands = hit.where("kind = 1").withColumn("_gone", F.col("keeper") < F.col("doc_id")).withColumn("_end", F.max(F.col("first") + F.col("n_words")).over(before))
+    islands = hit.withColumn("_gone", F.col("keeper") < F.col("doc_id")).withColumn("_end", F.max(F.col("first") + F.col("n_words")).over(before))
     islands = islands.withColumn("_new", F.coalesce(F.col("first") > F.col("_end"), F.lit(True)).cast("int")).withColumn("_k", F.sum("_new").over(upto))
     passages = islands.groupBy("doc_id", "_gone", "_k").agg(
         F.min("first").alias("first_word"), (F.max(F.col("first") + F.col("n_words")) - F.min("first")).alias("n_words"),

@@ -101,3 +101,22 @@ def test_passages_are_exact_to_the_word(spark):
     assert {(r["doc_id"], r["first_word"], r["n_words"]) for r in out} == want and len(out) == len(want)
     short = spark.createDataFrame([(1, "one two three four five six\nother words"), (2, "x\none two three four five six")], "doc_id long, text string")
     assert {(r["doc_id"], r["kind"], r["first_word"], r["n_words"]) for r in R.repeats(short).collect()} == {(1, "paragraph", 0, 6), (2, "paragraph", 1, 6)}
+
+
+def test_windows_of_seeds_that_are_alike_everywhere_are_runs(spark, monkeypatch):
+    """A long passage is a few rows, not one row a word, and no text is shuffled; the join gives the same parts."""
+    rng = random.Random(11)
+    long = words(rng, 3000)
+    rows = [(i, " ".join([*words(rng, 30), *long, *words(rng, 30)])) for i in range(5)]
+    rows += [(10, " ".join(long[1000:1500] + words(rng, 20))), (11, " ".join(words(rng, 20) + long[1200:1900])), (10, " ".join(long[1000:1500] + ["x"]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    written = []
+    settle = R.settle
+    monkeypatch.setattr(R, "settle", lambda d: written.append(settle(d)) or written[-1])
+    got = sorted(map(str, R.repeats(df).collect()))
+    (found,) = [t for t in written if "keeper" in t.columns and "first" in t.columns]
+    assert found.count() < 2000 and sum(len(t.split()) for _, t in rows) > 15000
+    assert got == sorted(map(str, R.repeats(df, few=0).collect())) and got
+    for i, text in rows[:5]:
+        held = {k for r in R.repeats(df).where(f"doc_id = {i} and kind = 'passage'").collect() for k in range(r["first_word"], r["first_word"] + r["n_words"])} if i < 2 else set()
+        assert i >= 2 or held >= {*range(30, 3030)}
