@@ -34,12 +34,9 @@ def cell_code(row: Column, col: Column) -> Column:
     return row.cast("bigint") * F.lit(_ROW_STEP) + col.cast("bigint")
 
 
-def _label_tile(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Smallest cell code of each connected part of one tile (at most TILE x TILE cells)."""
-    pdf = pdf.sort_values(["row", "col"], ignore_index=True)
-    r = pdf["row"].to_numpy(np.int64)
-    c = pdf["col"].to_numpy(np.int64)
-    code = r * _ROW_STEP + c
+def _label_tile(t: pa.Table) -> pa.Table:
+    """Smallest cell code of each connected part of one tile (at most TILE x TILE cells), each cell once."""
+    code, at = np.unique(t["row"].to_numpy().astype(np.int64) * _ROW_STEP + t["col"].to_numpy(), return_index=True)
     first = np.ones(len(code), bool)
     first[1:] = code[1:] != code[:-1] + 1
     run = np.cumsum(first) - 1
@@ -61,14 +58,13 @@ def _label_tile(pdf: pd.DataFrame) -> pd.DataFrame:
             if a != b:
                 parent[max(a, b)] = min(a, b)
     roots = np.array([root(i) for i in range(len(start))], dtype=np.int64)
-    pdf["part"] = start[roots][run]
-    return pdf[["grid_id", "row", "col", "part"]]
+    return t.select(CELL).take(pa.array(at)).append_column("part", pa.array(start[roots][run]))
 
 
 def tile_parts(mask: DataFrame, tile: int = TILE) -> DataFrame:
     """Each mask cell with the label of its connected part inside its tile."""
-    cells = mask.select(*CELL).distinct().withColumn("_tr", tile_of("row", tile)).withColumn("_tc", tile_of("col", tile))
-    return cells.groupBy("grid_id", "_tr", "_tc").applyInPandas(
+    cells = mask.select(*CELL).withColumn("_tr", tile_of("row", tile)).withColumn("_tc", tile_of("col", tile))
+    return cells.groupBy("grid_id", "_tr", "_tc").applyInArrow(
         _label_tile, "grid_id string, row int, col int, part bigint"
     )
 

@@ -21,19 +21,24 @@ def scale_flags(obs: DataFrame, keys: Sequence[str] = ("grid_id", "scene_id", "b
 
 
 def to_decibels(obs: DataFrame, keys: Sequence[str] = ("grid_id", "scene_id", "band"), power: int = 1) -> DataFrame:
-    """Add ``db``. The scale is decided once per scene and band, so it cannot depend on chunking."""
-    flagged = attach(obs, scale_flags(obs, keys), list(keys))
-    return flagged.withColumn("db", R.to_db_domain(F.col("value"), F.col("already_db"), power)).drop("already_db")
+    """Add ``db``. The scale is decided once per scene and band, so it cannot depend on chunking.
+
+    Only scenes that hold decibels are looked up; where there are none, Spark drops the join as it runs.
+    """
+    flagged = attach(obs, scale_flags(obs, keys).where("already_db"), list(keys))
+    already = F.coalesce("already_db", F.lit(False))
+    return flagged.withColumn("db", R.to_db_domain(F.col("value"), already, power)).drop("already_db")
 
 
 def _middle(obs: DataFrame, group: Sequence[str], value: str) -> DataFrame:
     """The one or two middle known values of each group as ``_mid``; their mean is the median.
 
     Sorting within groups spills to disk, where an aggregate that holds every value would not. The
-    first row of a group is kept with a NULL, so a group without known values does not vanish.
+    first row of a group is kept with a NULL, so a group without known values does not vanish. Both
+    windows share one order, so Spark reads a group once for both.
     """
     ordered = Window.partitionBy(*group).orderBy(F.col(value).asc_nulls_last())
-    n = F.count(value).over(Window.partitionBy(*group))
+    n = F.count(value).over(ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     ranked = obs.withColumn("_k", F.row_number().over(ordered)).withColumn("_n", n)
     middle = (2 * F.col("_k") >= F.col("_n")) & (2 * F.col("_k") <= F.col("_n") + 2) & (F.col("_n") > 0)
     kept = ranked.withColumn("_mid", F.when(middle, F.col(value))).where(middle | (F.col("_k") == 1))
@@ -61,11 +66,12 @@ def deltas(obs: DataFrame, bands: Sequence[str], value: str = "db") -> DataFrame
     Observations move once, to their cell. The medians per period and band and the pivot into
     columns both run on that layout, instead of one shuffle per period and band plus a join.
     """
-    laid = obs.select(*CELL, "band", "period", value).repartition(*CELL)
-    wanted = laid.where(F.col("band").isin(*bands) & F.col("period").isin("pre", "post"))
-    side = lambda p, b: F.avg(F.when((F.col("period") == p) & (F.col("band") == b), F.col("_mid")))
-    aggs = [side(p, b).alias(f"_{p}_{b}") for b in bands for p in ("pre", "post")]
-    cells = _middle(wanted, [*CELL, "band", "period"], value).groupBy(*CELL).agg(*aggs)
+    sides = [(p, b) for b in bands for p in ("pre", "post")]
+    number = F.coalesce(*[F.when((F.col("period") == p) & (F.col("band") == b), F.lit(i)) for i, (p, b) in enumerate(sides)])
+    wanted = obs.where(F.col("band").isin(*bands) & F.col("period").isin("pre", "post"))
+    laid = wanted.select(*CELL, number.alias("_side"), value).repartition(*CELL)
+    aggs = [F.avg(F.when(F.col("_side") == i, F.col("_mid"))).alias(f"_{p}_{b}") for i, (p, b) in enumerate(sides)]
+    cells = _middle(laid, [*CELL, "_side"], value).groupBy(*CELL).agg(*aggs)
     return cells.select(*CELL, *[(F.col(f"_post_{b}") - F.col(f"_pre_{b}")).alias(f"d_{b}") for b in bands])
 
 

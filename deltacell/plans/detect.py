@@ -93,7 +93,8 @@ def amplitude_index(
     background: DataFrame | None = None, analysis: DataFrame | None = None, power: int = 1,
 ) -> tuple[DataFrame, DataFrame | None]:
     """Signed sum of band changes per cell, written once, and the offsets removed from it (if any)."""
-    cells = stack.deltas(stack.to_decibels(obs, power=power), bands)
+    used = obs.where(F.col("band").isin(*bands))
+    cells = stack.deltas(stack.to_decibels(used, power=power), bands)
     offsets = None
     if normalize:
         cells = settle(cells)

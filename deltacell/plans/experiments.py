@@ -102,22 +102,24 @@ def mask_bits(masks: Sequence[DataFrame | None]) -> tuple[DataFrame | None, int]
 def mask_effect(index: DataFrame, masks: Mapping[str, DataFrame | None], reference: DataFrame, min_pixels: int = S.MIN_PIXELS_10M, offset: float = S.AMPLITUDE_OFFSET_DB, tile: int = focal.TILE) -> DataFrame:
     """One written index under several masks: statistics and cut change, composites do not.
 
-    Masks are bits of a cell (at most 62 of them), so one pass gives every mask's threshold, one pass of
-    the filter serves all, and objects are labelled and scored with the pair (mask, grid) as their key.
+    Masks are bits of a cell (at most 62 of them) and meet the index once, so one pass gives every mask's
+    threshold, one pass of the filter serves all and carries the bits, and objects are labelled and scored
+    with the pair (mask, grid) as their key.
     """
     names = list(masks)
     if len(names) > 62:
         raise ValueError("at most 62 masks")
     cells, every = mask_bits([masks[n] for n in names])
-    own = lambda df: (df.withColumn("bits", F.lit(None).cast("long")) if cells is None else cell_join(df, cells, CELL, "left")).withColumn(
-        "bits", F.coalesce("bits", F.lit(0).cast("long")).bitwiseOR(F.lit(every).cast("long")))
+    plain = index.select(*CELL, "value")
+    bare = plain.withColumn("bits", F.lit(0).cast("long")) if cells is None else cell_join(plain, cells, CELL, "left")
+    marked = settle(bare.withColumn("bits", F.coalesce("bits", F.lit(0).cast("long")).bitwiseOR(F.lit(every).cast("long"))))
     has = lambda k: F.getbit("bits", F.lit(k)) == 1
-    means = own(index.select(*CELL, "value")).groupBy("grid_id").agg(*[F.avg(F.when(has(k), F.col("value"))).alias(f"_{k}") for k in range(len(names))])
+    means = marked.groupBy("grid_id").agg(*[F.avg(F.when(has(k), F.col("value"))).alias(f"_{k}") for k in range(len(names))])
     each = F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"_{k}").alias("center"), (F.col(f"_{k}") + offset).alias("threshold")) for k in range(len(names))])
     limits = settle(means.select("grid_id", F.filter(each, lambda e: e["center"].isNotNull()).alias("_cuts")))
-    even = attach(focal.filtered(index.select(*CELL, "value"), S.MEDIAN_SIZE, 1, tile=tile), limits, ["grid_id"], "inner")
+    even = attach(focal.filtered(marked, S.MEDIAN_SIZE, 1, tile=tile, carry=["bits"]), limits, ["grid_id"], "inner")
     over = even.withColumn("_cuts", F.filter("_cuts", lambda e: F.coalesce(F.col("value") > e["threshold"], F.lit(False)))).where(F.size("_cuts") > 0)
-    cut = own(over).withColumn("_e", F.explode("_cuts")).where(F.getbit("bits", F.col("_e.k")) == 1)
+    cut = over.withColumn("_e", F.explode("_cuts")).where(F.getbit("bits", F.col("_e.k")) == 1)
     run = lambda k: F.concat(k.cast("string"), F.lit("@"), F.col("grid_id")).alias("grid_id")
     flagged = cut.select(run(F.col("_e.k")), "row", "col", "value")
     det = settle(objects.remove_small(objects.components(flagged, tile), min_pixels))
