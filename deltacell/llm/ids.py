@@ -11,11 +11,15 @@ from deltacell.session import settle
 FEW = 1_000_000
 
 
-def by_ids(docs: DataFrame, ids: DataFrame, how: str, column: str = "doc_id", few: int = FEW) -> DataFrame:
+def by_ids(docs: DataFrame, ids: DataFrame, how: str, column: str = "doc_id", few: int | None = None, reused: bool = False) -> DataFrame:
     """Semi or anti join of ``docs`` with ``ids`` on their long ``column``.
 
-    The ids are written and counted. Up to ``few`` they are broadcast; beyond that both sides are
-    shuffled, with the same result.
+    The ids are written and counted. Up to ``few`` (:data:`FEW`) they are broadcast; beyond that both
+    sides are shuffled, with the same result. With ``reused`` a shuffled result is written, so that texts
+    move once however often it is read.
     """
     ids = settle(ids.select(F.col(column).cast("long").alias(column)).distinct())
-    return docs.join(F.broadcast(ids) if ids.count() <= few else ids, column, how)
+    if ids.count() <= (FEW if few is None else few):
+        return docs.join(F.broadcast(ids), column, how)
+    out = docs.join(ids, column, how)
+    return settle(out) if reused else out

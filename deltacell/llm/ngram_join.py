@@ -9,11 +9,14 @@ choice would bring. A pair becomes a candidate when it shares as many prefix shi
 smaller of its two levels asks for.
 
 * Copies (equal sets) collapse to their smallest id before anything is paired.
-* A shingle in many prefixes (over ``bucket`` documents) is never paired within. It ties its
-  documents to its smallest one, which costs one row each.
-* Candidates and ties form families. A family is dealt into blocks of texts, and each pair of
-  blocks is one bounded task that counts exact overlaps through an inverted list and returns a
-  spanning forest of its links, not all pairs.
+* The sketch cannot tell shingles apart that are rarer than what a cell holds by chance, and that
+  grows with the corpus. So shingles that prove common in the index go to the end of the order, and
+  the documents that had one in their prefix get another prefix.
+* A shingle that is still in many prefixes (over ``bucket`` documents) is never paired within. It ties
+  its documents to its smallest one, which costs one row each.
+* Candidates and ties form families. A family is dealt into blocks of texts, bounded in texts and in
+  shingles, and each pair of blocks is one bounded task that counts exact overlaps through an inverted
+  list and returns a spanning forest of its links, not all pairs.
 """
 
 from __future__ import annotations
@@ -32,6 +35,13 @@ from deltacell.llm.ids import by_ids
 from deltacell.session import settle
 
 CHUNKS = 64
+#: Rounds that move common shingles to the end of the order, and how many of them go to the tasks at most (16 bytes
+#: each). Both change candidates only, never the links.
+ROUNDS, COMMON = 2, 1_000_000
+#: Ranks of shingles found common begin here, above all classes of the sketch.
+LAST = 64
+#: Shingles in a block of texts.
+BLOCK_SHINGLES = 400_000
 
 
 def set_keys(docs: DataFrame, size: int) -> DataFrame:
@@ -119,15 +129,17 @@ def _classes(counts: np.ndarray) -> np.ndarray:
     return np.maximum(0, np.floor(np.log2(np.maximum(counts, 1) / (usual + 4 * math.sqrt(usual) + 1)) + 1)).astype(np.uint8)
 
 
-def prefixes(docs: DataFrame, classes, size: int, percent: int, bits: int, levels: int) -> DataFrame:
+def prefixes(docs: DataFrame, classes, size: int, percent: int, bits: int, levels: int, common=None) -> DataFrame:
     """Index rows (token, node, size): each document's adaptive prefix; ``size`` is 16 n + level.
 
-    ``classes`` is the broadcast sketch. For level ``l`` the cost is the expected length of the
+    ``classes`` is the broadcast sketch, ``common`` that of tokens in ascending order and their ranks,
+    which come before the sketch. For level ``l`` the cost is the expected length of the
     prefix's lists plus four times the candidates that can match ``l`` of them.
     """
     def run(batches):
-        weight = (2.0 ** np.arange(256, dtype=np.float64).clip(0, 60))
+        weight = 2.0 ** np.concatenate([np.arange(LAST).clip(0, 60), np.arange(256 - LAST).clip(0, 60)])
         table = classes.value
+        known, ranks = common.value if common is not None else (np.zeros(0, np.uint64), np.zeros(0, np.uint8))
         for batch in W.slices(batches):
             raw, offsets = W.buffers(batch.column(1))
             ids = batch.column(0).to_numpy(zero_copy_only=False)
@@ -136,6 +148,9 @@ def prefixes(docs: DataFrame, classes, size: int, percent: int, bits: int, level
                 n = np.diff(first)
                 owner = np.repeat(np.arange(len(n)), n)
                 cls = table[(values >> W.U(64 - bits)).astype(np.int64)]
+                if len(known):
+                    at = np.searchsorted(known, values).clip(max=len(known) - 1)
+                    cls = np.where(known[at] == values, ranks[at], cls)
                 order = np.lexsort((values, cls, owner)) if cls.any() else np.arange(len(values))
                 values, cost = values[order], np.concatenate([[0.0], np.cumsum(weight[cls[order]])])
                 need = -(-percent * n // 100)
@@ -157,6 +172,40 @@ def prefixes(docs: DataFrame, classes, size: int, percent: int, bits: int, level
     return docs.select("doc_id", "text").mapInArrow(run, "token long, node long, size long")
 
 
+def refined(docs: DataFrame, index: DataFrame, again, bucket: int) -> DataFrame:
+    """``index`` with the prefixes of documents that held common tokens taken anew.
+
+    ``again(docs, common)`` gives the index rows of some documents under an order that puts the tokens
+    ``common`` last. A token keeps its rank once it has one, and every document with a new one in its
+    prefix is taken again, so all prefixes follow the last order: the others are the same under it.
+    """
+    parts, known = [index], (np.zeros(0, np.uint64), np.zeros(0, np.uint8))
+    for _ in range(ROUNDS):
+        # Later rounds look at the new prefixes only, where tokens come in that were not in any before.
+        often = parts[-1].groupBy("token").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > bucket)
+        often = settle(often.orderBy(F.desc("c"), "token").limit(COMMON))
+        table = often.toArrow()
+        tokens = table.column("token").to_numpy().view(np.uint64)
+        ranks = (LAST + np.floor(np.log2(table.column("c").to_numpy()))).astype(np.uint8)
+        fresh = ~np.isin(tokens, known[0])
+        if not fresh.any() or len(known[0]) + fresh.sum() > COMMON:
+            break
+        tokens, ranks = np.concatenate([known[0], tokens[fresh]]), np.concatenate([known[1], ranks[fresh]])
+        order = np.argsort(tokens)
+        known = tokens[order], ranks[order]
+        nodes = parts[0].join(F.broadcast(often), "token", "left_semi").select("node")
+        for part in parts[1:]:
+            nodes = nodes.union(part.join(F.broadcast(often), "token", "left_semi").select("node"))
+        nodes = settle(nodes.distinct())
+        held = by_ids(docs, nodes.withColumnRenamed("node", "doc_id"), "left_semi")
+        common = docs.sparkSession.sparkContext.broadcast(known)
+        parts = [by_ids(part, nodes, "left_anti", "node") for part in parts] + [settle(again(held, common))]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.union(part.select(*out.columns))
+    return out
+
+
 def block_links(table: pa.Table, size: int, percent: int) -> pa.Table:
     """Links among the texts of one pair of blocks: exact set overlap, reduced to a spanning forest."""
     ids = table.column("node").to_numpy()
@@ -197,7 +246,8 @@ def block_links(table: pa.Table, size: int, percent: int) -> pa.Table:
 
 
 def jaccard_components(
-    docs: DataFrame, size: int = 4, percent: int = 85, bits: int = 22, levels: int = 8, bucket: int = 64, block: int = 256
+    docs: DataFrame, size: int = 4, percent: int = 85, bits: int = 22, levels: int = 8, bucket: int = 64, block: int = 256,
+    weight: int = BLOCK_SHINGLES,
 ) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links).
 
@@ -215,10 +265,11 @@ def jaccard_components(
     )
     repeated = groups.where("copies > 1").select("set_key", "node")
     copies = keys.join(repeated, "set_key").where("node <> doc_id").select("doc_id")
-    single = by_ids(docs.where("doc_id is not null"), copies, "left_anti")
+    single = by_ids(docs.where("doc_id is not null"), copies, "left_anti", reused=True)
 
     classes = docs.sparkSession.sparkContext.broadcast(_classes(count_sketch(single, size, bits)))
     index = settle(prefixes(single, classes, size, percent, bits, levels))
+    index = refined(single, index, lambda held, common: prefixes(held, classes, size, percent, bits, levels, common), bucket)
     live = index.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     rows = settle(index.join(live, "token"))
 
@@ -236,7 +287,9 @@ def jaccard_components(
     found = settle(components(pairs.union(ties)))
     family = settle(found.union(found.select(F.col("root").alias("node"), "root").distinct()))
 
-    blocks = family.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("k"))
+    sizes = keys.groupBy(F.col("doc_id").alias("node")).agg(F.sum("n_shingles").alias("n"))
+    needed = F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(block)), F.ceil(F.sum("n") / F.lit(weight)))
+    blocks = family.join(sizes, "node").groupBy("root").agg(needed.cast("int").alias("k"))
     own = F.pmod(F.xxhash64("node"), F.col("k")).cast("int")
     dealt = family.join(blocks, "root").withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, k - 1)")))
     dealt = dealt.select(

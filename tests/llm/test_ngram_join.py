@@ -1,6 +1,7 @@
 import random
 import re
 
+from deltacell.llm import ids, ngram_join
 from deltacell.llm.ngram_join import jaccard_components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -71,3 +72,23 @@ def test_missing_ids_and_repeats(spark):
 
 def test_empty(spark):
     assert jaccard_components(spark.createDataFrame([], "doc_id long, text string"), bits=12).collect() == []
+
+
+def test_common_passages_do_not_tie_documents_when_the_sketch_is_blind(spark, monkeypatch):
+    """64 cells for 90,000 shingles tell nothing, as the usual number of cells at some gigabytes of text."""
+    rng = random.Random(8)
+    passage = " ".join(f"p{i}" for i in range(40))
+    rows = [(i, " ".join(f"u{rng.randrange(10**7)}" for _ in range(600)) + " " + passage * (i < 60)) for i in range(150)]
+    rows += [(1000 + i, t + " more") for i, t in rows[:5]]
+    links, groups = [], ngram_join.components
+    monkeypatch.setattr(ngram_join, "components", lambda x: links.append(x.distinct().count()) or groups(x))
+    got = {tuple(r) for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), bits=6, bucket=16).collect()}
+    assert got == brute(rows)
+    assert links[0] < 20
+
+
+def test_many_ids_and_small_blocks(spark, monkeypatch):
+    rows = corpus(6, 120)
+    monkeypatch.setattr(ids, "FEW", 3)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {tuple(r) for r in jaccard_components(df, bits=8, bucket=4, weight=150).collect()} == brute(rows)
