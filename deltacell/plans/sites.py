@@ -38,11 +38,17 @@ def site_funnel(
 
     ``events`` follow the event schema with a ``geom``; ``granules`` come from the catalogue
     reader; ``landscape`` is keyed by event_id. Granules and events meet by day and by ``cell``
-    degree bucket of their boxes, so neither side is compared with all of the other.
+    degree bucket of their boxes, so neither side is compared with all of the other. Events of one
+    date and hull have one chain, so it is sought once for all of them.
     """
     pool = X.candidates(events, processed).withColumn("event_date", D.parse_date(F.col("date_1")))
     pool = settle(pool.withColumn("event_id", event_key(F.col("id"), F.col("date_1"))))
-    hulls = settle(pool.select("event_id", "event_date", convex_hull("geom").alias("hull")))
+    shapes = pool.where("event_id is not null").select("event_id", F.struct("event_date", convex_hull("geom").alias("hull")).alias("_s"))
+    shapes = shapes.groupBy("event_id").agg(F.sort_array(F.collect_set("_s")).alias("_s"))
+    members = settle(shapes.withColumn("_spot", F.sha2(F.to_json(F.struct("_s")), 256)))
+    # From here to the chains, event_id names a spot: a date and hull that any number of events share.
+    spots = members.groupBy(F.col("_spot").alias("event_id")).agg(F.first("_s").alias("_s"))
+    hulls = settle(spots.select("event_id", F.explode("_s").alias("_s")).select("event_id", "_s.*"))
     boxes = hulls.select("event_id", "event_date", G.rings_bbox(F.array("hull")).alias("_b")).select("event_id", "event_date", "_b.*")
     before, after = C.WINDOW_DAYS
     days = F.explode(F.sequence(F.date_sub("event_date", before), F.date_add("event_date", after)))
@@ -54,7 +60,8 @@ def site_funnel(
     met = salted_join(placed.select("title", "_d", "_k"), wanted, ["_d", "_k"], "inner", salts=4)
     met = granules.join(met.select("event_id", "title").distinct(), "title")
     covered = catalogs.coverage(met, hulls.drop("event_date")).withColumn("orbit_key", F.col("track_key"))
-    chains = settle(C.select_chains(covered, boxes.select("event_id", "event_date")))
+    chains = C.select_chains(covered, boxes.select("event_id", "event_date")).withColumnRenamed("event_id", "_spot")
+    chains = settle(cell_join(members.select("event_id", "_spot"), settle(chains), ["_spot"]).drop("_spot"))
     joined = pool.drop("event_date").join(chains, "event_id").join(landscape, "event_id", "left")
     scored = X.scored(joined)
     return {"pool": pool, "chains": chains, "scored": scored, "top": X.diverse_top(scored, n, per_type)}
