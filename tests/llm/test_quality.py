@@ -132,3 +132,20 @@ def test_words_of_another_script_are_judged_by_their_letters(spark):
     by = {r["doc_id"]: r for r in Q.rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
     assert all(by[i]["kept"] for i in range(150))
     assert not by[1000]["kept"] and by[1000]["perplexity"] > by[1000]["upper"]
+
+
+def test_cases_digits_and_signs_have_their_own_shares(spark):
+    texts = ["aA1 2,2.", "aab\t9?é", None]
+    keys, value = Q.shares(Q.counts(spark.createDataFrame([("en", t) for t in texts], "lang string, text string")))["en"]
+    got = dict(zip(map(chr, keys.tolist()), np.exp(value).tolist(), strict=True))
+    assert got.keys() == set("aA1 2,.b\t9?é")
+    for folded in ("aA", "129", " \t", ",.?"):
+        seen = Counter(c for t in texts[:2] for c in t if c in folded)
+        assert all(abs(got[c] - n / seen.total()) < 1e-5 for c, n in seen.items())
+    # Texts of one shape and one row of classes differ in their perplexity.
+    rng = random.Random(4)
+    stock = ["".join(rng.choice(["ka", "no", "sto", "li"]) for _ in range(rng.randrange(1, 4))) + "," for _ in range(300)]
+    rows = [(i, " ".join(rng.choice(stock) for _ in range(100)), "en") for i in range(150)]
+    rows += [(1000, rows[0][1].replace(",", "?"), "en"), (1001, rows[0][1].upper(), "en")]
+    by = {r["doc_id"]: r for r in Q.rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(by[i]["kept"] for i in range(150)) and not by[1000]["kept"] and not by[1001]["kept"]
