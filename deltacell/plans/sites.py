@@ -73,14 +73,14 @@ def site_matches(
     """Events overlapping each site in space and within thirty days of it, best overlap first.
 
     ``sites``: site_id, d1, d2, bbox columns, rings. ``events``: event_id, date, bbox columns,
-    rings. Boxes and dates find the pairs, runs of cells of ``grid`` decide.
+    rings. Boxes and dates find the pairs, cells of ``grid`` decide. Columns: site_id, event_id,
+    inter_ha, iou, rank.
     """
-    kept = settle(cover.near_dated(events, sites, reach=0.0, cell=bucket))
-    used = lambda df, key: cell_join(df, kept.select(key).distinct(), [key], "left_semi")
-    a = cover.spans(used(sites, "site_id"), ["site_id"], grid, site_rings)
-    b = cover.spans(used(events, "event_id"), ["event_id"], grid, event_rings)
-    met = cover.overlap(kept, settle(a), settle(b), cell_m2).where(F.col("inter_ha") > 0)
-    return cover.best_matches(met, n)
+    shaped = lambda df, key, rings, *names: cover.blocks(
+        df.select(key, *names, "xmin", "ymin", "xmax", "ymax", F.col(rings).alias("_r")), key, grid, "_r")
+    a = shaped(sites, "site_id", site_rings, "d1", "d2")
+    b = shaped(events, "event_id", event_rings, "date")
+    return cover.matches(settle(a), settle(b), cell_m2, bucket, n=n)
 
 
 def compare_databases(old: DataFrame, new: DataFrame, key: str = "id") -> dict[str, DataFrame]:
